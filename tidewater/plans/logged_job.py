@@ -1,0 +1,37 @@
+"""A small logged job over the given tables: ``python -m
+tidewater.plans.logged_job <data_dir> <event_log_dir>``.
+
+Runs word count over documents and the parity aggregate over orders with the
+event log on (plain text, not rolling), so history summaries have input."""
+
+from __future__ import annotations
+
+import sys
+
+from pyspark.sql import functions as F
+
+from tidewater.operators import agg_by_map, word_count
+from tidewater.session import get_spark
+from tidewater.sources import read_table
+
+
+def main(data_dir: str, log_dir: str) -> None:
+    spark = get_spark("tidewater-logged-job", {
+        "spark.eventLog.enabled": "true",
+        "spark.eventLog.dir": log_dir,
+        "spark.eventLog.compress": "false",
+        "spark.eventLog.rolling.enabled": "false",
+        "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }, master="local[4]")
+    docs = read_table(spark, data_dir, "documents")
+    word_count(docs).write.format("noop").mode("overwrite").save()
+    orders = read_table(spark, data_dir, "orders").withColumn(
+        "type", F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd"))
+    agg_by_map(orders, ["type"], {"o_orderkey": "sum", "o_totalprice": "avg"}) \
+        .write.format("noop").mode("overwrite").save()
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main(sys.argv[1], sys.argv[2])
