@@ -19,10 +19,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def valid_key(c) -> Column:
-    """Key is usable: not NULL and not the empty string."""
+def valid_key(c, is_string: bool = True) -> Column:
+    """Key is usable: not NULL and (for text keys) not the empty string."""
     k = _col(c)
-    return k.isNotNull() & (k.cast("string") != F.lit(""))
+    if not is_string:
+        return k.isNotNull()
+    return k.isNotNull() & (k != F.lit(""))
 
 
 def derive_key(selector, name, marker: str = "-driver") -> Column:
@@ -57,30 +59,39 @@ def rewrite_links(html, prefix: str, content_type=None) -> Column:
     return F.when(F.contains(_col(content_type), F.lit("text/html")), out).otherwise(_col(html))
 
 
-_QTY = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]*)\s*$"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _number_and_factor(c, factors: dict) -> Column:
+    """number * factor[unit] for a quantity text; NULL for unknown units or
+    malformed text. The unit is the run of trailing letters, the number is
+    the rest (no regex: trim and slice only); the unit lookup is a literal
+    map."""
+    text = F.trim(_col(c))
+    number_text = F.rtrim(text, F.lit(_LETTERS))
+    unit = F.substring(text, F.length(number_text) + 1, 1 << 20)
+    num = F.trim(number_text).try_cast("double")
+    table = F.create_map(*[F.lit(x) for kv in factors.items() for x in kv])
+    return num * F.try_element_at(table, unit)
+
+
+# CPU unit -> millicores per unit.
+CPU_FACTORS = {"m": 1.0, "": 1000.0}
+
+# Memory unit -> MiB per unit (binary Ki/Mi/Gi/Ti, decimal k/M/G, bytes).
+MEM_FACTORS = {
+    "Ki": 1.0 / 1024, "Mi": 1.0, "Gi": 1024.0, "Ti": 1024.0 * 1024.0,
+    "k": 1e3 / (1024.0 * 1024.0), "M": 1e6 / (1024.0 * 1024.0), "G": 1e9 / (1024.0 * 1024.0),
+    "": 1.0 / (1024.0 * 1024.0),
+}
 
 
 def parse_cpu_millis(c) -> Column:
     """Kubernetes CPU quantity -> millicores: ``250m`` -> 250, ``2`` -> 2000."""
-    num = F.regexp_extract(_col(c), _QTY, 1).try_cast("double")
-    unit = F.regexp_extract(_col(c), _QTY, 2)
-    return (F.when(unit == "m", num)
-            .when(unit == "", num * 1000)
-            .otherwise(F.lit(None).cast("double")))
+    return _number_and_factor(c, CPU_FACTORS)
 
 
 def parse_mem_mib(c) -> Column:
     """Kubernetes memory quantity -> MiB: ``512Mi`` -> 512, ``1Gi`` -> 1024,
     decimal ``M``/``G`` in bytes of 10^6/10^9."""
-    num = F.regexp_extract(_col(c), _QTY, 1).try_cast("double")
-    unit = F.regexp_extract(_col(c), _QTY, 2)
-    mib = 1024.0 * 1024.0
-    return (F.when(unit == "Ki", num / 1024)
-            .when(unit == "Mi", num)
-            .when(unit == "Gi", num * 1024)
-            .when(unit == "Ti", num * 1024 * 1024)
-            .when(unit == "k", num * 1e3 / mib)
-            .when(unit == "M", num * 1e6 / mib)
-            .when(unit == "G", num * 1e9 / mib)
-            .when(unit == "", num / mib)
-            .otherwise(F.lit(None).cast("double")))
+    return _number_and_factor(c, MEM_FACTORS)

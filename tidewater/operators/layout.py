@@ -1,0 +1,22 @@
+"""Input layout helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_narrow_scan(df: DataFrame, slots: int | None = None) -> DataFrame:
+    """Round-robin a freshly read table over the task slots when its scan has
+    fewer splits than slots.
+
+    A parquet file with a single row group is read by one task whatever its
+    size, so CPU-heavy per-row work (splitting whole texts) would run on one
+    core. On a cluster reading many files the scan already has far more
+    splits than slots and this returns ``df`` unchanged (no shuffle). Call it
+    on a scan, before any shuffle: counting the splits plans but runs no
+    job only there."""
+    sc = df.sparkSession.sparkContext
+    slots = slots or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots)

@@ -14,10 +14,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewater.functions.strings import valid_key
 
 
+def _valid(df: DataFrame, key: str) -> Column:
+    """Usable key: not NULL, and not empty when the key is text."""
+    return valid_key(key, isinstance(df.schema[key].dataType, StringType))
+
+
 def _cols(cs) -> list[Column]:
     if isinstance(cs, (str, Column)):
         cs = [cs]
@@ -59,13 +65,13 @@ def latest_by_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def _distinct_keys(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key).filter(valid_key(key)).distinct()
+    return df.select(key).filter(_valid(df, key)).distinct()
 
 
 def stale_rows(actual: DataFrame, desired: DataFrame, key: str) -> DataFrame:
     """Rows of ``actual`` whose key has no ``desired`` row. Rows with a NULL
     or empty key are never stale."""
-    return actual.filter(valid_key(key)).join(_distinct_keys(desired, key), key, "left_anti")
+    return actual.filter(_valid(actual, key)).join(_distinct_keys(desired, key), key, "left_anti")
 
 
 def dependent_rows(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -76,7 +82,7 @@ def dependent_rows(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 def _one_per_key(df: DataFrame, key: str, order: Sequence[str] | None) -> DataFrame:
     """Deterministic de-duplication: the greatest ``order`` (else the greatest
     whole row) per key."""
-    valid = df.filter(valid_key(key))
+    valid = df.filter(_valid(df, key))
     if order:
         return latest_by_key(valid, key, order)
     return latest_by_key(valid, key, [c for c in df.columns if c != key])
@@ -86,8 +92,7 @@ def insert_if_absent(target: DataFrame, new: DataFrame, key: str,
                      order: Sequence[str] | None = None) -> DataFrame:
     """Target plus the new rows whose key is not in the target yet (one row
     per new key). Running it twice adds nothing the second time."""
-    fresh = _one_per_key(new, key, order).join(
-        target.select(key).filter(valid_key(key)).distinct(), key, "left_anti")
+    fresh = _one_per_key(new, key, order).join(_distinct_keys(target, key), key, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 
@@ -114,6 +119,6 @@ def reconcile(desired: DataFrame, actual: DataFrame, key: str,
         F.when(F.col("_in_actual").isNull(), F.lit("create"))
          .when(F.col("_in_desired").isNull(), F.lit("delete"))
          .otherwise(F.lit("keep")).alias(action_col))
-    passthrough = actual.filter(~valid_key(key) | F.col(key).isNull()).select(
+    passthrough = actual.filter(~F.coalesce(_valid(actual, key), F.lit(False))).select(
         key, F.lit("keep").alias(action_col))
     return planned.unionByName(passthrough)

@@ -100,7 +100,12 @@ def status_metrics(pods: DataFrame, apps: DataFrame, status: str = "status",
 
 def rollup_totals(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
     """Sums per key combination plus subtotal and grand-total rows
-    (``ROLLUP``); ``gid`` is ``grouping_id`` (0 = detail row)."""
-    return (df.rollup(*keys)
-            .agg(*[F.sum(m).alias(name) for name, m in measures.items()],
+    (``ROLLUP``); ``gid`` is ``grouping_id`` (0 = detail row).
+
+    Measures are computed once per input row in a projection BEFORE the
+    rollup; otherwise they would be evaluated again for every grouping set
+    after the Expand."""
+    measured = df.select(*keys, *[m.alias(name) for name, m in measures.items()])
+    return (measured.rollup(*keys)
+            .agg(*[F.sum(name).alias(name) for name in measures],
                  F.grouping_id().alias("gid")))

@@ -17,6 +17,7 @@ from tidewater.operators import (agg_by_map, conditional_counts, dependent_rows,
                                  rollup_totals, split_by_class, split_explode, stale_rows,
                                  status_metrics, tail_n_per_key, union_parts, upsert_by_key,
                                  word_count)
+from tidewater.operators.layout import spread_narrow_scan
 from tidewater.operators.quality import quarantined, validated
 from tidewater.plans.registry import query
 from tidewater.session import shared_dir
@@ -190,7 +191,8 @@ FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f]+')) AS word FROM do
 WHERE word <> '' GROUP BY word
 """)
 def q_word_count(spark: SparkSession, d: str) -> DataFrame:
-    return word_count(_t(spark, d, "documents"), "text")
+    docs = _t(spark, d, "documents").select("text")
+    return word_count(spread_narrow_scan(docs), "text")
 
 
 @query("split_explode", """
@@ -689,7 +691,8 @@ FROM q GROUP BY ROLLUP (l_returnflag, l_linestatus)
 def q_rollup_totals(spark: SparkSession, d: str) -> DataFrame:
     """Resource quantities as text (``<n>m`` CPU, ``<n>Mi`` memory), parsed
     and totalled per flag pair with subtotals and a grand total."""
-    li = _t(spark, d, "lineitem")
+    li = spread_narrow_scan(_t(spark, d, "lineitem").select(
+        "l_returnflag", "l_linestatus", "l_quantity", "l_linenumber"))
     q = li.select("l_returnflag", "l_linestatus",
                   F.concat((F.col("l_quantity") * 10).cast("int").cast("string"), F.lit("m")).alias("cpu"),
                   F.concat((F.col("l_linenumber") * 128).cast("string"), F.lit("Mi")).alias("memory"))

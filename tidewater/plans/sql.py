@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,20 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.sources.files import TABLES, register_tables
 
 
+def mentioned_tables(text: str, tables=TABLES) -> list[str]:
+    """Tables whose name appears as a word in the text (only those need a
+    view; each view costs a footer read at registration)."""
+    words = set(re.findall(r"[A-Za-z_][A-Za-z0-9_]*", text.lower()))
+    return [t for t in tables if t in words]
+
+
 def run_sql(spark: SparkSession, text: str, data_dir: str | None = None,
             args: Mapping | None = None, tables=TABLES) -> DataFrame:
-    """Run one SQL statement. With ``data_dir`` the given parquet tables are
-    registered as views first; ``args`` binds ``:name`` parameters (no string
-    pasting of values)."""
+    """Run one SQL statement. With ``data_dir`` the given parquet tables that
+    the text mentions are registered as views first; ``args`` binds
+    ``:name`` parameters (no string pasting of values)."""
     if data_dir is not None:
-        register_tables(spark, data_dir, tables)
+        register_tables(spark, data_dir, mentioned_tables(text, tables))
     return spark.sql(text, args=dict(args)) if args else spark.sql(text)
 
 
 def run_script(spark: SparkSession, statements: list[str], data_dir: str | None = None,
                args: Mapping | None = None) -> DataFrame:
     """Run statements in order (DDL, DML, ...); return the last result."""
+    if data_dir is not None:
+        register_tables(spark, data_dir, mentioned_tables(" ".join(statements)))
     result = None
-    for i, text in enumerate(statements):
-        result = run_sql(spark, text, data_dir if i == 0 else None, args)
+    for text in statements:
+        result = run_sql(spark, text, None, args)
     return result
