@@ -7,15 +7,18 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Defaults that suit both a laptop and a large cluster. Anything the launcher
-# already set (spark-submit --conf, spark-defaults.conf) is left alone.
+# Runtime SQL defaults that suit both a laptop and a large cluster: adaptive
+# execution re-plans joins from measured stage sizes, coalesces small shuffle
+# partitions towards the advisory size (not towards parallelism) and splits
+# skewed join partitions. Anything the launcher already set
+# (spark-submit --conf, spark-defaults.conf) is left alone.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
-    "spark.ui.enabled": "false",
 }
 
 
@@ -23,19 +26,20 @@ def get_spark(app_name: str = "tidewater", conf: dict | None = None,
               master: str | None = None) -> SparkSession:
     """Create or reuse a session.
 
-    The master is left to the launcher unless given; explicit ``conf`` wins
-    over the defaults, and the defaults only fill settings that are unset.
+    The master is left to the launcher unless given. Explicit ``conf`` is
+    applied at creation; ``DEFAULT_CONF`` then fills only runtime settings
+    that neither ``conf`` nor the launcher set.
     """
+    conf = dict(conf or {})
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in (conf or {}).items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    launcher = spark.sparkContext.getConf()
     for key, value in DEFAULT_CONF.items():
-        if key in (conf or {}):
-            continue
-        if spark.conf.get(key, None) is None and not key.startswith("spark.ui."):
+        if key not in conf and not launcher.contains(key):
             spark.conf.set(key, value)
     return spark
 
