@@ -15,8 +15,12 @@ def spread_narrow_scan(df: DataFrame, slots: int | None = None) -> DataFrame:
     splits than slots and this returns ``df`` unchanged (no shuffle). Call it
     on a scan, before any shuffle: counting the splits plans but runs no
     job only there."""
-    sc = df.sparkSession.sparkContext
-    slots = slots or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        sc = df.sparkSession.sparkContext
+        slots = slots or sc.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a remote (Connect) session: leave as is
+        return df
+    if splits >= slots:
         return df
     return df.repartition(slots)
