@@ -83,3 +83,14 @@ def test_parts_add_up(spark, sf_small):
     parts = split_by_class(c, "class", ["spark", "infra"])
     assert sum(p.count() for p in parts) == c.count()
     assert union_parts(parts).count() == c.count()
+
+
+def test_order_parts_single_pass_equals_union(spark, sf_small):
+    from tidewater.operators import order_parts
+    from tidewater.plans.batch import q_classify_by_key
+    c = q_classify_by_key(spark, sf_small)
+    tagged = order_parts(c, "class", ["spark", "infra"])
+    unioned = union_parts(split_by_class(c, "class", ["spark", "infra"]))
+    assert sorted(tagged.drop("part").collect()) == sorted(unioned.collect())
+    plan = tagged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1

@@ -4,7 +4,7 @@ from tidewater.operators.stats import (agg_by_map, conditional_counts, format_st
                                        one_pass_stats, range_stats, rollup_totals,
                                        status_metrics)
 from tidewater.operators.relations import (dependent_rows, insert_if_absent, latest_by_key,
-                                           reconcile, split_by_class, stale_rows,
+                                           order_parts, reconcile, split_by_class, stale_rows,
                                            tail_n_per_key, union_parts, upsert_by_key)
 from tidewater.operators.filters import filter_eq, filter_in, filter_not_contains
 from tidewater.operators.text import split_explode, word_count
@@ -16,7 +16,7 @@ from tidewater.operators.schema import describe_schema, head_n
 __all__ = [
     "agg_by_map", "conditional_counts", "format_stats", "one_pass_stats", "range_stats",
     "rollup_totals", "status_metrics", "dependent_rows", "insert_if_absent",
-    "latest_by_key", "reconcile", "split_by_class", "stale_rows", "tail_n_per_key",
+    "latest_by_key", "order_parts", "reconcile", "split_by_class", "stale_rows", "tail_n_per_key",
     "union_parts", "upsert_by_key", "filter_eq", "filter_in", "filter_not_contains",
     "split_explode", "word_count", "REJECT_REASONS", "retention_filter", "tag_rejects",
     "validated", "quarantined", "write_validated", "app_summary", "stage_summary",

@@ -36,6 +36,18 @@ def split_by_class(df: DataFrame, class_col: str, classes: Sequence[str]) -> lis
     return [df.filter(F.col(class_col) == F.lit(c)) for c in classes]
 
 
+def order_parts(df: DataFrame, class_col: str, classes: Sequence[str],
+                pos_col: str = "part") -> DataFrame:
+    """The re-union of the parts of ONE input in the given class order, in a
+    single pass: each row keeps its class and gets its part position (0 for
+    the first class, ...); rows of unlisted classes are dropped, as a union of
+    the listed parts would drop them. Unlike unioning filters of the same
+    input, the input is scanned once."""
+    positions = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
+    pos = F.try_element_at(positions, F.col(class_col))
+    return df.withColumn(pos_col, pos).filter(F.col(pos_col).isNotNull())
+
+
 def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
     """Concatenate parts by column name, in the given order."""
     out = parts[0]

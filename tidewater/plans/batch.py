@@ -14,8 +14,8 @@ from tidewater.operators import (agg_by_map, conditional_counts, dependent_rows,
                                  describe_schema, filter_eq, filter_in, filter_not_contains,
                                  format_stats, head_n, insert_if_absent, latest_by_key,
                                  one_pass_stats, range_stats, reconcile, retention_filter,
-                                 rollup_totals, split_by_class, split_explode, stale_rows,
-                                 status_metrics, tail_n_per_key, union_parts, upsert_by_key,
+                                 order_parts, rollup_totals, split_explode, stale_rows,
+                                 status_metrics, tail_n_per_key, upsert_by_key,
                                  word_count)
 from tidewater.operators.layout import spread_narrow_scan
 from tidewater.operators.quality import quarantined, validated
@@ -315,13 +315,14 @@ def q_classify_by_key(spark: SparkSession, d: str) -> DataFrame:
     return lab.select("event_id", classify_by_keys("labels", SPARK_KEYS).alias("class"))
 
 
-@query("union_all_parts", _CLASSIFY_SQL)
+@query("union_all_parts", f"""
+SELECT event_id, class, CASE class WHEN 'spark' THEN 0 ELSE 1 END AS part
+FROM ({_CLASSIFY_SQL})
+""")
 def q_union_all_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Split into the spark part and the infrastructure part, then list
-    'all' as spark followed by infra."""
-    classified = q_classify_by_key(spark, d)
-    spark_part, infra_part = split_by_class(classified, "class", ["spark", "infra"])
-    return union_parts([spark_part, infra_part])
+    """'all' = the spark part followed by the infrastructure part, as one
+    pass: every row with its part position."""
+    return order_parts(q_classify_by_key(spark, d), "class", ["spark", "infra"])
 
 
 @query("status_metrics", """
