@@ -142,6 +142,17 @@ def q_csv_infer_scan(spark: SparkSession, d: str) -> DataFrame:
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in supplier.schema])
 
 
+@query("csv_schema_scan", "SELECT * FROM supplier")
+def q_csv_schema_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same CSV folder read with a declared schema: no inference pass,
+    types come out right without casts."""
+    supplier = _t(spark, d, "supplier")
+    path = shared_dir(spark, "csv-supplier")
+    supplier.write.option("header", "true").csv(path)
+    spec = SourceSpec("csv", path, {"header": "true"}, supplier.schema)
+    return load_source(spark, spec)
+
+
 @query("configured_source", "SELECT * FROM nation")
 def q_configured_source(spark: SparkSession, d: str) -> DataFrame:
     spec = SourceSpec.from_config({"app": {"name": "nation", "file": {

@@ -9,14 +9,13 @@ from pyspark.sql import SparkSession
 
 # Runtime SQL defaults that suit both a laptop and a large cluster: adaptive
 # execution re-plans joins from measured stage sizes, coalesces small shuffle
-# partitions towards the advisory size (not towards parallelism) and splits
-# skewed join partitions. Anything the launcher already set
-# (spark-submit --conf, spark-defaults.conf) is left alone.
+# partitions and splits skewed join partitions. Anything the launcher already
+# set (spark-submit --conf, spark-defaults.conf) is left alone; on a busy
+# cluster also consider coalescePartitions.parallelismFirst=false.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
 }
