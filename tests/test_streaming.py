@@ -32,6 +32,8 @@ def test_bronze_batches_and_restart(spark, sf_small):
     q.awaitTermination()
     batches = [p for p in q.recentProgress if p["numInputRows"] > 0]
     assert len(batches) == 3
+    assert [b["observedMetrics"]["bronze"]["rows"] for b in batches] == \
+        [p.num_rows for p in pieces[:3]]
     first = spark.read.parquet(f"{root}/table").count()
     assert first == sum(p.num_rows for p in pieces[:3])
 

@@ -337,21 +337,25 @@ def q_union_all_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("status_metrics", """
-WITH p AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'Failed' WHEN 'O' THEN 'Running'
-                  ELSE 'Pending' END AS status,
-                  o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_spark FROM orders),
-a AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'FAILED' WHEN l_linestatus = 'O' THEN 'running'
-                  ELSE 'COMPLETED' END AS state FROM lineitem),
-pm AS (SELECT count(*) AS total_pods,
-              count(*) FILTER (WHERE lower(status) = 'running') AS running_pods,
-              count(*) FILTER (WHERE lower(status) = 'failed') AS failed_pods,
-              count(*) FILTER (WHERE is_spark) AS spark_pods FROM p),
-am AS (SELECT count(*) FILTER (WHERE upper(state) = 'RUNNING') AS active_apps,
-              count(*) FILTER (WHERE upper(state) = 'FAILED') AS failed_apps,
-              count(*) AS total_apps FROM a)
-SELECT total_pods, running_pods, active_apps, failed_pods + failed_apps AS failed,
-       spark_pods, total_pods - spark_pods AS infra_pods, total_apps
-FROM pm CROSS JOIN am
+WITH tagged AS (
+  SELECT true AS is_pod,
+         lower(CASE o_orderstatus WHEN 'F' THEN 'Failed' WHEN 'O' THEN 'Running'
+                    ELSE 'Pending' END) AS s,
+         o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_spark
+  FROM orders
+  UNION ALL
+  SELECT false, upper(CASE WHEN l_returnflag = 'R' THEN 'FAILED' WHEN l_linestatus = 'O'
+                           THEN 'running' ELSE 'COMPLETED' END), false
+  FROM lineitem)
+SELECT count(*) FILTER (WHERE is_pod) AS total_pods,
+       count(*) FILTER (WHERE is_pod AND s = 'running') AS running_pods,
+       count(*) FILTER (WHERE NOT is_pod AND s = 'RUNNING') AS active_apps,
+       count(*) FILTER (WHERE is_pod AND s = 'failed')
+         + count(*) FILTER (WHERE NOT is_pod AND s = 'FAILED') AS failed,
+       count(*) FILTER (WHERE is_pod AND is_spark) AS spark_pods,
+       count(*) FILTER (WHERE is_pod) - count(*) FILTER (WHERE is_pod AND is_spark) AS infra_pods,
+       count(*) FILTER (WHERE NOT is_pod) AS total_apps
+FROM tagged
 """)
 def q_status_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Orders play pods (status, labels); lineitems play applications."""

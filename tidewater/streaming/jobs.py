@@ -25,8 +25,10 @@ def bronze_ingest(stream: DataFrame, path: str | None, checkpoint: str,
                   table: str | None = None, trigger: str | None = None,
                   partition_by: Sequence[str] = ()) -> StreamingQuery:
     """Append raw events with an ``ingest_ts`` column to a parquet folder or
-    a catalog table."""
-    out = stream.withColumn("ingest_ts", F.current_timestamp())
+    a catalog table. Rows per micro-batch are reported as observed metrics
+    (``bronze`` in the query progress), computed in the same pass."""
+    out = (stream.withColumn("ingest_ts", F.current_timestamp())
+           .observe("bronze", F.count(F.lit(1)).alias("rows")))
     writer = (out.writeStream.outputMode("append").format("parquet")
               .option("checkpointLocation", checkpoint))
     if partition_by:
