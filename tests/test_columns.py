@@ -31,9 +31,12 @@ def test_statuses(spark):
 
 
 def test_type_lookup(spark):
-    df = spark.createDataFrame([("Scala",), ("Python",), ("Go",), (None,)], "t string")
-    got = [r.c for r in df.select(lookup_default("t", TYPE_CLASSES).alias("c")).collect()]
-    assert got == ["scala", "python", "unknown", "unknown"]
+    from tidewater.functions import display_or_dash
+    df = spark.createDataFrame([("Scala",), ("Python",), ("Go",), (None,), ("",)], "t string")
+    got = [(r.c, r.d) for r in df.select(lookup_default("t", TYPE_CLASSES).alias("c"),
+                                         display_or_dash("t").alias("d")).collect()]
+    assert got == [("scala", "Scala"), ("python", "Python"), ("unknown", "Go"),
+                   ("unknown", "—"), ("unknown", "—")]
 
 
 def test_labels_display(spark):

@@ -42,6 +42,11 @@ def lookup_default(c, mapping: Mapping[str, str], default: str = "unknown") -> C
     return F.coalesce(F.try_element_at(_literal_map(mapping), _col(c)), F.lit(default))
 
 
+def display_or_dash(c) -> Column:
+    """The value as shown, a dash when NULL or empty."""
+    return F.coalesce(F.nullif(_col(c), F.lit("")), F.lit(DASH))
+
+
 def status_text(c) -> Column:
     """The status as shown: lower-cased, ``unknown`` when NULL or empty."""
     return F.coalesce(F.nullif(F.lower(_col(c)), F.lit("")), F.lit("unknown"))

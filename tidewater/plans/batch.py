@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions import (classify_by_keys, content_type_for, derive_key, display_ts,
+from tidewater.functions import (classify_by_keys, content_type_for, derive_key,
+                                 display_or_dash, display_ts,
                                  file_extension, first_label, flatten_app_record, iso_ts,
                                  lookup_default, parse_cpu_millis, parse_mem_mib,
                                  rewrite_links, status_class, status_text, TYPE_CLASSES)
@@ -405,7 +406,7 @@ def q_normalize_status(spark: SparkSession, d: str) -> DataFrame:
 WITH t AS (SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN NULL
                   ELSE ['Scala', 'Python', 'Java', 'Go'][p_size % 4 + 1] END AS app_type
            FROM part)
-SELECT p_partkey, coalesce(app_type, '—') AS type_shown,
+SELECT p_partkey, coalesce(nullif(app_type, ''), '—') AS type_shown,
        CASE app_type WHEN 'Scala' THEN 'scala' WHEN 'Python' THEN 'python'
                      WHEN 'Java' THEN 'java' ELSE 'unknown' END AS type_class
 FROM t
@@ -416,7 +417,7 @@ def q_lookup_default(spark: SparkSession, d: str) -> DataFrame:
     t = part.select("p_partkey", F.when(F.col("p_size") % 9 == 0, F.lit(None).cast("string"))
                     .otherwise(F.element_at(kinds, (F.col("p_size") % 4 + 1).cast("int")))
                     .alias("app_type"))
-    return t.select("p_partkey", F.coalesce("app_type", F.lit("—")).alias("type_shown"),
+    return t.select("p_partkey", display_or_dash("app_type").alias("type_shown"),
                     lookup_default("app_type", TYPE_CLASSES).alias("type_class"))
 
 
