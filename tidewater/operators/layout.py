@@ -14,7 +14,11 @@ def spread_narrow_scan(df: DataFrame, slots: int | None = None) -> DataFrame:
     core. On a cluster reading many files the scan already has far more
     splits than slots and this returns ``df`` unchanged (no shuffle). Call it
     on a scan, before any shuffle: counting the splits plans but runs no
-    job only there."""
+    job only there.
+
+    Worth it only when per-row work dwarfs moving the rows: a round-robin
+    repartition sorts the rows first (so a retried task sends the same rows
+    to the same place), which costs more than cheap per-row work saves."""
     try:
         sc = df.sparkSession.sparkContext
         slots = slots or sc.defaultParallelism
