@@ -1,0 +1,72 @@
+"""One key holding a third of all rows: results stay whole and exact, and the
+hot key is reduced before any shuffle."""
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tidewater.operators import (latest_by_key, reconcile, stale_rows, tail_n_per_key,
+                                 word_count)
+from tidewater.sources import read_table
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    ev = read_table(spark, SF, "events")
+    # every third event belongs to user 0
+    return ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0))
+                         .otherwise(F.col("user_id")))
+
+
+def test_hot_key_share(skewed):
+    n = skewed.count()
+    hot = skewed.filter("user_id = 0").count()
+    assert hot * 3 >= n - 3
+
+
+def test_tail_n_on_hot_key(skewed):
+    got = tail_n_per_key(skewed.select("event_id", "user_id", "ts"), "user_id",
+                         ["ts", "event_id"], 5).toPandas()
+    pdf = skewed.select("event_id", "user_id", "ts").toPandas()
+    want = (pdf.sort_values(["ts", "event_id"], ascending=False)
+            .groupby("user_id").head(5))
+    assert sorted(got.event_id) == sorted(want.event_id)
+
+
+def test_latest_on_hot_key(skewed):
+    got = latest_by_key(skewed, "user_id", ["ts", "event_id"]).toPandas()
+    pdf = skewed.toPandas().sort_values(["ts", "event_id"])
+    want = pdf.groupby("user_id").tail(1)
+    assert sorted(got.event_id) == sorted(want.event_id)
+
+
+def test_reconcile_with_hot_duplicates(spark, skewed):
+    desired = skewed.select(F.col("user_id").alias("key"))
+    actual = skewed.filter("event_type <> 'click'").select((F.col("user_id") + 1).alias("key"))
+    got = reconcile(desired, actual, "key").toPandas()
+    d = set(skewed.select("user_id").toPandas().user_id)
+    a = set(actual.toPandas().key)
+    want = {k: ("keep" if k in a and k in d else "create" if k in d else "delete") for k in d | a}
+    assert len(got) == len(want)
+    assert dict(zip(got.key, got.action)) == want
+    stale = stale_rows(actual, desired, "key").count()
+    assert stale == int(actual.toPandas().key.isin(a - d).sum())
+
+
+def test_hot_word(spark):
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot hot hot"))
+         .otherwise(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" hot"))).alias("text"))
+    got = {r.word: r.n for r in word_count(docs).collect()}
+    assert got["hot"] == 1000 * 3 + 2000
+    assert len(got) == 2001
+
+
+def test_hot_key_reduced_before_shuffle(skewed):
+    for df in (tail_n_per_key(skewed, "user_id", ["ts", "event_id"], 5),
+               latest_by_key(skewed, "user_id", ["ts", "event_id"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        below = plan.split("Exchange hashpartitioning(user_id", 1)[1]
+        assert "Partial" in below or "partial_" in below
