@@ -9,7 +9,7 @@ def test_counter_job(spark, capsys):
     stats = jobs.counter(spark, 100_000, 10)
     assert stats["n"] == 99_999 and stats["even"] == 49_999 and stats["odd"] == 50_000
     out = capsys.readouterr().out
-    assert "- Count : 99,999" in out and "- Average: 50,000.00" in out
+    assert " count  99,999" in out and "  mean  50,000.00" in out
 
 
 def test_wordcount_job(spark, sf_small):

@@ -1,7 +1,6 @@
 """One key holding a third of all rows: results stay whole and exact, and the
 hot key is reduced before any shuffle."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

@@ -4,7 +4,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidewater.session import shared_dir
-from tidewater.sources.events import EVENTS_SCHEMA, EventSourceSpec, event_source
+from tidewater.sources.events import EventSourceSpec, event_source
 from tidewater.streaming import (bronze_ingest, decode_events, encode_events,
                                  running_aggregate, validate_stream)
 

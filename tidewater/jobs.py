@@ -31,12 +31,10 @@ def counter(spark: SparkSession, n: int = 100_000, parts: int = 10) -> dict:
     grouped by type. Returns the numbers it prints."""
     start = time.perf_counter()
     stats = range_stats(spark, n, parts).first().asDict()
-    print(f"- Count : {stats['n']:,}")
-    print(f"- Average: {stats['mean']:,.2f}")
-    print(f"- Min : {stats['min_value']:,.2f}")
-    print(f"- Max : {stats['max_value']:,.2f}")
-    print(f"- Even Count : {stats['even']:,}")
-    print(f"- Odd Count : {stats['odd']:,}")
+    for label, key, fmt in (("count", "n", ",d"), ("mean", "mean", ",.2f"),
+                            ("min", "min_value", ",.2f"), ("max", "max_value", ",.2f"),
+                            ("even", "even", ",d"), ("odd", "odd", ",d")):
+        print(f"{label:>6}  {stats[key]:{fmt}}")
     num = F.col("id")
     parity = spark.range(1, 101).select(
         num.alias("number"), (num * 2).alias("doubled"),
@@ -44,7 +42,7 @@ def counter(spark: SparkSession, n: int = 100_000, parts: int = 10) -> dict:
     parity.show(5)
     grouped = agg_by_map(parity, ["type"], {"number": "sum", "doubled": "avg"})
     grouped.show()
-    print(f"Job completed in {time.perf_counter() - start:.2f} seconds")
+    print(f"elapsed  {time.perf_counter() - start:.2f} s")
     return stats
 
 
