@@ -15,3 +15,22 @@ def test_event_log_summaries(spark, sf_small):
     stages = stage_summary(events).collect()
     assert len(stages) == a.n_stages
     assert sum(s.n_tasks for s in stages) == a.n_tasks
+
+
+def test_rolling_log_is_one_application(spark, sf_small):
+    import os
+    import subprocess
+    import sys
+    from tidewater.session import shared_dir
+    out = shared_dir(spark, "test-rolling-log")
+    local = out[len("file:"):] if out.startswith("file:") else out
+    os.makedirs(local)
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, PYTHONPATH=repo)
+    subprocess.run([sys.executable, "-m", "tidewater.plans.logged_job", sf_small, local, "rolling"],
+                   check=True, env=env, timeout=600,
+                   stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+    folders = [f for f in os.listdir(local) if f.startswith("eventlog_v2_")]
+    assert len(folders) == 1
+    apps = app_summary(read_event_log(spark, local)).collect()
+    assert len(apps) == 1 and apps[0].n_jobs >= 2 and apps[0].log_file.endswith(folders[0])

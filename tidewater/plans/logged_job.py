@@ -15,12 +15,13 @@ from tidewater.session import get_spark
 from tidewater.sources import read_table
 
 
-def main(data_dir: str, log_dir: str) -> None:
+def main(data_dir: str, log_dir: str, rolling: bool = False) -> None:
     spark = get_spark("tidewater-logged-job", {
         "spark.eventLog.enabled": "true",
         "spark.eventLog.dir": log_dir,
         "spark.eventLog.compress": "false",
-        "spark.eventLog.rolling.enabled": "false",
+        "spark.eventLog.rolling.enabled": "true" if rolling else "false",
+        "spark.eventLog.rolling.maxFileSize": "10m",
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
     }, master="local[4]")
@@ -34,4 +35,4 @@ def main(data_dir: str, log_dir: str) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], sys.argv[2])
+    main(sys.argv[1], sys.argv[2], len(sys.argv) > 3 and sys.argv[3] == "rolling")

@@ -36,10 +36,15 @@ EVENT_FIELDS = """
 
 
 def read_event_log(spark: SparkSession, log_dir: str) -> DataFrame:
-    """One row per event: ``log_file`` (identifies the application), the event
+    """One row per event: ``log_file`` identifies the application (the log
+    file, or the ``eventlog_v2_*`` folder of a rolling log), then the event
     kind and the parsed fields. Lines that are not JSON get ``Event`` NULL."""
+    path = F.col("_metadata.file_path")
+    rolling = F.regexp_extract(path, r"^(.*/eventlog_v2_[^/]+)/[^/]+$", 1)
+    app = F.when(rolling != "", rolling).otherwise(
+        F.regexp_replace(path, r"\.inprogress$", ""))
     lines = (spark.read.option("recursiveFileLookup", "true")
              .text(log_dir)
-             .select(F.col("_metadata.file_path").alias("log_file"), "value"))
+             .select(app.alias("log_file"), "value"))
     parsed = F.from_json("value", EVENT_FIELDS, {"mode": "PERMISSIVE"})
     return lines.select("log_file", parsed.alias("e")).select("log_file", "e.*")
