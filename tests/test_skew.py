@@ -69,3 +69,31 @@ def test_hot_key_reduced_before_shuffle(skewed):
         plan = df._jdf.queryExecution().executedPlan().toString()
         below = plan.split("Exchange hashpartitioning(user_id", 1)[1]
         assert "Partial" in below or "partial_" in below
+
+
+def test_ranking_on_hot_key_matches_window(spark, skewed):
+    from pyspark.sql import Window
+    from tidewater.operators import ntile_from, rank_within_key, row_number_within_key
+    ev = skewed.select("event_id", "user_id", "event_type", "value")
+    w_rn = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")
+    w_rk = Window.partitionBy("user_id").orderBy("event_type")
+    want = ev.select("event_id", F.row_number().over(w_rn).alias("rn"),
+                     F.ntile(3).over(w_rn).cast("bigint").alias("t3"),
+                     F.rank().over(w_rk).alias("rk"), F.dense_rank().over(w_rk).alias("drk"))
+    numbered = row_number_within_key(ev, "user_id", ["value", "event_id"], [False, True],
+                                     out="rn", count_col="cnt", partitions=16)
+    tiled = numbered.withColumn("t3", ntile_from("rn", "cnt", 3))
+    got = rank_within_key(tiled, "user_id", ["event_type"], rank_col="rk", dense_col="drk")
+    got = got.select("event_id", "rn", "t3", F.col("rk").cast("int").alias("rk"),
+                     F.col("drk").cast("int").alias("drk"))
+    g = {r.event_id: (r.rn, r.t3, r.rk, r.drk) for r in got.collect()}
+    w = {r.event_id: (r.rn, r.t3, r.rk, r.drk) for r in want.collect()}
+    assert g == w
+
+
+def test_hot_key_spans_several_slices(spark, skewed):
+    """The range partitioning really splits the hot key over many tasks."""
+    from tidewater.operators.ranking import _place, _sort_cols
+    placed = _place(skewed, "user_id", _sort_cols("user_id", ["ts", "event_id"], [True, True]), 16)
+    slices = placed.filter("user_id = 0").select("_pid").distinct().count()
+    assert slices >= 4

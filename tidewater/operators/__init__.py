@@ -12,6 +12,8 @@ from tidewater.operators.quality import (REJECT_REASONS, retention_filter, tag_r
                                          validated, quarantined, write_validated)
 from tidewater.operators.history import app_summary, stage_summary
 from tidewater.operators.schema import describe_schema, head_n
+from tidewater.operators.ranking import (ntile_from, ntile_within_key, rank_within_key,
+                                         row_number_within_key)
 
 __all__ = [
     "agg_by_map", "conditional_counts", "format_stats", "one_pass_stats", "range_stats",
@@ -20,5 +22,6 @@ __all__ = [
     "union_parts", "upsert_by_key", "filter_eq", "filter_in", "filter_not_contains",
     "split_explode", "word_count", "REJECT_REASONS", "retention_filter", "tag_rejects",
     "validated", "quarantined", "write_validated", "app_summary", "stage_summary",
-    "describe_schema", "head_n",
+    "describe_schema", "head_n", "ntile_from", "ntile_within_key", "rank_within_key",
+    "row_number_within_key",
 ]

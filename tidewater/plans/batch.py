@@ -20,6 +20,7 @@ from tidewater.operators import (agg_by_map, conditional_counts, dependent_rows,
                                  word_count)
 from tidewater.operators.layout import spread_narrow_scan
 from tidewater.operators.quality import quarantined, validated
+from tidewater.operators.ranking import ntile_from, rank_within_key, row_number_within_key
 from tidewater.plans.registry import query
 from tidewater.session import shared_dir
 from tidewater.sources import SourceSpec, load_source, read_table
@@ -546,6 +547,30 @@ def q_latest_by_key(spark: SparkSession, d: str) -> DataFrame:
     return latest_by_key(_t(spark, d, "events"), "user_id", ["ts", "event_id"])
 
 
+@query("rank_per_key", """
+SELECT o_orderkey, o_custkey, o_totalprice,
+       CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn,
+       CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS rk,
+       CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS drk,
+       CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS quartile
+FROM orders
+""")
+def q_rank_per_key(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking shape of ``sql_rank`` with the skew-safe operators: no
+    task ever holds all rows of one customer."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
+                                     "o_orderpriority")
+    by_price = ["o_totalprice", "o_orderkey"]
+    numbered = row_number_within_key(o, "o_custkey", by_price, [False, True], out="rn",
+                                     count_col="_cnt")
+    tiled = numbered.withColumn("quartile", ntile_from("rn", "_cnt", 4)).drop("_cnt")
+    ranked = rank_within_key(tiled, "o_custkey", ["o_orderpriority"], rank_col="rk",
+                             dense_col="drk")
+    return ranked.select("o_orderkey", "o_custkey", "o_totalprice", "rn",
+                         F.col("rk").cast("bigint").alias("rk"),
+                         F.col("drk").cast("bigint").alias("drk"), "quartile")
+
+
 def _active_customers(spark: SparkSession, d: str) -> DataFrame:
     """Keys with an open order: the desired set."""
     o = _t(spark, d, "orders")
