@@ -97,3 +97,29 @@ def test_hot_key_spans_several_slices(spark, skewed):
     placed = _place(skewed, "user_id", _sort_cols("user_id", ["ts", "event_id"], [True, True]), 16)
     slices = placed.filter("user_id = 0").select("_pid").distinct().count()
     assert slices >= 4
+
+
+def test_frames_on_hot_key_match_window(spark, skewed):
+    from pyspark.sql import Window
+    from tidewater.operators import (neighbours_within_key, range_count_within_key,
+                                     row_number_within_key, rows_frame_sum)
+    ev = skewed.select("event_id", "user_id", "ts", "value").withColumn(
+        "v", F.col("value").cast("decimal(18,2)"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    w3 = w.rowsBetween(-2, Window.currentRow)
+    wr = Window.partitionBy("user_id").orderBy("ts").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    want = ev.select("event_id", F.lag("value").over(w).alias("prev"),
+                     F.lead("event_id", 2).over(w).alias("next2"),
+                     F.sum("v").over(w3).alias("s3"),
+                     F.count(F.lit(1)).over(wr).alias("upto"))
+    numbered = row_number_within_key(ev, "user_id", ["ts", "event_id"], out="rn",
+                                     weight="v", weight_out="run", partitions=16)
+    near = neighbours_within_key(numbered, "user_id", "rn",
+                                 [("value", -1, "prev"), ("event_id", 2, "next2")])
+    summed = rows_frame_sum(near, "user_id", "rn", "run", 2, "s3")
+    # RANGE over the whole past (a span longer than the data) = rows with ts <= t
+    got = range_count_within_key(summed, "user_id", "ts", F.expr("INTERVAL 400 DAYS"), "upto")
+    g = {r.event_id: (r.prev, r.next2, r.s3, r.upto) for r in got.collect()}
+    e = {r.event_id: (r.prev, r.next2, r.s3, r.upto) for r in want.collect()}
+    assert g == e

@@ -14,6 +14,8 @@ from tidewater.operators.history import app_summary, stage_summary
 from tidewater.operators.schema import describe_schema, head_n
 from tidewater.operators.ranking import (ntile_from, ntile_within_key, rank_within_key,
                                          row_number_within_key)
+from tidewater.operators.frames import (neighbours_within_key, range_count_within_key,
+                                        rows_frame_sum)
 
 __all__ = [
     "agg_by_map", "conditional_counts", "format_stats", "one_pass_stats", "range_stats",
@@ -23,5 +25,6 @@ __all__ = [
     "split_explode", "word_count", "REJECT_REASONS", "retention_filter", "tag_rejects",
     "validated", "quarantined", "write_validated", "app_summary", "stage_summary",
     "describe_schema", "head_n", "ntile_from", "ntile_within_key", "rank_within_key",
-    "row_number_within_key",
+    "row_number_within_key", "neighbours_within_key", "range_count_within_key",
+    "rows_frame_sum",
 ]

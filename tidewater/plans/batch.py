@@ -18,6 +18,7 @@ from tidewater.operators import (agg_by_map, conditional_counts, dependent_rows,
                                  order_parts, rollup_totals, split_explode, stale_rows,
                                  status_metrics, tail_n_per_key, upsert_by_key,
                                  word_count)
+from tidewater.operators.frames import neighbours_within_key, range_count_within_key
 from tidewater.operators.layout import spread_narrow_scan
 from tidewater.operators.quality import quarantined, validated
 from tidewater.operators.ranking import ntile_from, rank_within_key, row_number_within_key
@@ -571,6 +572,32 @@ def q_rank_per_key(spark: SparkSession, d: str) -> DataFrame:
                          F.col("drk").cast("bigint").alias("drk"), "quartile")
 
 
+@query("frames_per_key", """
+SELECT event_id, user_id,
+       lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_value,
+       lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_event,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id
+            ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS sum3,
+       count(*) OVER (PARTITION BY user_id ORDER BY ts
+            RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n_day
+FROM events
+""")
+def q_frames_per_key(spark: SparkSession, d: str) -> DataFrame:
+    """The frame shape of ``sql_frames`` with the skew-safe operators: lag,
+    lead and a 3-row sum from one numbering plus one neighbour join; the
+    1-day RANGE count from a merged running count."""
+    ev = (_t(spark, d, "events").select("event_id", "user_id", "ts", "value")
+          .withColumn("_v", F.col("value").cast("decimal(18,2)")))
+    numbered = row_number_within_key(ev, "user_id", ["ts", "event_id"], out="_rn",
+                                     weight="_v", weight_out="_run")
+    near = neighbours_within_key(numbered, "user_id", "_rn", [
+        ("value", -1, "prev_value"), ("event_id", 1, "next_event"), ("_run", -3, "_earlier")])
+    framed = near.withColumn(
+        "sum3", (F.col("_run") - F.coalesce(F.col("_earlier"), F.lit(0))).cast("double"))
+    counted = range_count_within_key(framed, "user_id", "ts", F.expr("INTERVAL 1 DAY"), "n_day")
+    return counted.select("event_id", "user_id", "prev_value", "next_event", "sum3", "n_day")
+
+
 def _active_customers(spark: SparkSession, d: str) -> DataFrame:
     """Keys with an open order: the desired set."""
     o = _t(spark, d, "orders")
