@@ -28,3 +28,21 @@ def test_inspect_job(spark, capsys):
     df = jobs.inspect(spark, SourceSpec.from_config({"app": {"file": {"inputPath": local}}}))
     assert df.count() == 2
     assert "column_name" in capsys.readouterr().out
+
+
+def test_sql_job_script(spark, sf_small, capsys):
+    df = jobs.sql(spark, sf_small, "SELECT r_name FROM region WHERE r_regionkey < 2; "
+                                   "SELECT count(*) AS n FROM nation")
+    assert df.collect()[0].n == 25
+    assert "n" in capsys.readouterr().out
+
+
+def test_reconcile_job(spark, sf_small):
+    out = shared_dir(spark, "test-reconcile-job")
+    src = shared_dir(spark, "test-reconcile-src")
+    spark.createDataFrame([("a",), ("b",)], "key string").write.parquet(src + "/d")
+    spark.createDataFrame([("b",), ("c",)], "key string").write.parquet(src + "/a")
+    jobs.reconcile_job(spark, SourceSpec("parquet", src + "/d"), SourceSpec("parquet", src + "/a"),
+                       "key", out)
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert got == [("a", "create"), ("b", "keep"), ("c", "delete")]

@@ -6,6 +6,10 @@
     python -m tidewater.jobs bronze   --source <folder> --out <folder> --checkpoint <folder>
                                       [--trigger "30 seconds" | availableNow]
     python -m tidewater.jobs history  --logs <event-log folder> --out <folder>
+    python -m tidewater.jobs sql      --data-dir <folder of parquet tables>
+                                      (--query "<SQL>" | --file <file.sql>) [--out <folder>]
+    python -m tidewater.jobs reconcile --desired <path> --actual <path> --key <column>
+                                      --out <folder> [--format parquet]
 
 The master and cluster settings come from the launcher (spark-submit).
 """
@@ -19,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import (agg_by_map, app_summary, describe_schema, range_stats,
-                                 word_count)
+                                 reconcile, word_count)
+from tidewater.plans.sql import run_script
 from tidewater.session import get_spark
 from tidewater.sources import (EventSourceSpec, SourceSpec, event_source, load_source,
                                read_event_log)
@@ -75,6 +80,33 @@ def history(spark: SparkSession, logs: str, out: str) -> None:
     app_summary(read_event_log(spark, logs)).write.mode("overwrite").parquet(out)
 
 
+def sql(spark: SparkSession, data_dir: str | None, text: str, out: str | None = None,
+        show: int = 20) -> DataFrame:
+    """SQL text (statements separated by ';') over the parquet tables of
+    ``data_dir`` (registered as views by file name); the last result is
+    shown or written as parquet."""
+    import os
+    statements = [t.strip() for t in text.split(";") if t.strip()]
+    if data_dir:
+        from tidewater.sources.files import register_tables
+        names = [f[:-len(".parquet")] for f in sorted(os.listdir(data_dir))
+                 if f.endswith(".parquet")]
+        register_tables(spark, data_dir, names)
+    result = run_script(spark, statements)
+    if out:
+        result.write.mode("overwrite").parquet(out)
+    else:
+        result.show(show, truncate=False)
+    return result
+
+
+def reconcile_job(spark: SparkSession, desired: SourceSpec, actual: SourceSpec, key: str,
+                  out: str) -> None:
+    """The create / keep / delete plan per key, written as parquet."""
+    plan = reconcile(load_source(spark, desired), load_source(spark, actual), key)
+    plan.write.mode("overwrite").parquet(out)
+
+
 def main(argv=None) -> None:
     p = argparse.ArgumentParser(prog="tidewater.jobs")
     sub = p.add_subparsers(dest="job", required=True)
@@ -97,6 +129,17 @@ def main(argv=None) -> None:
     h = sub.add_parser("history")
     h.add_argument("--logs", required=True)
     h.add_argument("--out", required=True)
+    q = sub.add_parser("sql")
+    q.add_argument("--data-dir", default=None)
+    q.add_argument("--query", default=None)
+    q.add_argument("--file", default=None)
+    q.add_argument("--out", default=None)
+    r = sub.add_parser("reconcile")
+    r.add_argument("--desired", required=True)
+    r.add_argument("--actual", required=True)
+    r.add_argument("--key", required=True)
+    r.add_argument("--format", default="parquet")
+    r.add_argument("--out", required=True)
     a = p.parse_args(argv)
 
     spark = get_spark(f"tidewater-{a.job}")
@@ -111,6 +154,12 @@ def main(argv=None) -> None:
         bronze(spark, a.source, a.out, a.checkpoint, a.trigger)
     elif a.job == "history":
         history(spark, a.logs, a.out)
+    elif a.job == "sql":
+        text = a.query if a.query else open(a.file).read()
+        sql(spark, a.data_dir, text, a.out)
+    elif a.job == "reconcile":
+        reconcile_job(spark, SourceSpec(a.format, a.desired), SourceSpec(a.format, a.actual),
+                      a.key, a.out)
 
 
 if __name__ == "__main__":
