@@ -31,8 +31,8 @@ def _cols(cs) -> list[Column]:
 
 
 def split_by_class(df: DataFrame, class_col: str, classes: Sequence[str]) -> list[DataFrame]:
-    """One DataFrame per class value (filters; they share the input scan
-    plan)."""
+    """One DataFrame per class value: a filter each, so each part that is
+    consumed scans the input; ``order_parts`` re-unites parts in one pass."""
     return [df.filter(F.col(class_col) == F.lit(c)) for c in classes]
 
 
