@@ -102,10 +102,12 @@ def rollup_totals(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Col
     """Sums per key combination plus subtotal and grand-total rows
     (``ROLLUP``); ``gid`` is ``grouping_id`` (0 = detail row).
 
-    Measures are computed once per input row in a projection BEFORE the
-    rollup; otherwise they would be evaluated again for every grouping set
-    after the Expand."""
+    Sums decompose, so the rows are first summed per full key (partial
+    aggregation, each measure computed once per input row) and only those
+    group rows go through the rollup's Expand, instead of every input row
+    once per grouping level."""
     measured = df.select(*keys, *[m.alias(name) for name, m in measures.items()])
-    return (measured.rollup(*keys)
+    detail = measured.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in measures])
+    return (detail.rollup(*keys)
             .agg(*[F.sum(name).alias(name) for name in measures],
                  F.grouping_id().alias("gid")))
