@@ -169,7 +169,14 @@ def q_head_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("describe_schema", """
-SELECT * FROM (VALUES
+SELECT position, column_name, data_type, nullable, CASE position
+    WHEN 1 THEN (SELECT count(event_id) FROM events)
+    WHEN 2 THEN (SELECT count(ts) FROM events)
+    WHEN 3 THEN (SELECT count(user_id) FROM events)
+    WHEN 4 THEN (SELECT count(event_type) FROM events)
+    WHEN 5 THEN (SELECT count(value) FROM events)
+    WHEN 6 THEN (SELECT count(props) FROM events) END AS non_null
+FROM (VALUES
   (1, 'event_id', 'bigint', true),
   (2, 'ts', 'timestamp_ntz', true),
   (3, 'user_id', 'bigint', true),
@@ -178,7 +185,8 @@ SELECT * FROM (VALUES
   (6, 'props', 'string', true)) AS t(position, column_name, data_type, nullable)
 """)
 def q_describe_schema(spark: SparkSession, d: str) -> DataFrame:
-    return describe_schema(_t(spark, d, "events"))
+    """The analyzed schema of events with the non-null count per column."""
+    return describe_schema(_t(spark, d, "events"), count_values=True)
 
 
 @query("catalog_roundtrip", """
