@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidewater.plans.registry import query
 from tidewater.session import shared_dir
 from tidewater.sources.events import EVENTS_SCHEMA, EventSourceSpec, event_source
+from tidewater.sources.files import read_table
+from tidewater.streaming.decode import decode_events, encode_events
 from tidewater.streaming.jobs import bronze_ingest, running_aggregate, validate_stream
 
 
@@ -52,3 +54,17 @@ def q_stream_validate(spark: SparkSession, d: str) -> DataFrame:
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").select(
         "event_id", "ts", "user_id", "event_type", "value", "props", "reject_reason", "status")
+
+
+@query("stream_decode", "SELECT * FROM events")
+def q_stream_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Topic payloads replayed from files: events encoded as JSON lines
+    (what the topic carries), streamed as text, decoded with the explicit
+    schema and appended to a bronze folder."""
+    root = shared_dir(spark, "payloads")
+    encode_events(read_table(spark, d, "events")).select("value").write.text(f"{root}/in")
+    raw = event_source(spark, EventSourceSpec(kind="files", path=f"{root}/in",
+                                              file_format="text"))
+    q = bronze_ingest(decode_events(raw), f"{root}/table", f"{root}/_checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/table").drop("ingest_ts")

@@ -42,7 +42,9 @@ def event_source(spark: SparkSession, spec: EventSourceSpec,
 
     ``kafka`` yields Spark's standard Kafka rows (key, value, topic, partition,
     offset, timestamp, timestampType); decode ``value`` with
-    ``tidewater.streaming.decode_events``. ``files`` yields rows of ``schema``.
+    ``tidewater.streaming.decode_events``. ``files`` yields rows of ``schema``,
+    except for ``file_format="text"``: one payload line per row in ``value``,
+    decoded the same way as topic values.
     """
     if spec.kind == "kafka":
         reader = (spark.readStream.format("kafka")
@@ -53,7 +55,9 @@ def event_source(spark: SparkSession, spec: EventSourceSpec,
             reader = reader.option("maxOffsetsPerTrigger", str(spec.max_per_trigger))
         return reader.options(**dict(spec.options)).load()
     if spec.kind == "files":
-        reader = spark.readStream.format(spec.file_format).schema(schema)
+        reader = spark.readStream.format(spec.file_format)
+        if spec.file_format != "text":  # text files are payload lines: one `value` column
+            reader = reader.schema(schema)
         if spec.max_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(spec.max_per_trigger))
         return reader.options(**dict(spec.options)).load(spec.path)
