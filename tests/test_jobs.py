@@ -46,3 +46,19 @@ def test_reconcile_job(spark, sf_small):
                        "key", out)
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     assert got == [("a", "create"), ("b", "keep"), ("c", "delete")]
+
+
+def test_bronze_job(spark, sf_small):
+    root = shared_dir(spark, "test-bronze-job")
+    src = root + "/in"
+    spark.read.parquet(f"{sf_small}/events.parquet").write.parquet(src)
+    jobs.bronze(spark, src, root + "/out", root + "/ckpt", trigger="availableNow")
+    assert spark.read.parquet(root + "/out").count() == 1000
+
+
+def test_history_job(spark, sf_small):
+    from tidewater.plans.history import _log_dir
+    out = shared_dir(spark, "test-history-job")
+    jobs.history(spark, _log_dir(spark, sf_small), out)
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 1 and rows[0].n_tasks > 0
