@@ -47,9 +47,13 @@ def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFram
 def _place(df: DataFrame, key: str, sort_cols: list[Column], partitions: int | None) -> DataFrame:
     """Range-partition and sort once, tag each row with its partition and
     position, write the result to the shared folder and read it back."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Without an explicit count, adaptive execution may merge neighbouring
+    # range partitions; merged ones are still contiguous ranges, and the
+    # partition ids are read inside the one job that writes them.
+    ranged = (df.repartitionByRange(partitions, *sort_cols) if partitions
+              else df.repartitionByRange(*sort_cols))
     path = shared_dir(df.sparkSession, "ranked")
-    (df.repartitionByRange(n, *sort_cols)
+    (ranged
        .sortWithinPartitions(*sort_cols)
        .withColumn("_pid", F.spark_partition_id())
        .withColumn("_idx", F.monotonically_increasing_id())
