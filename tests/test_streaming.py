@@ -105,3 +105,19 @@ def test_kafka_source_needs_connector(spark):
         return
     assert {"key", "value", "topic", "partition", "offset"} <= set(df.columns)
     pytest.skip("Kafka connector present")
+
+
+def test_processing_time_trigger(spark, sf_small):
+    """The polling interval path: a running query picks up files, then stops."""
+    root = shared_dir(spark, "test-poll")
+    src = _local(root) + "/in"
+    os.makedirs(src)
+    pq.write_table(pq.read_table(f"{sf_small}/events.parquet"), f"{src}/e.parquet")
+    spec = EventSourceSpec(kind="files", path=src)
+    q = bronze_ingest(event_source(spark, spec), f"{root}/table", f"{root}/_ckpt",
+                      trigger="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(f"{root}/table").count() == 1000
