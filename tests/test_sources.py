@@ -40,6 +40,9 @@ def test_file_inventory_prefix(spark, sf_small):
     r = inv.filter("name = 'events.parquet'").collect()[0]
     assert r.size == os.path.getsize(f"{sf_small}/events.parquet")
     assert r.path.endswith("/events.parquet")
+    assert r.lastModifiedIso.startswith(r.lastModified.strftime("%Y-%m-%dT%H:%M:%S"))
+    with_uri = file_inventory(spark, sf_small, prefix="events", base_uri="s3a://bucket/")
+    assert with_uri.collect()[0].uri == "s3a://bucket/events.parquet"
 
 
 def test_catalog_roundtrip(spark):

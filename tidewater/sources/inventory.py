@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 
 def file_inventory(spark: SparkSession, root: str, prefix: str = "",
-                   glob: str | None = None) -> DataFrame:
+                   glob: str | None = None, base_uri: str | None = None) -> DataFrame:
     """One row per file under ``root`` whose name relative to ``root`` starts
-    with ``prefix``: name, size, lastModified, full path.
+    with ``prefix``: name, size, lastModified (timestamp), lastModifiedIso
+    (ISO text with offset), full path, and ``uri`` = ``base_uri/name`` when a
+    base (such as a bucket URI) is given.
 
     The ``binaryFile`` source lists files in parallel; because ``content`` is
     never selected, no file body is read.
     """
+    from tidewater.functions.times import iso_ts
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -22,12 +25,16 @@ def file_inventory(spark: SparkSession, root: str, prefix: str = "",
     # Paths come back fully qualified (file:/..., s3a://...); name is the part
     # after the root folder.
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _tail_pattern(root_uri) + "/", "")
-    return (files
-            .select(rel.alias("name"),
-                    F.col("length").alias("size"),
-                    F.col("modificationTime").alias("lastModified"),
-                    F.col("path"))
-            .filter(F.startswith(F.col("name"), F.lit(prefix))))
+    out = (files
+           .select(rel.alias("name"),
+                   F.col("length").alias("size"),
+                   F.col("modificationTime").alias("lastModified"),
+                   iso_ts("modificationTime", with_offset=True).alias("lastModifiedIso"),
+                   F.col("path"))
+           .filter(F.startswith(F.col("name"), F.lit(prefix))))
+    if base_uri:
+        out = out.withColumn("uri", F.concat(F.lit(base_uri.rstrip("/") + "/"), F.col("name")))
+    return out
 
 
 def _tail_pattern(root: str) -> str:
