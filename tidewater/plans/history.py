@@ -28,9 +28,12 @@ def _log_dir(spark: SparkSession, d: str) -> str:
     key = (spark.sparkContext.applicationId, d)
     if key not in _LOGS:
         out = shared_dir(spark, "eventlog")
+        # The event-log writer needs the folder to exist.
         local = out[len("file:"):] if out.startswith("file:") else out
         if "://" not in local:
-            os.makedirs(local, exist_ok=True)  # the event-log writer needs the folder
+            os.makedirs(local, exist_ok=True)
+        else:  # shared remote storage: an empty write creates it
+            spark.createDataFrame([], "x int").write.mode("overwrite").parquet(out)
         cmd = [sys.executable, "-m", "tidewater.plans.logged_job", d, out]
         env = dict(os.environ)
         repo_root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
