@@ -82,3 +82,55 @@ def test_insert_if_absent_like_sets(spark, target, new):
     tv = {k for k in target if k}
     assert added == sorted({k for k in new if k} - tv)
     assert len([r for r in out if r.v == 0]) == len(target)
+
+
+rank_rows = st.lists(st.tuples(st.sampled_from(["a", "b", None]),
+                               st.one_of(st.none(), st.integers(0, 4))),
+                     min_size=1, max_size=25)
+
+
+@settings(max_examples=8, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rank_rows, st.booleans())
+def test_ranking_like_window(spark, rows, asc):
+    from pyspark.sql import Window
+    from tidewater.operators import ntile_from, rank_within_key, row_number_within_key
+    df = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(rows)],
+                               "id int, k string, v int")
+    vo = F.col("v").asc() if asc else F.col("v").desc()
+    w_rn = Window.partitionBy("k").orderBy(vo, "id")
+    w_rk = Window.partitionBy("k").orderBy(vo)
+    want = {r.id: tuple(r)[1:] for r in df.select(
+        "id", F.row_number().over(w_rn).cast("long"), F.ntile(3).over(w_rn).cast("long"),
+        F.rank().over(w_rk).cast("long"), F.dense_rank().over(w_rk).cast("long")).collect()}
+    numbered = row_number_within_key(df, "k", ["v", "id"], [asc, True], out="rn",
+                                     count_col="cnt", partitions=4)
+    tiled = numbered.withColumn("t3", ntile_from("rn", "cnt", 3))
+    ranked = rank_within_key(tiled, "k", ["v"], [asc], rank_col="rk", dense_col="drk")
+    got = {r.id: (r.rn, r.t3, r.rk, r.drk) for r in ranked.collect()}
+    assert got == want
+
+
+@settings(max_examples=6, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 6),
+                          st.integers(-3, 3)), min_size=1, max_size=25))
+def test_frames_like_window(spark, rows):
+    from pyspark.sql import Window
+    from tidewater.operators import (neighbours_within_key, range_count_within_key,
+                                     row_number_within_key, rows_frame_sum)
+    df = spark.createDataFrame([(i, k, t, x) for i, (k, t, x) in enumerate(rows)],
+                               "id int, k string, t long, x long")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    wr = Window.partitionBy("k").orderBy("t").rangeBetween(-2, Window.currentRow)
+    want = {r.id: tuple(r)[1:] for r in df.select(
+        "id", F.lag("x").over(w), F.lead("id").over(w),
+        F.sum("x").over(w.rowsBetween(-1, Window.currentRow)),
+        F.count(F.lit(1)).over(wr)).collect()}
+    numbered = row_number_within_key(df, "k", ["t", "id"], out="rn", weight="x",
+                                     weight_out="run", partitions=4)
+    near = neighbours_within_key(numbered, "k", "rn", [("x", -1, "lag"), ("id", 1, "lead")])
+    summed = rows_frame_sum(near, "k", "rn", "run", 1, "s2")
+    got_df = range_count_within_key(summed, "k", "t", F.lit(2), "n2")
+    got = {r.id: (r.lag, r.lead, r.s2, r.n2) for r in got_df.collect()}
+    assert got == want
