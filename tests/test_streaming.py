@@ -121,3 +121,19 @@ def test_processing_time_trigger(spark, sf_small):
     finally:
         q.stop()
     assert spark.read.parquet(f"{root}/table").count() == 1000
+
+
+def test_bronze_into_three_part_table(spark, sf_small):
+    """Stream into <catalog>.<database>.<table>, as a bronze table is named."""
+    from tidewater.sources import ensure_database
+    root = shared_dir(spark, "test-bronze-table")
+    ensure_database(spark, "spark_catalog.tw_bronze", f"{root}/db")
+    src = _local(root) + "/in"
+    os.makedirs(src)
+    pq.write_table(pq.read_table(f"{sf_small}/events.parquet"), f"{src}/e.parquet")
+    name = "spark_catalog.tw_bronze.raw_events_" + root.rsplit("-", 1)[-1]
+    q = bronze_ingest(event_source(spark, EventSourceSpec(kind="files", path=src)), None,
+                      f"{root}/_ckpt", table=name)
+    q.awaitTermination()
+    assert spark.table(name).count() == 1000
+    assert "ingest_ts" in spark.table(name).columns

@@ -10,6 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Create a database (namespace) if missing; ``name`` may carry a catalog
+    (``catalog.db``). With ``location`` its managed tables live in that
+    shared folder instead of the warehouse default."""
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}{where}")
+
+
 def save_table(df: DataFrame, name: str, path: str | None = None,
                fmt: str = "parquet", mode: str = "overwrite",
                partition_by: list[str] | None = None) -> None:
