@@ -52,3 +52,12 @@ def test_top_n_per_key_limits_before_shuffle(plans):
 
 def test_one_aggregate_for_all_statistics(plans):
     assert plans["column_stats"].count("HashAggregate(keys=[]") == 2  # partial + final
+
+
+def test_map_only_queries_stay_in_codegen(plans):
+    """Column work compiles into one whole-stage-codegen stage over the scan."""
+    for name in ("validate_events", "rewrite_links", "derive_key", "normalize_status",
+                 "iso_ts", "suffix_allowlist", "parity_table"):
+        plan = plans[name]
+        assert "*(1)" in plan, name           # a codegen stage
+        assert "Exchange" not in plan, name   # no shuffle for row-wise work
