@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.plans.batch import _TAGGED_EVENTS_SQL
 from tidewater.plans.registry import query
 from tidewater.session import shared_dir
 from tidewater.sources.events import EVENTS_SCHEMA, EventSourceSpec, event_source
@@ -42,15 +43,19 @@ def q_stream_running_agg(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_type", "n", F.round("total_value", 2).alias("total_value"))
 
 
-@query("stream_validate", """
-SELECT event_id, ts, user_id, event_type, value, props, NULL::VARCHAR AS reject_reason,
-       'valid' AS status FROM events
+@query("stream_validate", _TAGGED_EVENTS_SQL + """
+SELECT *, CASE WHEN reject_reason IS NULL THEN 'valid' ELSE 'quarantine' END AS status FROM t
 """)
 def q_stream_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Validation as a stream: valid and quarantined rows land in one
-    partitioned folder."""
+    """Validation as a stream over derived events (every 17th value made
+    negative): valid and quarantined rows land in one folder partitioned by
+    status, in one pass."""
     root = shared_dir(spark, "validated")
-    q = validate_stream(_event_files(spark, d), f"{root}/out", f"{root}/_checkpoint")
+    ev = read_table(spark, d, "events")
+    ev.withColumn("value", F.when(F.col("event_id") % 17 == 0, -F.col("value"))
+                  .otherwise(F.col("value"))).write.parquet(f"{root}/in")
+    stream = event_source(spark, EventSourceSpec(kind="files", path=f"{root}/in"))
+    q = validate_stream(stream, f"{root}/out", f"{root}/_checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").select(
         "event_id", "ts", "user_id", "event_type", "value", "props", "reject_reason", "status")
