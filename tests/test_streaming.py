@@ -82,6 +82,9 @@ def test_validate_stream(spark, sf_small):
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     assert out.filter("status = 'valid'").count() == 1000
+    metrics = [p["observedMetrics"]["validation"] for p in q.recentProgress
+               if p["numInputRows"] > 0]
+    assert sum(m["rows"] for m in metrics) == 1000 and sum(m["rejected"] for m in metrics) == 0
 
 
 def test_decode_roundtrip_and_bad_payload(spark, sf_small):

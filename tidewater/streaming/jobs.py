@@ -42,10 +42,13 @@ def bronze_ingest(stream: DataFrame, path: str | None, checkpoint: str,
 def validate_stream(stream: DataFrame, out_path: str, checkpoint: str,
                     trigger: str | None = None) -> StreamingQuery:
     """Tag each event with its first broken rule and append it under
-    ``status=valid`` or ``status=quarantine`` in one pass."""
-    tagged = tag_rejects(stream).withColumn(
+    ``status=valid`` or ``status=quarantine`` in one pass. Rows and rejected
+    rows per micro-batch are reported as observed metrics (``validation``)."""
+    tagged = (tag_rejects(stream).withColumn(
         "status", F.when(F.col("reject_reason").isNull(), F.lit("valid"))
                    .otherwise(F.lit("quarantine")))
+        .observe("validation", F.count(F.lit(1)).alias("rows"),
+                 F.count_if(F.col("reject_reason").isNotNull()).alias("rejected")))
     writer = (tagged.writeStream.outputMode("append").format("parquet")
               .partitionBy("status").option("checkpointLocation", checkpoint))
     return _trigger(writer, trigger).start(out_path)
