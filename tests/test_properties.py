@@ -104,9 +104,10 @@ def test_ranking_like_window(spark, rows, asc):
         "id", F.row_number().over(w_rn).cast("long"), F.ntile(3).over(w_rn).cast("long"),
         F.rank().over(w_rk).cast("long"), F.dense_rank().over(w_rk).cast("long")).collect()}
     numbered = row_number_within_key(df, "k", ["v", "id"], [asc, True], out="rn",
-                                     count_col="cnt", partitions=4)
+                                     count_col="cnt", partitions=4, hot_key_rows=5)
     tiled = numbered.withColumn("t3", ntile_from("rn", "cnt", 3))
-    ranked = rank_within_key(tiled, "k", ["v"], [asc], rank_col="rk", dense_col="drk")
+    ranked = rank_within_key(tiled, "k", ["v"], [asc], rank_col="rk", dense_col="drk",
+                             hot_key_rows=2)
     got = {r.id: (r.rn, r.t3, r.rk, r.drk) for r in ranked.collect()}
     assert got == want
 
@@ -128,9 +129,9 @@ def test_frames_like_window(spark, rows):
         F.sum("x").over(w.rowsBetween(-1, Window.currentRow)),
         F.count(F.lit(1)).over(wr)).collect()}
     numbered = row_number_within_key(df, "k", ["t", "id"], out="rn", weight="x",
-                                     weight_out="run", partitions=4)
+                                     weight_out="run", partitions=4, hot_key_rows=5)
     near = neighbours_within_key(numbered, "k", "rn", [("x", -1, "lag"), ("id", 1, "lead")])
     summed = rows_frame_sum(near, "k", "rn", "run", 1, "s2")
-    got_df = range_count_within_key(summed, "k", "t", F.lit(2), "n2")
+    got_df = range_count_within_key(summed, "k", "t", F.lit(2), "n2", hot_key_rows=5)
     got = {r.id: (r.lag, r.lead, r.s2, r.n2) for r in got_df.collect()}
     assert got == want

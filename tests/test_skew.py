@@ -80,10 +80,13 @@ def test_ranking_on_hot_key_matches_window(spark, skewed):
     want = ev.select("event_id", F.row_number().over(w_rn).alias("rn"),
                      F.ntile(3).over(w_rn).cast("bigint").alias("t3"),
                      F.rank().over(w_rk).alias("rk"), F.dense_rank().over(w_rk).alias("drk"))
+    # the hot user (a third of the rows) is numbered by range slices, the
+    # others by windows; range count left to AQE
     numbered = row_number_within_key(ev, "user_id", ["value", "event_id"], [False, True],
-                                     out="rn", count_col="cnt")  # range count left to AQE
+                                     out="rn", count_col="cnt", hot_key_rows=1000)
     tiled = numbered.withColumn("t3", ntile_from("rn", "cnt", 3))
-    got = rank_within_key(tiled, "user_id", ["event_type"], rank_col="rk", dense_col="drk")
+    got = rank_within_key(tiled, "user_id", ["event_type"], rank_col="rk", dense_col="drk",
+                          hot_key_rows=2)
     got = got.select("event_id", "rn", "t3", F.col("rk").cast("int").alias("rk"),
                      F.col("drk").cast("int").alias("drk"))
     g = {r.event_id: (r.rn, r.t3, r.rk, r.drk) for r in got.collect()}
@@ -114,12 +117,14 @@ def test_frames_on_hot_key_match_window(spark, skewed):
                      F.sum("v").over(w3).alias("s3"),
                      F.count(F.lit(1)).over(wr).alias("upto"))
     numbered = row_number_within_key(ev, "user_id", ["ts", "event_id"], out="rn",
-                                     weight="v", weight_out="run", partitions=16)
+                                     weight="v", weight_out="run", partitions=16,
+                                     hot_key_rows=1000)
     near = neighbours_within_key(numbered, "user_id", "rn",
                                  [("value", -1, "prev"), ("event_id", 2, "next2")])
     summed = rows_frame_sum(near, "user_id", "rn", "run", 2, "s3")
     # RANGE over the whole past (a span longer than the data) = rows with ts <= t
-    got = range_count_within_key(summed, "user_id", "ts", F.expr("INTERVAL 400 DAYS"), "upto")
+    got = range_count_within_key(summed, "user_id", "ts", F.expr("INTERVAL 400 DAYS"), "upto",
+                                 hot_key_rows=1000)
     g = {r.event_id: (r.prev, r.next2, r.s3, r.upto) for r in got.collect()}
     e = {r.event_id: (r.prev, r.next2, r.s3, r.upto) for r in want.collect()}
     assert g == e

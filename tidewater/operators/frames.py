@@ -53,7 +53,7 @@ def rows_frame_sum(numbered: DataFrame, key: str, rn: str, running: str, precedi
 
 
 def range_count_within_key(df: DataFrame, key: str, ts: str, span: Column,
-                           out: str) -> DataFrame:
+                           out: str, hot_key_rows: int | None = None) -> DataFrame:
     """``count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN span
     PRECEDING AND CURRENT ROW)``: rows of the key with ts in [t - span, t],
     peers of t included.
@@ -69,7 +69,7 @@ def range_count_within_key(df: DataFrame, key: str, ts: str, span: Column,
                            F.lit(0).cast("bigint").alias("_c"), F.col(ts).alias("_for"))
     merged = data.unionByName(probes)
     counted = row_number_within_key(merged, key, ["_t", "_kind"], out="_pos", weight="_c",
-                                    weight_out="_upto")
+                                    weight_out="_upto", hot_key_rows=hot_key_rows)
     upto = counted.filter("_kind = 1").select(key, F.col("_for").alias(ts),
                                               F.col("_upto").alias("_le"))
     before = counted.filter("_kind = 0").select(key, F.col("_for").alias(ts),

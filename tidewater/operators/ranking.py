@@ -61,18 +61,65 @@ def _place(df: DataFrame, key: str, sort_cols: list[Column], partitions: int | N
     return df.sparkSession.read.parquet(path)
 
 
+# Keys with more rows than this are numbered by range slices; the others by
+# an ordinary window (one task per key sorts at most this many rows).
+HOT_KEY_ROWS = 1_000_000
+
+# Up to this many hot keys the hot-key list is broadcast for the split. The
+# list is bounded anyway: rows / HOT_KEY_ROWS keys at most.
+HOT_KEYS_BROADCAST = 200_000
+
+
 def row_number_within_key(df: DataFrame, key: str, order: Sequence[str],
                           ascending: Sequence[bool] | None = None, out: str = "rn",
                           count_col: str | None = None, weight: str | None = None,
-                          weight_out: str | None = None,
-                          partitions: int | None = None) -> DataFrame:
+                          weight_out: str | None = None, partitions: int | None = None,
+                          hot_key_rows: int | None = None) -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY order...)``, 1-based.
 
     ``order`` must be a total order within a key (end it with a unique
     column). ``count_col`` adds the number of rows of the key. With
     ``weight``, ``weight_out`` is the running sum of that column up to and
-    including the row (in the same order)."""
+    including the row (in the same order).
+
+    Keys are counted first (a partial aggregate). Keys with more than
+    ``hot_key_rows`` rows are split off with a join against that short key
+    list and numbered by range slices; all other keys use an ordinary window,
+    where no task sorts more than ``hot_key_rows`` rows of one key."""
     ascending = list(ascending) if ascending is not None else [True] * len(order)
+    limit = HOT_KEY_ROWS if hot_key_rows is None else hot_key_rows
+    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+           .filter(F.col("_size") > limit).select(F.col(key).alias("_hot_key")))
+    n_hot = hot.count()
+    args = (key, order, ascending, out, count_col, weight, weight_out)
+    if n_hot == 0:
+        return _number_by_window(df, *args)
+    hot_keys = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST else hot
+    cond = F.col(key).eqNullSafe(F.col("_hot_key"))  # a hot NULL key is split off too
+    hot_rows = df.join(hot_keys, cond, "left_semi")
+    cold_rows = df.join(hot_keys, cond, "left_anti")
+    return _number_by_window(cold_rows, *args).unionByName(
+        _number_by_slices(hot_rows, *args, partitions))
+
+
+def _number_by_window(df: DataFrame, key: str, order: Sequence[str], ascending: list[bool],
+                      out: str, count_col: str | None, weight: str | None,
+                      weight_out: str | None) -> DataFrame:
+    """The same columns from ordinary windows (for keys that fit one task)."""
+    w = Window.partitionBy(key).orderBy(*_sort_cols(key, order, ascending)[1:])
+    res = df.withColumn(out, F.row_number().over(w).cast("bigint"))
+    if count_col:
+        res = res.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(key)))
+    if weight:
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        res = res.withColumn(weight_out, F.sum(weight).over(upto))
+    return res
+
+
+def _number_by_slices(df: DataFrame, key: str, order: Sequence[str], ascending: list[bool],
+                      out: str, count_col: str | None, weight: str | None,
+                      weight_out: str | None, partitions: int | None) -> DataFrame:
+    """Numbering by range slices written once to the shared folder."""
     placed = _place(df, key, _sort_cols(key, order, ascending), partitions)
     # One row per (key, partition): where the slice starts, its size, its weight.
     sums = [F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n")]
@@ -100,7 +147,8 @@ def row_number_within_key(df: DataFrame, key: str, order: Sequence[str],
 
 def rank_within_key(df: DataFrame, key: str, order: Sequence[str],
                     ascending: Sequence[bool] | None = None, rank_col: str = "rank",
-                    dense_col: str | None = None) -> DataFrame:
+                    dense_col: str | None = None,
+                    hot_key_rows: int | None = None) -> DataFrame:
     """``rank()`` (and optionally ``dense_rank()``) by ``order`` within key.
 
     Ties are collapsed first: one row per (key, order value) with its row
@@ -112,7 +160,8 @@ def rank_within_key(df: DataFrame, key: str, order: Sequence[str],
     tie = [key, *order]
     groups = df.groupBy(*tie).agg(F.count(F.lit(1)).alias("_c"))
     numbered = row_number_within_key(groups, key, list(order), ascending, out="_g",
-                                     weight="_c", weight_out="_upto")
+                                     weight="_c", weight_out="_upto",
+                                     hot_key_rows=hot_key_rows)
     ranks = numbered.select(*tie, (F.col("_upto") - F.col("_c") + 1).alias(rank_col),
                             *([F.col("_g").alias(dense_col)] if dense_col else []))
     return _join_on(df, ranks, tie)
@@ -133,7 +182,9 @@ def ntile_from(rn, cnt, buckets: int) -> Column:
 
 
 def ntile_within_key(df: DataFrame, key: str, order: Sequence[str], buckets: int,
-                     ascending: Sequence[bool] | None = None, out: str = "ntile") -> DataFrame:
+                     ascending: Sequence[bool] | None = None, out: str = "ntile",
+                     hot_key_rows: int | None = None) -> DataFrame:
     """``ntile(buckets)`` by a total ``order`` within key."""
-    numbered = row_number_within_key(df, key, order, ascending, out="_rn", count_col="_cnt")
+    numbered = row_number_within_key(df, key, order, ascending, out="_rn", count_col="_cnt",
+                                     hot_key_rows=hot_key_rows)
     return numbered.withColumn(out, ntile_from("_rn", "_cnt", buckets)).drop("_rn", "_cnt")
