@@ -129,9 +129,11 @@ def test_frames_like_window(spark, rows):
         F.sum("x").over(w.rowsBetween(-1, Window.currentRow)),
         F.count(F.lit(1)).over(wr)).collect()}
     numbered = row_number_within_key(df, "k", ["t", "id"], out="rn", weight="x",
-                                     weight_out="run", partitions=4, hot_key_rows=5)
-    near = neighbours_within_key(numbered, "k", "rn", [("x", -1, "lag"), ("id", 1, "lead")])
-    summed = rows_frame_sum(near, "k", "rn", "run", 1, "s2")
+                                     weight_out="run", partitions=4, hot_key_rows=5,
+                                     hot_col="hot")
+    near = neighbours_within_key(numbered, "k", "rn", [("x", -1, "lag"), ("id", 1, "lead")],
+                                 hot_col="hot")
+    summed = rows_frame_sum(near, "k", "rn", "run", 1, "s2", hot_col="hot")
     got_df = range_count_within_key(summed, "k", "t", F.lit(2), "n2", hot_key_rows=5)
     got = {r.id: (r.lag, r.lead, r.s2, r.n2) for r in got_df.collect()}
     assert got == want

@@ -12,21 +12,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.ranking import _join_on, row_number_within_key
 
 
 def neighbours_within_key(numbered: DataFrame, key: str, rn: str,
-                          fetch: Sequence[tuple[str, int, str]]) -> DataFrame:
+                          fetch: Sequence[tuple[str, int, str]],
+                          hot_col: str | None = None) -> DataFrame:
     """For each ``(column, offset, out)``: ``out`` = ``column`` of the row at
     position ``rn + offset`` of the same key (NULL past either end), so
     offset -1 is ``lag`` and +1 is ``lead``.
 
-    All requests are answered by one join: the shifted projections are
-    unioned and collapsed to one row per (key, rn) (a partial aggregate),
-    then left-joined to the rows."""
+    Rows of hot keys (``hot_col`` true, as flagged by
+    ``row_number_within_key``; all rows when no flag is given) are answered by
+    one join: the shifted projections are unioned and collapsed to one row per
+    (key, rn) (a partial aggregate), then left-joined to the rows. Other rows
+    use ``lag``/``lead`` windows."""
+    if hot_col is None:
+        return _neighbours_by_join(numbered, key, rn, fetch)
+    w = Window.partitionBy(key).orderBy(rn)
+    cold = numbered.filter(~F.col(hot_col))
+    for col, offset, out in fetch:
+        shifted = F.lag(col, -offset) if offset < 0 else F.lead(col, offset)
+        cold = cold.withColumn(out, shifted.over(w))
+    hot = _neighbours_by_join(numbered.filter(F.col(hot_col)), key, rn, fetch)
+    return cold.unionByName(hot)
+
+
+def _neighbours_by_join(numbered: DataFrame, key: str, rn: str,
+                        fetch: Sequence[tuple[str, int, str]]) -> DataFrame:
     types = dict(numbered.dtypes)
     outs = [o for _, _, o in fetch]
     parts = []
@@ -43,11 +59,12 @@ def neighbours_within_key(numbered: DataFrame, key: str, rn: str,
 
 
 def rows_frame_sum(numbered: DataFrame, key: str, rn: str, running: str, preceding: int,
-                   out: str) -> DataFrame:
+                   out: str, hot_col: str | None = None) -> DataFrame:
     """``sum(x) OVER (... ROWS BETWEEN preceding PRECEDING AND CURRENT ROW)``
     from the running sum of x: running(rn) - running(rn - preceding - 1).
     Exact for integer and decimal x (use a decimal cast for money)."""
-    joined = neighbours_within_key(numbered, key, rn, [(running, -(preceding + 1), "_earlier")])
+    joined = neighbours_within_key(numbered, key, rn, [(running, -(preceding + 1), "_earlier")],
+                                   hot_col)
     return (joined.withColumn(out, F.col(running) - F.coalesce(F.col("_earlier"), F.lit(0)))
             .drop("_earlier"))
 

@@ -74,7 +74,8 @@ def row_number_within_key(df: DataFrame, key: str, order: Sequence[str],
                           ascending: Sequence[bool] | None = None, out: str = "rn",
                           count_col: str | None = None, weight: str | None = None,
                           weight_out: str | None = None, partitions: int | None = None,
-                          hot_key_rows: int | None = None) -> DataFrame:
+                          hot_key_rows: int | None = None,
+                          hot_col: str | None = None) -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY order...)``, 1-based.
 
     ``order`` must be a total order within a key (end it with a unique
@@ -85,21 +86,28 @@ def row_number_within_key(df: DataFrame, key: str, order: Sequence[str],
     Keys are counted first (a partial aggregate). Keys with more than
     ``hot_key_rows`` rows are split off with a join against that short key
     list and numbered by range slices; all other keys use an ordinary window,
-    where no task sorts more than ``hot_key_rows`` rows of one key."""
+    where no task sorts more than ``hot_key_rows`` rows of one key.
+    ``hot_col`` adds a literal flag telling which way a row went; a later
+    filter on it is folded by the optimizer, so downstream steps can treat
+    the two kinds of rows differently at no extra cost."""
     ascending = list(ascending) if ascending is not None else [True] * len(order)
     limit = HOT_KEY_ROWS if hot_key_rows is None else hot_key_rows
     hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
            .filter(F.col("_size") > limit).select(F.col(key).alias("_hot_key")))
     n_hot = hot.count()
     args = (key, order, ascending, out, count_col, weight, weight_out)
+
+    def flagged(numbered: DataFrame, is_hot: bool) -> DataFrame:
+        return numbered.withColumn(hot_col, F.lit(is_hot)) if hot_col else numbered
+
     if n_hot == 0:
-        return _number_by_window(df, *args)
+        return flagged(_number_by_window(df, *args), False)
     hot_keys = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST else hot
     cond = F.col(key).eqNullSafe(F.col("_hot_key"))  # a hot NULL key is split off too
     hot_rows = df.join(hot_keys, cond, "left_semi")
     cold_rows = df.join(hot_keys, cond, "left_anti")
-    return _number_by_window(cold_rows, *args).unionByName(
-        _number_by_slices(hot_rows, *args, partitions))
+    return flagged(_number_by_window(cold_rows, *args), False).unionByName(
+        flagged(_number_by_slices(hot_rows, *args, partitions), True))
 
 
 def _number_by_window(df: DataFrame, key: str, order: Sequence[str], ascending: list[bool],

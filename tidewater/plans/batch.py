@@ -597,9 +597,10 @@ def q_frames_per_key(spark: SparkSession, d: str) -> DataFrame:
     ev = (_t(spark, d, "events").select("event_id", "user_id", "ts", "value")
           .withColumn("_v", F.col("value").cast("decimal(18,2)")))
     numbered = row_number_within_key(ev, "user_id", ["ts", "event_id"], out="_rn",
-                                     weight="_v", weight_out="_run")
+                                     weight="_v", weight_out="_run", hot_col="_hot")
     near = neighbours_within_key(numbered, "user_id", "_rn", [
-        ("value", -1, "prev_value"), ("event_id", 1, "next_event"), ("_run", -3, "_earlier")])
+        ("value", -1, "prev_value"), ("event_id", 1, "next_event"), ("_run", -3, "_earlier")],
+        hot_col="_hot")
     framed = near.withColumn(
         "sum3", (F.col("_run") - F.coalesce(F.col("_earlier"), F.lit(0))).cast("double"))
     counted = range_count_within_key(framed, "user_id", "ts", F.expr("INTERVAL 1 DAY"), "n_day")
