@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewater.session import shared_dir
 from tidewater.sources.events import EventSourceSpec, event_source
 from tidewater.streaming import (bronze_ingest, decode_events, encode_events,
-                                 running_aggregate, validate_stream)
+                                 read_running_result, running_aggregate, validate_stream)
 
 
 def _local(p):
@@ -65,7 +65,10 @@ def test_running_agg_equals_batch(spark, sf_small):
                           {"n": F.count(F.lit(1)), "total": F.sum("value")},
                           f"{root}/out", f"{root}/_ckpt")
     q.awaitTermination()
-    got = {r.event_type: (r.n, round(r.total, 6)) for r in spark.read.parquet(f"{root}/out").collect()}
+    written = spark.read.parquet(f"{root}/out")
+    assert sorted(r.slot for r in written.select("slot").distinct().collect()) == [0, 1]
+    got = {r.event_type: (r.n, round(r.total, 6))
+           for r in read_running_result(spark, f"{root}/out").collect()}
     ev = spark.read.parquet(f"{sf_small}/events.parquet")
     want = {r.event_type: (r.n, round(r.total, 6)) for r in ev.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).collect()}

@@ -13,7 +13,8 @@ from tidewater.session import shared_dir
 from tidewater.sources.events import EVENTS_SCHEMA, EventSourceSpec, event_source
 from tidewater.sources.files import read_table
 from tidewater.streaming.decode import decode_events, encode_events
-from tidewater.streaming.jobs import bronze_ingest, running_aggregate, validate_stream
+from tidewater.streaming.jobs import (bronze_ingest, read_running_result, running_aggregate,
+                                      validate_stream)
 
 
 def _event_files(spark: SparkSession, d: str, max_files: int | None = None) -> DataFrame:
@@ -39,7 +40,7 @@ def q_stream_running_agg(spark: SparkSession, d: str) -> DataFrame:
                           {"n": F.count(F.lit(1)), "total_value": F.sum("value")},
                           f"{root}/result", f"{root}/_checkpoint")
     q.awaitTermination()
-    out = spark.read.parquet(f"{root}/result")
+    out = read_running_result(spark, f"{root}/result")
     return out.select("event_type", "n", F.round("total_value", 2).alias("total_value"))
 
 

@@ -2,7 +2,8 @@
 aggregates. All take a streaming DataFrame and a shared checkpoint folder."""
 
 from tidewater.streaming.decode import decode_events, encode_events
-from tidewater.streaming.jobs import (bronze_ingest, running_aggregate, validate_stream)
+from tidewater.streaming.jobs import (bronze_ingest, read_running_result, running_aggregate,
+                                      validate_stream)
 
-__all__ = ["decode_events", "encode_events", "bronze_ingest", "running_aggregate",
+__all__ = ["decode_events", "encode_events", "bronze_ingest", "read_running_result", "running_aggregate",
            "validate_stream"]

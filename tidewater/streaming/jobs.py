@@ -57,15 +57,30 @@ def validate_stream(stream: DataFrame, out_path: str, checkpoint: str,
 def running_aggregate(stream: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
                       out_path: str, checkpoint: str,
                       trigger: str | None = None) -> StreamingQuery:
-    """Running totals per key in complete mode. Each micro-batch replaces the
-    result folder with the full current table (state stays in the state
-    store; nothing is gathered on the driver)."""
+    """Running totals per key in complete mode (state stays in the state
+    store; nothing is gathered on the driver).
+
+    Each micro-batch writes the full current table into one of two slots
+    (``slot = epoch % 2``) with dynamic partition overwrite, tagged with its
+    epoch; ``read_running_result`` returns the newest epoch present. A batch
+    that fails while replacing its slot leaves the other slot whole (readers
+    are one epoch behind until the replay rewrites it)."""
     agg = stream.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        (batch.withColumn("epoch", F.lit(epoch_id).cast("bigint"))
+              .withColumn("slot", F.lit(epoch_id % 2))
+              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+              .partitionBy("slot").parquet(out_path))
 
     writer = (agg.writeStream.outputMode("complete")
               .option("checkpointLocation", checkpoint)
               .foreachBatch(write_batch))
     return _trigger(writer, trigger).start()
+
+
+def read_running_result(spark, out_path: str) -> DataFrame:
+    """The newest complete result written by ``running_aggregate``."""
+    written = spark.read.parquet(out_path)
+    newest = written.select(F.max("epoch")).scalar()
+    return written.filter(F.col("epoch") == newest).drop("epoch", "slot")
