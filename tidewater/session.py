@@ -18,6 +18,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # Parquet decompresses to several times its file size; scale file-based
+    # size estimates so the static broadcast threshold is checked against an
+    # upper bound of the in-memory size (estimates only, never results).
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 
