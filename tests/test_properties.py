@@ -137,3 +137,40 @@ def test_frames_like_window(spark, rows):
     got_df = range_count_within_key(summed, "k", "t", F.lit(2), "n2", hot_key_rows=5)
     got = {r.id: (r.lag, r.lead, r.s2, r.n2) for r in got_df.collect()}
     assert got == want
+
+
+STATUS_WORDS = ["Running", "running", "SUCCEEDED", "Completed", "Pending", "ContainerCreating",
+                "Failed", "Error", "Evicted", "", None]
+
+
+@SETTINGS
+@given(st.lists(st.sampled_from(STATUS_WORDS), min_size=1, max_size=20))
+def test_status_words_like_dashboard(spark, values):
+    from tidewater.functions import STATUS_CLASSES, status_class, status_text
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
+    got = {r.i: (r.t, r.c) for r in df.select(
+        "i", status_text("s").alias("t"), status_class("s").alias("c")).collect()}
+    for i, v in enumerate(values):
+        s = (v or "").lower()
+        assert got[i] == (s or "unknown", STATUS_CLASSES.get(s, "unknown"))
+
+
+label_maps = st.one_of(st.none(), st.dictionaries(
+    st.sampled_from(["spark-role", "app", "x", "y"]), st.sampled_from(["", "v1", "v2"]),
+    max_size=3))
+
+
+@SETTINGS
+@given(st.lists(label_maps, min_size=1, max_size=15))
+def test_first_label_like_dashboard(spark, maps):
+    from tidewater.functions import first_label
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(maps)],
+                               "i int, labels map<string,string>")
+    rows = df.select("labels", first_label("labels", ["spark-role", "app"]).alias("l")).collect()
+    for r in rows:
+        m = r.labels  # entries in the order Spark holds them (a Python dict's order is not kept)
+        if not m:
+            want = "—"
+        else:
+            want = m.get("spark-role") or m.get("app") or list(m.values())[0] or "—"
+        assert r.l == want, (m, r.l)
