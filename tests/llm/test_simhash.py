@@ -1,0 +1,136 @@
+import itertools
+import random
+import re
+
+import numpy as np
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from conftest import by_id
+from tidewater.llm.simhash import anchors, clusters, drop_near_copies, fingerprint_links, near_duplicates, star_components
+
+
+def brute_fingerprint(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def near(fps, most):
+    return [(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= most]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.sets(st.integers(0, 31), max_size=2))
+def test_close_pieces_share_an_anchor(x, flips):
+    y = x
+    for f in flips:
+        y ^= 1 << f
+    _, a = anchors(np.array([x], np.uint64))
+    _, b = anchors(np.array([y], np.uint64))
+    assert set(a.tolist()) & set(b.tolist())
+    assert len(a) <= 17 and len(set(a.tolist())) == len(a)
+    assert all((x ^ v).bit_count() <= 2 for v in a.tolist())
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(0, 255), max_size=40), st.integers(0, 3))
+def test_clusters_connect_what_is_close(fps, most):
+    fps = sorted(fps)
+    links = [(int(a), int(b)) for x, y in clusters(np.array(fps, np.uint64), most) for a, b in zip(x, y)]
+    assert len(links) < max(1, len(fps))
+    # exact pairs or members of one cluster: the same components
+    assert components(fps, links) == components(fps, near(fps, most))
+
+
+def planted(seed, n, spread):
+    rng = random.Random(seed)
+    fps = {0}
+    for _ in range(n):
+        base = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            x = base
+            for b in rng.sample(range(64), rng.randint(0, spread)):
+                x ^= 1 << b
+            fps.add(x)
+            base = x if rng.random() < 0.5 else base
+    return sorted(fps)
+
+
+def links_of(spark, fps, most, **kw):
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    return [(r.a % (1 << 64), r.b % (1 << 64)) for r in fingerprint_links(df, most, **kw).collect()]
+
+
+def test_links_like_all_pairs(spark):
+    fps = planted(1, 400, 6)
+    for most in (0, 4, 5):
+        assert components(fps, links_of(spark, fps, most)) == components(fps, near(fps, most))
+
+
+def test_hot_anchors_in_slices(spark):
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    dense = {base ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(64)} | set(planted(3, 50, 5))
+    fps = sorted(dense)
+    assert components(fps, links_of(spark, fps, 4, hot_rows=40)) == components(fps, near(fps, 4))
+
+
+def test_star_components(spark):
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(300)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(350)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.root for r in star_components(df).collect()}
+    nodes = {x for p in links for x in p}
+    want = components(sorted(nodes), links)
+    assert {n: got.get(n, n) for n in nodes} == want
+
+
+def test_documents_like_brute_force(frame, documents):
+    rng = random.Random(6)
+    base = [rng.choices("alpha beta gamma delta eps zeta eta theta".split(), k=300) for _ in range(4)]
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(10_000, None), (10_001, ""), (10_002, " \t"), (10_003, "One two"),
+            (10_004, "one  TWO"), (10_005, "É one two three four"), (10_006, "é one two three four")]
+    for k, words in enumerate(base):
+        for j in range(6):
+            copy = list(words)
+            copy[rng.randrange(300)] = f"w{j}"
+            rows.append((20_000 + 10 * k + j, " ".join(copy)))
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    got = by_id(near_duplicates(frame(rows)))
+    assert {i: r.fingerprint for i, r in got.items()} == {i: f"{x:016x}" for i, x in fps.items()}
+    distinct = sorted(set(fps.values()))
+    root = components(distinct, near(distinct, 4))
+    smallest = {}
+    for i, x in sorted(fps.items()):
+        smallest.setdefault(root[x], i)
+    assert {i: r.component_id for i, r in got.items()} == {i: smallest[root[x]] for i, x in fps.items()}
+
+
+def test_edge_rows(frame):
+    rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (None, "other words here now"), (9, None)]
+    got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(frame(rows)).collect()), key=str)
+    assert got == sorted([(7, 7), (7, 7), (None, 7), (None, None), (9, 9)], key=str)
+    assert near_duplicates(frame([])).count() == 0
+    docs = frame(rows)
+    assert drop_near_copies(docs).columns == docs.columns
+    assert drop_near_copies(docs).count() == 5

@@ -3,9 +3,10 @@
 Every step is a DataFrame expression. A document's white space runs become one
 space; its 128-bit MD5 is the group key. Only narrow (id, hash) rows take part
 in the grouping, pre-aggregated before the shuffle. Texts travel once more,
-and only for documents whose hash occurs twice or more: each is compared byte
-by byte with the text of its group's smallest id. Documents that differ from
-it (a hash collision) form groups of their own by their whole text.
+and only for documents whose hash occurs twice or more: grouped by hash and
+whole text they are compared byte by byte, copies collapsing in each task
+before the shuffle. Where one hash has several texts (a collision) each text
+is a group of its own.
 """
 
 from __future__ import annotations
@@ -44,33 +45,31 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                  F.unhex(F.sha2("t", 256)).alias("sha")), "exact")
     groups = (narrow.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
               .filter("n > 1"))
-    # Texts of the documents of such groups, found by id: ids spread evenly
-    # whatever the size of a group.
-    suspects = narrow.join(groups, "k").select("doc_id", "k", "rep").distinct()
-    texts = (rows.withColumnRenamed("doc_id", "id")
-             .join(suspects, F.col("id").eqNullSafe(F.col("doc_id")))
+    # Texts of the documents of such groups, found by id (rows without one by
+    # their hash): ids spread evenly whatever the size of a group.
+    suspects = narrow.join(groups, "k").select("doc_id", "k").distinct()
+    texts = (rows.select(F.col("doc_id").alias("id"), "t", F.when(F.col("doc_id").isNull(), key(F.col("t"))).alias("id_k"))
+             .join(suspects, F.col("id").eqNullSafe(F.col("doc_id"))
+                   & F.col("id_k").eqNullSafe(F.when(F.col("doc_id").isNull(), F.col("k"))))
              .filter(key(F.col("t")).eqNullSafe(F.col("k")))
-             .select("doc_id", "k", "rep", "t"))
-    first = (texts.filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-             .groupBy("k").agg(F.min("t").alias("first_text")))
-    strays = texts.join(first, "k").filter(F.col("t") != F.col("first_text"))
-    apart = (strays.groupBy("k", "t").agg(F.min("doc_id").alias("own_rep"),
-                                          F.count(F.lit(1)).alias("own_n"))
-             .select("k", F.unhex(F.sha2("t", 256)).alias("sha"), "own_rep", "own_n"))
-    lost = apart.groupBy("k").agg(F.sum("own_n").alias("away"))
-    out = (narrow.join(groups.join(lost, "k", "left"), "k", "left")
-           .join(apart, ["k", "sha"], "left"))
-    alone = F.col("n").isNull()
-    keep = F.when(alone, F.col("doc_id")).when(F.col("own_n").isNotNull(), F.col("own_rep")).otherwise(F.col("rep"))
-    size = (F.when(alone, F.lit(1)).when(F.col("own_n").isNotNull(), F.col("own_n"))
-            .otherwise(F.col("n") - F.coalesce("away", F.lit(0))))
+             .select("doc_id", "k", "t"))
+    # Copies collapse to one row per task before the shuffle, however many.
+    variants = (texts.groupBy("k", "t").agg(F.min("doc_id").alias("own_rep"), F.count(F.lit(1)).alias("own_n"))
+                .select("k", F.unhex(F.sha2("t", 256)).alias("sha"), "own_rep", "own_n"))
+    collided = variants.groupBy("k").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("k")
+    apart = variants.join(collided, "k")
+    out = narrow.join(groups, "k", "left").join(apart, ["k", "sha"], "left")
+    keep = F.coalesce("own_rep", "rep", "doc_id")
     return out.select(
-        "doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"),
+        "doc_id", keep.alias("keep_id"),
+        F.coalesce("own_n", "n", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` does not keep."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` without the rows that ``exact_groups`` does not keep. Rows
+    without an id can't be named and stay."""
+    gone = (exact_groups(docs, id_col, text_col).filter("not kept and doc_id is not null")
+            .select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
