@@ -74,3 +74,21 @@ def coded_words(texts, separator: str = " "):
     codes = pc.dictionary_encode(parts.flatten())
     starts = parts.offsets.to_numpy().astype(np.int64)
     return codes.dictionary.to_pylist(), codes.indices.to_numpy().astype(np.int64), starts - starts[0]
+
+
+def repetition(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of word numbers: how many words equal the word before,
+    and how many three-word windows occurred earlier in the text."""
+    texts = len(starts) - 1
+    doc = np.repeat(np.arange(texts), np.diff(starts))
+    if len(codes) < 3:
+        same = (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])
+        return np.bincount(doc[1:][same], minlength=texts), np.zeros(texts, np.int64)
+    same = (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])
+    whole = doc[2:] == doc[:-2]
+    c = codes.astype(np.uint64)
+    window = ((c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:])[whole]
+    window = (window ^ (window >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + doc[2:][whole].astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    _, first = np.unique(window, return_index=True)
+    of = doc[2:][whole]
+    return np.bincount(doc[1:][same], minlength=texts), np.bincount(of, minlength=texts) - np.bincount(of[first], minlength=texts)

@@ -11,7 +11,6 @@ posteriors that returns a number per domain, and no rates are stored between.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -20,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import coded_words, hash_fraction, slices, text_of, written
+from tidewater.llm.common import coded_words, hash_fraction, repetition, slices, text_of, written
+from tidewater.llm.quality import shape
 from tidewater.llm.toxicity import HASH_BITS, bucket, train, word_features
 
 #: Labelled documents of each domain that training uses at most, on average.
@@ -30,27 +30,24 @@ DOMAIN_ROWS = 3_000
 TOLERANCE, STEPS = 1e-6, 40
 
 
-def shapes(words: list[str]) -> np.ndarray:
-    """Bucket of each word's shape: letters as a or A, digits as 0, runs of
-    one kind as one, other characters as they are."""
-    lower, upper, digit = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"\d+")
-    known: dict[str, int] = {}
-    codes = np.fromiter((known.setdefault(digit.sub("0", upper.sub("A", lower.sub("a", w))), len(known)) for w in words), np.int64, len(words))
-    hashes = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) + (1 << 35) for s in known], np.uint64)
-    return bucket(hashes)[codes] if len(words) else np.zeros(0, np.int64)
-
-
 def domain_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(document number, bucket), once each, of every word, word beginning and
-    word shape of the texts."""
+    word shape of the texts, and of the steps that their repetition reaches."""
     words, codes, starts = coded_words(pc.replace_substring_regex(texts, r"[\t\n\v\f\r]", " "))
     hashes, own = word_features(words)
+    known: dict[str, int] = {}
+    kinds = np.fromiter((known.setdefault(shape(w), len(known)) for w in words), np.int64, len(words))
+    shapes = bucket(np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) + (1 << 35) for s in known], np.uint64))
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     real = (hashes != 0)[codes]
-    shape = shapes(words)
-    some = np.array([w != "" for w in words], bool)[codes] if len(words) else np.zeros(0, bool)
     pairs = [doc[real] << HASH_BITS | row[codes[real]] for row in own]
-    pairs.append(doc[some] << HASH_BITS | shape[codes[some]])
+    some = (kinds != known.get("", -1))[codes]
+    pairs.append(doc[some] << HASH_BITS | shapes[kinds[codes[some]]])
+    size = np.maximum(np.diff(starts), 1)
+    for kind, number in enumerate(repetition(codes, starts)):
+        for step in range(1, 11):
+            reached = np.flatnonzero(10 * number >= step * size)
+            pairs.append(reached << HASH_BITS | bucket(np.full(len(reached), (1 << 36) + 16 * kind + step, np.uint64)))
     both = np.unique(np.concatenate(pairs))
     return both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
 

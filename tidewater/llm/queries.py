@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import exact, packing, tokens
-from tidewater.llm.common import table
+from tidewater.llm import exact, html, langid, mixing, outliers, packing, quality, simhash, tokens, toxicity
+from tidewater.llm.common import crc_class, table
 
 QUERIES = {}
 ORACLE = {}
@@ -23,6 +24,57 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         capacity=2048, end_id=0)
 
 
+@query
+def op2_host_suffix_array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_class("doc_id", 5)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return folded(toxicity.score(docs, model), fold == 0)
+
+
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_class("doc_id", 4)
+    models = langid.fit(docs, (fold != 2) & (fold != -1))
+    return (langid.predict(docs, models).withColumn("held_out", fold == 2)
+            .select("doc_id", "held_out", "lang_pred", "score"))
+
+
+#: Domains of the labelled table and their shares of the mixed tokens.
+DOMAIN = "case when toxic = 1 then 'toxic' when quality = 0 then 'junk' when quality = 1 then 'clean' end"
+MIX = {"clean": 0.90, "junk": 0.08, "toxic": 0.02}
+
+
+@query
+def op5_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(DOMAIN), MIX)
+
+
+@query
+def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
+@query
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_nearest_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_class("doc_id", 3)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), (fold != 1) & (fold != -1))
+    return folded(quality.score(docs, model), fold == 1)
+
+
+def folded(scores: DataFrame, held_out) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
