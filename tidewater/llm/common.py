@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,12 +70,26 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def coded_words(texts, separator: str = " "):
-    """Arrow texts split at ``separator``: (distinct words, number of each word
-    in order, start of each text's words)."""
+    """Arrow texts split at ``separator``: (distinct words as an Arrow array,
+    number of each word in order, start of each text's words)."""
     parts = pc.split_pattern(texts, separator)
     codes = pc.dictionary_encode(parts.flatten())
     starts = parts.offsets.to_numpy().astype(np.int64)
-    return codes.dictionary.to_pylist(), codes.indices.to_numpy().astype(np.int64), starts - starts[0]
+    return codes.dictionary, codes.indices.to_numpy().astype(np.int64), starts - starts[0]
+
+
+def hashed(words) -> np.ndarray:
+    """64-bit hashes of Arrow strings, the same in every task."""
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.zeros(0, np.uint64)
+
+
+def shapes_of(words) -> list[str]:
+    """Shape of each Arrow string without line feeds: runs of lower-case
+    letters as a, of capitals as A, of digits as 0, all else as it is."""
+    text = "\n".join(words.to_pylist())
+    for kind, sign in ((r"[^\W\d_A-ZÀ-ÖØ-Þ]+", "a"), (r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"\d+", "0")):
+        text = re.sub(kind, sign, text)
+    return text.split("\n") if len(words) else []
 
 
 def repetition(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

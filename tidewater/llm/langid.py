@@ -172,7 +172,7 @@ def predict(docs: DataFrame, models: dict, id_col: str = "doc_id", text_col: str
                     best[rows], score[rows] = 0, 1.0
                 elif len(rows):
                     words, codes, starts = coded_words(pc.replace_substring_regex(texts, r"[\t\n\v\f\r]", " "))
-                    word, bucket = word_grams(words)
+                    word, bucket = word_grams(words.to_pylist())
                     grams = np.bincount(word, minlength=len(words))
                     total = np.r_[0, np.cumsum(grams[codes])]
                     size = np.maximum(1, np.diff(total[starts]))[:, None]

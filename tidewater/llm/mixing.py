@@ -2,47 +2,46 @@
 
 A classifier trained on the labelled table gives every document a posterior
 over the domains. Nonnegative rates (expected copies) are then fitted so that
-the expected tokens of the domains match their targets: projected gradient on
-the scaled squared differences. A step changes a document's rate by its
-posterior times one number per domain, so a document's rate follows from the
-list of those numbers; every iteration is one aggregation over the written
-posteriors that returns a number per domain, and no rates are stored between.
+the expected tokens of the domains match their targets: accelerated projected
+gradient on the scaled squared differences. A step changes a document's rate
+by its posterior times one number per domain, so a document's rate follows
+from the list of those numbers. Every iteration is one pass over the written
+posteriors that brings back two numbers per domain; no rates are stored.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import coded_words, hash_fraction, repetition, slices, text_of, written
-from tidewater.llm.quality import shape
+from tidewater.llm.common import coded_words, hash_fraction, hashed, repetition, shapes_of, slices, text_of, written
 from tidewater.llm.toxicity import HASH_BITS, bucket, train, word_features
 
 #: Labelled documents of each domain that training uses at most, on average.
 DOMAIN_ROWS = 3_000
 #: Largest relative difference from a target at which the fit ends, and the
 #: most steps it takes.
-TOLERANCE, STEPS = 1e-6, 40
+TOLERANCE, STEPS = 1e-4, 40
 
 
-def domain_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def domain_features(texts: pa.Array, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document number, bucket), once each, of every word, word beginning and
-    word shape of the texts, and of the steps that their repetition reaches."""
+    word shape of the texts, and of the steps that their repetition reaches;
+    with ``used``, only of buckets marked there."""
     words, codes, starts = coded_words(pc.replace_substring_regex(texts, r"[\t\n\v\f\r]", " "))
     hashes, own = word_features(words)
-    known: dict[str, int] = {}
-    kinds = np.fromiter((known.setdefault(shape(w), len(known)) for w in words), np.int64, len(words))
-    shapes = bucket(np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) + (1 << 35) for s in known], np.uint64))
+    kinds = pc.dictionary_encode(pa.array(shapes_of(words), pa.string()))
+    shapes = bucket(hashed(kinds.dictionary) + np.uint64(9))[kinds.indices.to_numpy()]
+    bare, empty = hashes == 0, pc.equal(words, "").to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    real = (hashes != 0)[codes]
-    pairs = [doc[real] << HASH_BITS | row[codes[real]] for row in own]
-    some = (kinds != known.get("", -1))[codes]
-    pairs.append(doc[some] << HASH_BITS | shapes[kinds[codes[some]]])
+    pairs = []
+    for row, skip in (*((r, bare) for r in own), (shapes, empty)):
+        wanted = ~skip if used is None else ~skip & used[row]
+        some = np.flatnonzero(wanted[codes])
+        pairs.append(doc[some] << HASH_BITS | row[codes[some]])
     size = np.maximum(np.diff(starts), 1)
     for kind, number in enumerate(repetition(codes, starts)):
         for step in range(1, 11):
@@ -101,10 +100,10 @@ def posteriors(docs: DataFrame, models: list[dict], id_col: str = "doc_id", text
         w = np.zeros((1 << HASH_BITS, len(sparse)), np.float32)
         for k, (at, weight, _) in enumerate(sparse):
             w[at, k] = weight
-        bias = np.array([b for _, _, b in sparse])
+        bias, used = np.array([b for _, _, b in sparse]), (w != 0).any(axis=1)
         for b in batches:
             for i, j in slices(b.column(1)):
-                d, f = domain_features(b.column(1).slice(i, j - i))
+                d, f = domain_features(b.column(1).slice(i, j - i), used)
                 logit = np.stack([np.bincount(d, weights=w[f, k], minlength=j - i) for k in range(len(sparse))], axis=1) + bias
                 odds = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
                 p = odds / odds.sum(axis=1, keepdims=True)
@@ -117,18 +116,38 @@ def posteriors(docs: DataFrame, models: list[dict], id_col: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def rate_after(moves: list[list[float]]) -> Column:
-    """A document's rate after the given steps from rate 1."""
-    rate = F.lit(1.0)
-    for move in moves:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col("p")[d] * m for d, m in enumerate(move)), F.lit(0.0)))
-    return rate
+def replay(p: np.ndarray, moves: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors ``p`` after the given steps from rate
+    1, and the extrapolated rates at which the next step's slope is taken."""
+    rate = ahead = np.ones(len(p))
+    for k, move in enumerate(moves):
+        before, rate = rate, np.maximum(0.0, ahead - p @ np.array(move))
+        ahead = rate + (k + 1) / (k + 4) * (rate - before)
+    return rate, ahead
+
+
+def posterior_matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def expected_tokens(rows: DataFrame, moves: list[list[float]], domains: int) -> np.ndarray:
+    """Expected tokens of each domain at the rates and at the extrapolated
+    rates: each task adds up its own rows."""
+    def sums(batches):
+        for b in batches:
+            if b.num_rows:
+                p, n = posterior_matrix(b.column(1)), b.column(0).to_numpy()
+                both = np.concatenate([(n * r) @ p for r in replay(p, moves)])
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in both], names=[f"s{i}" for i in range(2 * domains)])
+
+    parts = rows.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"s{i} double" for i in range(2 * domains)))
+    return np.array(parts.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(2 * domains)]).first()).reshape(2, domains)
 
 
 def fit_rates(rows: DataFrame, weights: list[float], whole: int | None = None, headroom: float = 1.0,
-              tolerance: float = TOLERANCE, steps: int = STEPS) -> tuple[Column, dict]:
-    """Fit the rates of ``rows`` (n_tokens, p) to domain ``weights``: (rate as
-    an expression over ``rows``, what was reached).
+              tolerance: float = TOLERANCE, steps: int = STEPS) -> tuple[list[list[float]], dict]:
+    """Fit the rates of ``rows`` (n_tokens, p) to domain ``weights`` by
+    accelerated projected gradient: (the steps taken, what was reached).
 
     The targets add up to the present number of tokens, or to as many more as
     let the domain numbered ``whole`` keep ``headroom`` times its tokens.
@@ -136,9 +155,9 @@ def fit_rates(rows: DataFrame, weights: list[float], whole: int | None = None, h
     k = len(weights)
     share = np.array(weights, float) / sum(weights)
     token = F.col("n_tokens").cast("double")
-    first = rows.agg(*[F.coalesce(F.sum(token * F.col("p")[i]), F.lit(0.0)) for i in range(k)],
-                     *[F.coalesce(F.sum(token * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
-    have, gram = np.array(first[:k]), np.array(first[k:]).reshape(k, k)
+    gram = np.array(rows.agg(*[F.coalesce(F.sum(token * F.col("p")[i] * F.col("p")[j]), F.lit(0.0))
+                               for i in range(k) for j in range(k)]).first()).reshape(k, k)
+    have = gram.sum(axis=1)  # posteriors sum to 1
     total = have.sum()
     if whole is not None and share[whole] > 0:
         total = max(total, headroom * have[whole] / share[whole])
@@ -147,11 +166,21 @@ def fit_rates(rows: DataFrame, weights: list[float], whole: int | None = None, h
     root = np.sqrt(scale)
     curvature = max(float(np.linalg.eigvalsh(root[:, None] * gram * root).max()), 1e-12)
     moves: list[list[float]] = []
+    ahead = have
     while len(moves) < steps and total > 0 and np.abs(have - target).max() > tolerance * total:
-        moves.append(((have - target) * scale / curvature).tolist())
-        rate = rate_after(moves)
-        have = np.array(rows.agg(*[F.sum(token * F.col("p")[i] * rate) for i in range(k)]).first())
-    return rate_after(moves), {"steps": len(moves), "target": target.tolist(), "reached": have.tolist()}
+        moves.append(((ahead - target) * scale / curvature).tolist())
+        have, ahead = expected_tokens(rows, moves, k)
+    return moves, {"steps": len(moves), "target": target.tolist(), "reached": have.tolist()}
+
+
+def with_rates(rows: DataFrame, moves: list[list[float]]) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                rate, _ = replay(posterior_matrix(b.column(2)), moves)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rate)], names=["doc_id", "n_tokens", "p", "rate"])
+
+    return rows.select("doc_id", "n_tokens", "p").mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")
 
 
 def drawn_copies(rate: Column, *seed: Column) -> Column:
@@ -172,9 +201,8 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
     names = list(weights)
     models = fit_domains(docs if train_docs is None else train_docs, labels, domain, names, id_col, text_col)
     rows = written(posteriors(docs, models, id_col, text_col), "posteriors")
-    rate, _ = fit_rates(rows, [weights[d] for d in names], names.index(whole) if whole else None, headroom)
-    rated = rows.withColumn("rate", rate)
-    return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(names)],
+    moves, _ = fit_rates(rows, [weights[d] for d in names], names.index(whole) if whole else None, headroom)
+    return with_rates(rows, moves).select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(names)],
                         "rate", drawn_copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 

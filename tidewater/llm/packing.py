@@ -82,7 +82,7 @@ class ChunkEncoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all their ids in order)."""
         words, codes, starts = coded_words(pc.replace_substring(texts, "\n", " "))
-        lengths, ids = self.of_chunks(words)
+        lengths, ids = self.of_chunks(words.to_pylist())
         begins = np.cumsum(lengths) - lengths
         total = np.r_[0, np.cumsum(lengths[codes])]
         return np.diff(total[starts]), ids[ragged(begins[codes], lengths[codes])]

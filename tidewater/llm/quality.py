@@ -11,16 +11,13 @@ similarity.
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import coded_words, hash_fraction, repetition, slices, text_of
+from tidewater.llm.common import coded_words, hash_fraction, hashed, repetition, shapes_of, slices, text_of
 
 #: Size of the term space, and of the latent space.
 TERMS, LATENT = 2048, 48
@@ -29,26 +26,20 @@ CLASS_ROWS = 2_000
 NEIGHBOURS = 25
 #: Documents of one block.
 BLOCK = 1_500
-LOWER, UPPER, DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
-
-
-def shape(word: str) -> str:
-    return DIGIT.sub("0", UPPER.sub("A", LOWER.sub("a", word)))
 
 
 def term_counts(texts: pa.Array) -> np.ndarray:
     """Number of occurrences of each hashed term, a row for each text."""
-    words, codes, starts = coded_words(pc.replace_substring_regex(texts, r"[\t\v\f\r]", " "))
+    words, codes, starts = coded_words(pc.replace_substring_regex(texts, r"[\t\n\v\f\r]", " "))
     rows = len(starts) - 1
-    known: dict[str, int] = {}
-    shapes = np.fromiter((known.setdefault(shape(w), len(known)) for w in words), np.int64, len(words))
-    hashes = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in known], np.int64)
-    length = np.fromiter(map(len, words), np.int64, len(words))
+    shapes = pc.dictionary_encode(pa.array(shapes_of(words), pa.string()))
+    hashes = (hashed(shapes.dictionary) >> np.uint64(20)).astype(np.int64)
+    length = pc.utf8_length(words).to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(rows), np.diff(starts))
     stutter, again = repetition(codes, starts)
     real = length[codes] > 0
     doc, codes = doc[real], codes[real]
-    h = hashes[shapes[codes]] if len(words) else np.zeros(0, np.int64)
+    h = hashes[shapes.indices.to_numpy()][codes]
     keys = [doc * TERMS + h % 900]
     if len(h) > 1:
         near = doc[1:] == doc[:-1]

@@ -173,6 +173,7 @@ class ChunkCounter:
             out[i] = len(pieces) // 2 + self.of_chunks(pieces[::2]).sum()
         rows = np.flatnonzero(~whole)
         words, codes, starts = coded_words(texts.take(pa.array(rows)))
+        words = words.to_pylist()
         if not len(rows):
             return out
         # The first word of a text has no space before it.

@@ -2,29 +2,30 @@
 
 Features are the presence of hashed word n-grams (one and two words), of
 skip-grams (two words with one or two words between) and of word beginnings
-(four and five characters, for inflected forms). Training runs in one task on
+(four and six characters, alone and with the word's length, for inflected and
+compound forms). Training runs in one task on
 a bounded sample of labelled documents; L1 leaves few weights other than zero,
 which go to all tasks as a compact list.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import coded_words, hash_fraction, slices, text_of
+from tidewater.llm.common import coded_words, hash_fraction, hashed, slices, text_of
 
 #: Feature space: 2 to this power.
 HASH_BITS = 20
 #: Labelled documents of each class that training uses at most, on average.
 CLASS_ROWS = 6_000
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 2.0, 1.0
+ALPHA, BETA, L1, L2 = 0.4, 1.0, 5.0, 1.0
 EPOCHS = 3
+#: Lengths of word beginnings.
+BEGINNINGS = (4, 6)
 EDGES = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?@[\\]^_`{|}~¡¿«»…“”"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,19 +34,15 @@ def bucket(x: np.ndarray) -> np.ndarray:
     return ((x * ODD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (0 for one without letters or digits) and the buckets
-    of its own features: the word and its beginnings."""
-    hashes = np.zeros(len(words), np.uint64)
-    stems = np.zeros((2, len(words)), np.uint64)
-    for i, w in enumerate(words):
-        w = w.lower().strip(EDGES)
-        if w:
-            hashes[i] = zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1
-            stems[0, i] = zlib.crc32(w[:4].encode("utf-8", "surrogatepass"))
-            stems[1, i] = zlib.crc32(w[:5].encode("utf-8", "surrogatepass"))
-    own = np.stack([bucket(hashes), bucket(stems[0] + np.uint64(1 << 33)), bucket(stems[1] + np.uint64(1 << 34))])
-    return hashes, own
+    of its own features: the word, its beginnings, and those with its length."""
+    bare = pc.utf8_trim(pc.utf8_lower(words), characters=EDGES)
+    hashes = np.where(pc.equal(bare, "").to_numpy(zero_copy_only=False), 0, hashed(bare) | np.uint64(1)).astype(np.uint64)
+    size = pc.utf8_length(bare).to_numpy().astype(np.uint64)
+    begins = [hashed(pc.utf8_slice_codeunits(bare, 0, n)) + np.uint64(n) for n in BEGINNINGS]
+    sized = [h + size * np.uint64(0x100000001B3) for h in begins]
+    return hashes, np.stack([bucket(h) for h in (hashes, *begins, *sized)])
 
 
 def features(texts: pa.Array, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +65,12 @@ def features(texts: pa.Array, weights: np.ndarray | None = None) -> tuple[np.nda
         kept.append(b)
 
     for row in own:
-        keep(doc, row[codes])
+        if weights is not None:  # decided once per distinct word
+            some = np.flatnonzero((weights[row] != 0)[codes])
+            kept_docs.append(doc[some])
+            kept.append(row[codes[some]])
+        else:
+            keep(doc, row[codes])
     for gap in (1, 2, 3):
         at = np.flatnonzero(doc[gap:] == doc[:-gap]) if len(doc) > gap else np.zeros(0, np.int64)
         pair = h[at] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * gap) + h[at + gap]
