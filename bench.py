@@ -28,6 +28,8 @@ HEADLINE = [
     "validate_events", "retention_filter", "rollup_totals", "status_metrics",
     "stream_bronze", "stream_running_agg", "sql_join_topk", "sql_range_join",
     "sql_rank", "sql_frames", "sql_cube", "sql_scalar_subquery",
+    "rank_per_key", "frames_per_key", "stream_validate", "stream_decode", "range_join",
+    "delete_by_key",
 ]
 
 

@@ -1,5 +1,6 @@
 import os
 
+from test_history import write_log
 from tidewater import jobs
 from tidewater.session import shared_dir
 from tidewater.sources import SourceSpec
@@ -56,9 +57,63 @@ def test_bronze_job(spark, sf_small):
     assert spark.read.parquet(root + "/out").count() == 1000
 
 
+def test_bronze_job_into_a_table_keeps_payloads(spark):
+    root = shared_dir(spark, "test-bronze-table")
+    lines = ['{"event_id":1,"ts":"2024-01-01T00:00:00","user_id":2,"event_type":"view","value":1.5,"props":"{}"}',
+             '{"event_id":2,"ts":"2024-01-01T00:00:00.25","user_id":2,"event_type":"view","value":1.5,"props":"{}"}',
+             "no json"]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(root + "/in")
+    name = "bronze_" + root.rsplit("-", 1)[-1]
+    jobs.bronze(spark, root + "/in", None, root + "/ckpt", "availableNow", "text", table=name)
+    rows = {r.raw: r for r in spark.table(name).collect()}
+    assert set(rows) == set(lines)
+    assert str(rows[lines[0]].ts) == "2024-01-01 00:00:00" and rows[lines[1]].ts.microsecond == 250000
+    assert rows["no json"].event_id is None
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_validate_job(spark):
+    root = shared_dir(spark, "test-validate-job")
+    lines = ['{"event_id":1,"ts":"2024-01-01T00:00:00","user_id":2,"event_type":"view","value":1.5,"props":"{}"}', "no json"]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(root + "/in")
+    jobs.validate(spark, root + "/in", root + "/out", root + "/ckpt", "availableNow", "text")
+    got = {r.raw: (r.status, r.reject_reason) for r in spark.read.parquet(root + "/out").collect()}
+    assert got == {lines[0]: ("valid", None), "no json": ("quarantine", "missing_key")}
+
+
+def test_kafka_wiring(monkeypatch, spark):
+    spec = jobs.event_spec(None, "broker:9092", "raw-events")
+    assert (spec.kind, spec.topic, spec.bootstrap_servers) == ("kafka", "raw-events", "broker:9092")
+    seen = {}
+    topic = spark.createDataFrame([(b"k", b'{"event_id":7}', "raw-events", 0, 5)],
+                                  "key binary, value binary, topic string, partition int, offset long")
+    monkeypatch.setattr(jobs, "event_source", lambda s, sp: seen.update(spec=sp) or topic)
+    row = jobs.events_of(spark, spec, keep_raw=True).first()
+    assert seen["spec"] is spec and row.event_id == 7 and row.raw == '{"event_id":7}'
+    assert (row.topic_key, row.topic_topic, row.topic_partition, row.topic_offset) == ("k", "raw-events", 0, 5)
+
+
+def test_sql_statements_split_outside_of_quotes(spark, sf_small):
+    from tidewater.plans.sql import split_statements
+    assert split_statements("select 'a;b' as x; -- not; here\nselect \"c;d\" /* ; */ ;") == [
+        "select 'a;b' as x", 'select "c;d"']
+    assert jobs.sql(spark, None, "select 'a;b' as x").first().x == "a;b"
+
+
+def test_sql_leaves_a_users_view(spark, sf_small):
+    from tidewater.plans.sql import run_sql
+    spark.createDataFrame([(1,)], "mine int").createOrReplaceTempView("region")
+    assert run_sql(spark, "SELECT count(*) AS n FROM region", sf_small).first().n == 5
+    assert spark.table("region").columns == ["mine"]
+    spark.catalog.dropTempView("region")
+    run_sql(spark, "SELECT * FROM nation", sf_small).count()
+    assert not spark.catalog.tableExists("nation")
+
+
 def test_history_job(spark, sf_small):
-    from tidewater.plans.history import _log_dir
     out = shared_dir(spark, "test-history-job")
-    jobs.history(spark, _log_dir(spark, sf_small), out)
+    logs = shared_dir(spark, "test-history-logs")
+    write_log(spark, logs)
+    jobs.history(spark, logs, out)
     rows = spark.read.parquet(out).collect()
-    assert len(rows) == 1 and rows[0].n_tasks > 0
+    assert len(rows) == 1 and rows[0].n_tasks == 2

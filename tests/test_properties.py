@@ -104,18 +104,17 @@ def test_ranking_like_window(spark, rows, asc):
         "id", F.row_number().over(w_rn).cast("long"), F.ntile(3).over(w_rn).cast("long"),
         F.rank().over(w_rk).cast("long"), F.dense_rank().over(w_rk).cast("long")).collect()}
     numbered = row_number_within_key(df, "k", ["v", "id"], [asc, True], out="rn",
-                                     count_col="cnt", partitions=4, hot_key_rows=5)
+                                     count_col="cnt", partitions=4)
     tiled = numbered.withColumn("t3", ntile_from("rn", "cnt", 3))
-    ranked = rank_within_key(tiled, "k", ["v"], [asc], rank_col="rk", dense_col="drk",
-                             hot_key_rows=2)
+    ranked = rank_within_key(tiled, "k", ["v"], [asc], rank_col="rk", dense_col="drk")
     got = {r.id: (r.rn, r.t3, r.rk, r.drk) for r in ranked.collect()}
     assert got == want
 
 
 @settings(max_examples=6, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 6),
-                          st.integers(-3, 3)), min_size=1, max_size=25))
+@given(st.lists(st.tuples(st.sampled_from(["a", "a", "a", "b", None]), st.integers(0, 6),
+                          st.one_of(st.none(), st.integers(-3, 3))), min_size=1, max_size=25))
 def test_frames_like_window(spark, rows):
     from pyspark.sql import Window
     from tidewater.operators import (neighbours_within_key, range_count_within_key,
@@ -129,14 +128,29 @@ def test_frames_like_window(spark, rows):
         F.sum("x").over(w.rowsBetween(-1, Window.currentRow)),
         F.count(F.lit(1)).over(wr)).collect()}
     numbered = row_number_within_key(df, "k", ["t", "id"], out="rn", weight="x",
-                                     weight_out="run", partitions=4, hot_key_rows=5,
-                                     hot_col="hot")
-    near = neighbours_within_key(numbered, "k", "rn", [("x", -1, "lag"), ("id", 1, "lead")],
-                                 hot_col="hot")
-    summed = rows_frame_sum(near, "k", "rn", "run", 1, "s2", hot_col="hot")
-    got_df = range_count_within_key(summed, "k", "t", F.lit(2), "n2", hot_key_rows=5)
-    got = {r.id: (r.lag, r.lead, r.s2, r.n2) for r in got_df.collect()}
-    assert got == want
+                                     weight_out="run", weight_count="seen", partitions=4)
+    near = neighbours_within_key(numbered, "k", "rn", [("x", -1, "lag"), ("id", 1, "lead")])
+    summed = rows_frame_sum(near, "k", "rn", "run", "seen", 1, "s2")
+    got_df = range_count_within_key(summed, "k", "t", F.lit(2), "n2")
+    got = {r.id: (r.lag, r.lead, r.s2, r.n2, r.run) for r in got_df.collect()}
+    running = {r.id: r.s for r in df.select("id", F.sum("x").over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("s")).collect()}
+    assert got == {i: (*v, running[i]) for i, v in want.items()}
+
+
+def test_all_null_frame_and_weights(spark):
+    from tidewater.operators import row_number_within_key, rows_frame_sum
+    df = spark.createDataFrame([(i, "a" if i < 40 else None, None if 11 <= i <= 31 or i >= 40 else i)
+                                for i in range(45)], "id int, k string, x long")
+    numbered = row_number_within_key(df, "k", ["id"], out="rn", weight="x", weight_out="run",
+                                     weight_count="seen", partitions=6)
+    got = {r.id: (r.run, r.s3) for r in rows_frame_sum(numbered, "k", "rn", "run", "seen", 2, "s3").collect()}
+    run = 0
+    for i in range(40):
+        run += 0 if 11 <= i <= 31 else i
+        frame = [j for j in range(max(0, i - 2), i + 1) if not 11 <= j <= 31]
+        assert got[i] == (run, sum(frame) if frame else None)
+    assert all(got[i] == (None, None) for i in range(40, 45))
 
 
 STATUS_WORDS = ["Running", "running", "SUCCEEDED", "Completed", "Pending", "ContainerCreating",

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Label keys that mark a record as one of the engine's own.
+SPARK_KEYS = ("spark-role", "spark-app-name")
+
 # Raw status (lower-cased) -> display class, as the job dashboard
 # shows them. Anything else is "unknown".
 STATUS_CLASSES = {

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The application record of the cluster API; only fields that are shown.
+# Field names of the application record of the cluster API, as
+# far as they are shown.
 APP_RECORD_SCHEMA = """
     metadata STRUCT<name: STRING, namespace: STRING, creationTimestamp: STRING>,
     spec STRUCT<type: STRING, image: STRING>,

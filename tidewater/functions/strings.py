@@ -50,13 +50,15 @@ def content_type_for(ext) -> Column:
 
 def rewrite_links(html, prefix: str, content_type=None) -> Column:
     """Prefix root-relative links (``href="/``, ``src="/``, ``action="/``) with
-    ``prefix``; only when ``content_type`` mentions text/html (if given)."""
+    ``prefix``; only when ``content_type`` mentions text/html (if given). A
+    NULL content type counts as text/html."""
     out = _col(html)
     for attr in LINK_ATTRIBUTES:
         out = F.replace(out, F.lit(f'{attr}="/'), F.lit(f'{attr}="{prefix}'))
     if content_type is None:
         return out
-    return F.when(F.contains(_col(content_type), F.lit("text/html")), out).otherwise(_col(html))
+    kind = F.coalesce(_col(content_type), F.lit("text/html"))
+    return F.when(F.contains(kind, F.lit("text/html")), out).otherwise(_col(html))
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -3,8 +3,11 @@
     python -m tidewater.jobs counter  [--n 100000] [--parts 10]
     python -m tidewater.jobs inspect  --path <csv folder> [--format csv]
     python -m tidewater.jobs wordcount --path <text or parquet> --out <folder> [--column text]
-    python -m tidewater.jobs bronze   --source <folder> --out <folder> --checkpoint <folder>
+    python -m tidewater.jobs bronze   (--source <folder> | --kafka <servers> [--topic raw-events])
+                                      (--out <folder> | --table <name>) --checkpoint <folder>
                                       [--trigger "30 seconds" | availableNow]
+    python -m tidewater.jobs validate (--source <folder> | --kafka <servers> [--topic raw-events])
+                                      --out <folder> --checkpoint <folder> [--trigger ...]
     python -m tidewater.jobs history  --logs <event-log folder> --out <folder>
     python -m tidewater.jobs sql      --data-dir <folder of parquet tables>
                                       (--query "<SQL>" | --file <file.sql>) [--out <folder>]
@@ -24,11 +27,12 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import (agg_by_map, app_summary, describe_schema, range_stats,
                                  reconcile, word_count)
-from tidewater.plans.sql import run_script
+from tidewater.plans.sql import run_script, split_statements
 from tidewater.session import get_spark
+from tidewater.sources.files import parquet_names
 from tidewater.sources import (EventSourceSpec, SourceSpec, event_source, load_source,
                                read_event_log)
-from tidewater.streaming import bronze_ingest
+from tidewater.streaming import bronze_ingest, decode_events, validate_stream
 
 
 def counter(spark: SparkSession, n: int = 100_000, parts: int = 10) -> dict:
@@ -68,11 +72,37 @@ def wordcount(spark: SparkSession, spec: SourceSpec, out: str, column: str = "te
     word_count(df, column).write.mode("overwrite").parquet(out)
 
 
-def bronze(spark: SparkSession, source: str, out: str, checkpoint: str,
-           trigger: str | None = None, file_format: str = "parquet") -> None:
-    """Raw events from a folder (or topic) appended to the bronze table."""
-    spec = EventSourceSpec(kind="files", path=source, file_format=file_format)
-    bronze_ingest(event_source(spark, spec), out, checkpoint, trigger=trigger).awaitTermination()
+def event_spec(source: str | None, kafka: str | None, topic: str = "raw-events",
+               file_format: str = "parquet") -> EventSourceSpec:
+    """A topic when bootstrap servers are given, else a folder of files."""
+    if kafka:
+        return EventSourceSpec(kind="kafka", topic=topic, bootstrap_servers=kafka)
+    return EventSourceSpec(kind="files", path=source, file_format=file_format)
+
+
+def events_of(spark: SparkSession, spec: EventSourceSpec, keep_raw: bool = False) -> DataFrame:
+    """The stream of typed events; topic values and text lines are decoded."""
+    stream = event_source(spark, spec)
+    payloads = spec.kind == "kafka" or spec.file_format == "text"
+    return decode_events(stream, keep_raw=keep_raw) if payloads else stream
+
+
+def bronze(spark: SparkSession, source: str | None, out: str | None, checkpoint: str,
+           trigger: str | None = None, file_format: str = "parquet", kafka: str | None = None,
+           topic: str = "raw-events", table: str | None = None) -> None:
+    """Raw events of a topic or folder appended to the bronze folder or table,
+    with the raw payload and what the topic says of it."""
+    stream = events_of(spark, event_spec(source, kafka, topic, file_format), keep_raw=True)
+    bronze_ingest(stream, out, checkpoint, table=table, trigger=trigger).awaitTermination()
+
+
+def validate(spark: SparkSession, source: str | None, out: str, checkpoint: str,
+             trigger: str | None = None, file_format: str = "parquet", kafka: str | None = None,
+             topic: str = "raw-events") -> None:
+    """Events appended under ``status=valid`` or ``status=quarantine``, with
+    their raw payload where there is one."""
+    stream = events_of(spark, event_spec(source, kafka, topic, file_format), keep_raw=True)
+    validate_stream(stream, out, checkpoint, trigger=trigger).awaitTermination()
 
 
 def history(spark: SparkSession, logs: str, out: str) -> None:
@@ -83,16 +113,10 @@ def history(spark: SparkSession, logs: str, out: str) -> None:
 def sql(spark: SparkSession, data_dir: str | None, text: str, out: str | None = None,
         show: int = 20) -> DataFrame:
     """SQL text (statements separated by ';') over the parquet tables of
-    ``data_dir`` (registered as views by file name); the last result is
-    shown or written as parquet."""
-    import os
-    statements = [t.strip() for t in text.split(";") if t.strip()]
-    if data_dir:
-        from tidewater.sources.files import register_tables
-        names = [f[:-len(".parquet")] for f in sorted(os.listdir(data_dir))
-                 if f.endswith(".parquet")]
-        register_tables(spark, data_dir, names)
-    result = run_script(spark, statements)
+    ``data_dir``, on any file system: those whose names the text mentions are
+    views while it runs. The last result is shown or written as parquet."""
+    names = parquet_names(spark, data_dir) if data_dir else []
+    result = run_script(spark, split_statements(text), data_dir, tables=names)
     if out:
         result.write.mode("overwrite").parquet(out)
     else:
@@ -121,11 +145,19 @@ def main(argv=None) -> None:
     w.add_argument("--format", default="text")
     w.add_argument("--column", default="text")
     w.add_argument("--out", required=True)
-    b = sub.add_parser("bronze")
-    b.add_argument("--source", required=True)
-    b.add_argument("--out", required=True)
-    b.add_argument("--checkpoint", required=True)
-    b.add_argument("--trigger", default=None)
+    for name in ("bronze", "validate"):
+        b = sub.add_parser(name)
+        where = b.add_mutually_exclusive_group(required=True)
+        where.add_argument("--source")
+        where.add_argument("--kafka", help="bootstrap servers")
+        b.add_argument("--topic", default="raw-events")
+        b.add_argument("--format", default="parquet")
+        b.add_argument("--checkpoint", required=True)
+        b.add_argument("--trigger", default=None)
+        sink = b.add_mutually_exclusive_group(required=True)
+        sink.add_argument("--out")
+        if name == "bronze":
+            sink.add_argument("--table")
     h = sub.add_parser("history")
     h.add_argument("--logs", required=True)
     h.add_argument("--out", required=True)
@@ -151,7 +183,9 @@ def main(argv=None) -> None:
     elif a.job == "wordcount":
         wordcount(spark, SourceSpec(a.format, a.path), a.out, a.column)
     elif a.job == "bronze":
-        bronze(spark, a.source, a.out, a.checkpoint, a.trigger)
+        bronze(spark, a.source, a.out, a.checkpoint, a.trigger, a.format, a.kafka, a.topic, a.table)
+    elif a.job == "validate":
+        validate(spark, a.source, a.out, a.checkpoint, a.trigger, a.format, a.kafka, a.topic)
     elif a.job == "history":
         history(spark, a.logs, a.out)
     elif a.job == "sql":

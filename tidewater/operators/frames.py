@@ -19,30 +19,13 @@ from tidewater.operators.ranking import _join_on, row_number_within_key
 
 
 def neighbours_within_key(numbered: DataFrame, key: str, rn: str,
-                          fetch: Sequence[tuple[str, int, str]],
-                          hot_col: str | None = None) -> DataFrame:
+                          fetch: Sequence[tuple[str, int, str]]) -> DataFrame:
     """For each ``(column, offset, out)``: ``out`` = ``column`` of the row at
     position ``rn + offset`` of the same key (NULL past either end), so
     offset -1 is ``lag`` and +1 is ``lead``.
 
-    Rows of hot keys (``hot_col`` true, as flagged by
-    ``row_number_within_key``; all rows when no flag is given) are answered by
-    one join: the shifted projections are unioned and collapsed to one row per
-    (key, rn) (a partial aggregate), then left-joined to the rows. Other rows
-    use ``lag``/``lead`` windows."""
-    if hot_col is None:
-        return _neighbours_by_join(numbered, key, rn, fetch)
-    w = Window.partitionBy(key).orderBy(rn)
-    cold = numbered.filter(~F.col(hot_col))
-    for col, offset, out in fetch:
-        shifted = F.lag(col, -offset) if offset < 0 else F.lead(col, offset)
-        cold = cold.withColumn(out, shifted.over(w))
-    hot = _neighbours_by_join(numbered.filter(F.col(hot_col)), key, rn, fetch)
-    return cold.unionByName(hot)
-
-
-def _neighbours_by_join(numbered: DataFrame, key: str, rn: str,
-                        fetch: Sequence[tuple[str, int, str]]) -> DataFrame:
+    The shifted projections are unioned and collapsed to one row per
+    (key, rn) (a partial aggregate), then left-joined to the rows."""
     types = dict(numbered.dtypes)
     outs = [o for _, _, o in fetch]
     parts = []
@@ -58,19 +41,27 @@ def _neighbours_by_join(numbered: DataFrame, key: str, rn: str,
     return _left_join_on(numbered, neighbours, [key, rn])
 
 
-def rows_frame_sum(numbered: DataFrame, key: str, rn: str, running: str, preceding: int,
-                   out: str, hot_col: str | None = None) -> DataFrame:
+def frame_sum(running, count, earlier, earlier_count) -> Column:
+    """Sum of the values between two positions from the running sums and the
+    running numbers of non-NULL values there: NULL for a frame of only NULLs."""
+    inside = F.col(count) - F.coalesce(F.col(earlier_count), F.lit(0))
+    return F.when(inside > 0, F.col(running) - F.coalesce(F.col(earlier), F.lit(0)))
+
+
+def rows_frame_sum(numbered: DataFrame, key: str, rn: str, running: str, count: str,
+                   preceding: int, out: str) -> DataFrame:
     """``sum(x) OVER (... ROWS BETWEEN preceding PRECEDING AND CURRENT ROW)``
-    from the running sum of x: running(rn) - running(rn - preceding - 1).
+    from the running sum of x and the running number of its non-NULL values.
     Exact for integer and decimal x (use a decimal cast for money)."""
-    joined = neighbours_within_key(numbered, key, rn, [(running, -(preceding + 1), "_earlier")],
-                                   hot_col)
-    return (joined.withColumn(out, F.col(running) - F.coalesce(F.col("_earlier"), F.lit(0)))
-            .drop("_earlier"))
+    back = -(preceding + 1)
+    joined = neighbours_within_key(numbered, key, rn, [(running, back, "_earlier"),
+                                                       (count, back, "_ecount")])
+    return (joined.withColumn(out, frame_sum(running, count, "_earlier", "_ecount"))
+            .drop("_earlier", "_ecount"))
 
 
 def range_count_within_key(df: DataFrame, key: str, ts: str, span: Column,
-                           out: str, hot_key_rows: int | None = None) -> DataFrame:
+                           out: str) -> DataFrame:
     """``count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN span
     PRECEDING AND CURRENT ROW)``: rows of the key with ts in [t - span, t],
     peers of t included.
@@ -86,7 +77,7 @@ def range_count_within_key(df: DataFrame, key: str, ts: str, span: Column,
                            F.lit(0).cast("bigint").alias("_c"), F.col(ts).alias("_for"))
     merged = data.unionByName(probes)
     counted = row_number_within_key(merged, key, ["_t", "_kind"], out="_pos", weight="_c",
-                                    weight_out="_upto", hot_key_rows=hot_key_rows)
+                                    weight_out="_upto")
     upto = counted.filter("_kind = 1").select(key, F.col("_for").alias(ts),
                                               F.col("_upto").alias("_le"))
     before = counted.filter("_kind = 0").select(key, F.col("_for").alias(ts),

@@ -18,11 +18,12 @@ def reject_reason(key: str = "event_id", ts: str = "ts", kind: str = "event_type
                   value: str = "value", props: str = "props",
                   allowed: Sequence[str] = EVENT_TYPES) -> Column:
     """The first broken rule, or NULL for a valid row: key and time present,
-    known kind, value present and >= 0, props parses as JSON."""
+    known kind, value present, a number and >= 0, props parses as JSON."""
     return (F.when(F.col(key).isNull(), F.lit("missing_key"))
             .when(F.col(ts).isNull(), F.lit("missing_ts"))
             .when(F.col(kind).isNull() | ~F.col(kind).isin(list(allowed)), F.lit("unknown_type"))
-            .when(F.col(value).isNull() | (F.col(value) < 0), F.lit("bad_value"))
+            .when(F.col(value).isNull() | F.isnan(F.col(value).cast("double")) | (F.col(value) < 0),
+                  F.lit("bad_value"))
             .when(F.try_parse_json(F.col(props)).isNull(), F.lit("bad_props")))
 
 

@@ -9,11 +9,14 @@ key's order. Each row's position inside its slice comes from the sorted
 partition; the slices of one key are stitched together by a small aggregate
 (one row per key and partition) and a running sum over it.
 
-The placed rows are written once to the shared folder and read back: the
-range bounds are sampled per exchange, so two separately planned reads of
-the same range partitioning could cut the data differently. One written copy
-keeps positions consistent and cuts the lineage (a lost executor does not
-re-run the sort).
+The placed rows are checkpointed once in the shared folder: the range bounds
+are sampled per exchange, so two separately planned reads of the same range
+partitioning could cut the data differently. One stored copy keeps positions
+consistent and cuts the lineage (a lost executor does not re-run the sort).
+With ``spark.cleaner.referenceTracking.cleanCheckpoints=true`` Spark removes
+the copy when the result is no longer referenced.
+
+Every key takes this one path, whatever its size.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.session import shared_dir
+from tidewater.session import checkpoint_root
 
 
 def _sort_cols(key: str, order: Sequence[str], ascending: Sequence[bool]) -> list[Column]:
@@ -44,132 +47,83 @@ def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFram
     return left.join(r, cond, "inner").drop(*[f"_r_{c}" for c in cols])
 
 
-def _place(df: DataFrame, key: str, sort_cols: list[Column], partitions: int | None) -> DataFrame:
+def _place(df: DataFrame, sort_cols: list[Column], partitions: int | None) -> DataFrame:
     """Range-partition and sort once, tag each row with its partition and
-    position, write the result to the shared folder and read it back."""
+    position, and checkpoint the result."""
     # Without an explicit count, adaptive execution may merge neighbouring
     # range partitions; merged ones are still contiguous ranges, and the
     # partition ids are read inside the one job that writes them.
     ranged = (df.repartitionByRange(partitions, *sort_cols) if partitions
               else df.repartitionByRange(*sort_cols))
-    path = shared_dir(df.sparkSession, "ranked")
-    (ranged
-       .sortWithinPartitions(*sort_cols)
-       .withColumn("_pid", F.spark_partition_id())
-       .withColumn("_idx", F.monotonically_increasing_id())
-       .write.parquet(path))
-    return df.sparkSession.read.parquet(path)
-
-
-# Keys with more rows than this are numbered by range slices; the others by
-# an ordinary window (one task per key sorts at most this many rows).
-HOT_KEY_ROWS = 1_000_000
-
-# Up to this many hot keys the hot-key list is broadcast for the split. The
-# list is bounded anyway: rows / HOT_KEY_ROWS keys at most.
-HOT_KEYS_BROADCAST = 200_000
+    checkpoint_root(df.sparkSession)
+    return (ranged
+            .sortWithinPartitions(*sort_cols)
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_idx", F.monotonically_increasing_id())
+            .checkpoint())
 
 
 def row_number_within_key(df: DataFrame, key: str, order: Sequence[str],
                           ascending: Sequence[bool] | None = None, out: str = "rn",
                           count_col: str | None = None, weight: str | None = None,
-                          weight_out: str | None = None, partitions: int | None = None,
-                          hot_key_rows: int | None = None,
-                          hot_col: str | None = None) -> DataFrame:
+                          weight_out: str | None = None, weight_count: str | None = None,
+                          partitions: int | None = None) -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY order...)``, 1-based.
 
     ``order`` must be a total order within a key (end it with a unique
     column). ``count_col`` adds the number of rows of the key. With
     ``weight``, ``weight_out`` is the running sum of that column up to and
-    including the row (in the same order).
-
-    Keys are counted first (a partial aggregate). Keys with more than
-    ``hot_key_rows`` rows are split off with a join against that short key
-    list and numbered by range slices; all other keys use an ordinary window,
-    where no task sorts more than ``hot_key_rows`` rows of one key.
-    ``hot_col`` adds a literal flag telling which way a row went; a later
-    filter on it is folded by the optimizer, so downstream steps can treat
-    the two kinds of rows differently at no extra cost."""
+    including the row (in the same order), NULL as long as all weights so far
+    are NULL, and ``weight_count`` the running number of weights that aren't
+    NULL. A NULL key is a key like any other."""
     ascending = list(ascending) if ascending is not None else [True] * len(order)
-    limit = HOT_KEY_ROWS if hot_key_rows is None else hot_key_rows
-    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-           .filter(F.col("_size") > limit).select(F.col(key).alias("_hot_key")))
-    n_hot = hot.count()
-    args = (key, order, ascending, out, count_col, weight, weight_out)
-
-    def flagged(numbered: DataFrame, is_hot: bool) -> DataFrame:
-        return numbered.withColumn(hot_col, F.lit(is_hot)) if hot_col else numbered
-
-    if n_hot == 0:
-        return flagged(_number_by_window(df, *args), False)
-    hot_keys = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST else hot
-    cond = F.col(key).eqNullSafe(F.col("_hot_key"))  # a hot NULL key is split off too
-    hot_rows = df.join(hot_keys, cond, "left_semi")
-    cold_rows = df.join(hot_keys, cond, "left_anti")
-    return flagged(_number_by_window(cold_rows, *args), False).unionByName(
-        flagged(_number_by_slices(hot_rows, *args, partitions), True))
-
-
-def _number_by_window(df: DataFrame, key: str, order: Sequence[str], ascending: list[bool],
-                      out: str, count_col: str | None, weight: str | None,
-                      weight_out: str | None) -> DataFrame:
-    """The same columns from ordinary windows (for keys that fit one task)."""
-    w = Window.partitionBy(key).orderBy(*_sort_cols(key, order, ascending)[1:])
-    res = df.withColumn(out, F.row_number().over(w).cast("bigint"))
-    if count_col:
-        res = res.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(key)))
-    if weight:
-        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        res = res.withColumn(weight_out, F.sum(weight).over(upto))
-    return res
-
-
-def _number_by_slices(df: DataFrame, key: str, order: Sequence[str], ascending: list[bool],
-                      out: str, count_col: str | None, weight: str | None,
-                      weight_out: str | None, partitions: int | None) -> DataFrame:
-    """Numbering by range slices written once to the shared folder."""
-    placed = _place(df, key, _sort_cols(key, order, ascending), partitions)
+    placed = _place(df, _sort_cols(key, order, ascending), partitions)
     # One row per (key, partition): where the slice starts, its size, its weight.
     sums = [F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n")]
     if weight:
-        sums.append(F.sum(weight).alias("_w"))
+        sums += [F.coalesce(F.sum(weight), F.lit(0)).alias("_w"), F.count(weight).alias("_k")]
     slices = placed.groupBy(key, "_pid").agg(*sums)
-    before = Window.partitionBy(key).orderBy("_pid")
-    slices = slices.withColumn("_offset", F.sum("_n").over(before) - F.col("_n"))
-    keep = [key, "_pid", "_start", "_offset"]
+    earlier = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+
+    def upto(c: str) -> Column:
+        return F.coalesce(F.sum(c).over(earlier), F.lit(0))
+
+    keep = [F.col(key), F.col("_pid"), F.col("_start"), upto("_n").alias("_offset")]
     if weight:
-        slices = slices.withColumn("_woffset", F.sum("_w").over(before) - F.col("_w"))
-        keep.append("_woffset")
+        keep += [upto("_w").alias("_woffset"), upto("_k").alias("_koffset")]
     if count_col:
-        slices = slices.withColumn(count_col, F.sum("_n").over(Window.partitionBy(key)))
-        keep.append(count_col)
+        keep.append(F.sum("_n").over(Window.partitionBy(key)).alias(count_col))
     joined = _join_on(placed, slices.select(*keep), [key, "_pid"])
     out_df = joined.withColumn(out, F.col("_offset") + F.col("_idx") - F.col("_start") + 1)
     if weight:
-        # running weight inside the slice: rows of one (key, partition) only
+        # inside the slice: rows of one (key, partition) only
         inside = Window.partitionBy(key, "_pid").orderBy("_idx").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
-        out_df = out_df.withColumn(weight_out, F.col("_woffset") + F.sum(weight).over(inside))
-    return out_df.drop("_pid", "_idx", "_start", "_offset", "_woffset")
+        out_df = (out_df.withColumn("_kin", F.col("_koffset") + F.count(weight).over(inside))
+                  .withColumn("_win", F.col("_woffset") + F.coalesce(F.sum(weight).over(inside), F.lit(0))))
+        if weight_out:
+            out_df = out_df.withColumn(weight_out, F.when(F.col("_kin") > 0, F.col("_win")))
+        if weight_count:
+            out_df = out_df.withColumn(weight_count, F.col("_kin"))
+    return out_df.drop("_pid", "_idx", "_start", "_offset", "_woffset", "_koffset", "_kin", "_win")
 
 
 def rank_within_key(df: DataFrame, key: str, order: Sequence[str],
                     ascending: Sequence[bool] | None = None, rank_col: str = "rank",
-                    dense_col: str | None = None,
-                    hot_key_rows: int | None = None) -> DataFrame:
+                    dense_col: str | None = None) -> DataFrame:
     """``rank()`` (and optionally ``dense_rank()``) by ``order`` within key.
 
     Ties are collapsed first: one row per (key, order value) with its row
     count (a partial aggregate). Over those groups, in order, dense_rank is
     the group's row number and rank is 1 + the rows of all earlier groups.
     The groups get their numbers from ``row_number_within_key`` and are
-    joined back to the rows, so neither a hot key nor a hot tie group is
-    handled by one task."""
+    joined back to the rows on (key, order value); a tie group that holds a
+    large share of the rows is the streamed side of that join, which adaptive
+    execution splits."""
     tie = [key, *order]
     groups = df.groupBy(*tie).agg(F.count(F.lit(1)).alias("_c"))
     numbered = row_number_within_key(groups, key, list(order), ascending, out="_g",
-                                     weight="_c", weight_out="_upto",
-                                     hot_key_rows=hot_key_rows)
+                                     weight="_c", weight_out="_upto")
     ranks = numbered.select(*tie, (F.col("_upto") - F.col("_c") + 1).alias(rank_col),
                             *([F.col("_g").alias(dense_col)] if dense_col else []))
     return _join_on(df, ranks, tie)
@@ -190,9 +144,8 @@ def ntile_from(rn, cnt, buckets: int) -> Column:
 
 
 def ntile_within_key(df: DataFrame, key: str, order: Sequence[str], buckets: int,
-                     ascending: Sequence[bool] | None = None, out: str = "ntile",
-                     hot_key_rows: int | None = None) -> DataFrame:
+                     ascending: Sequence[bool] | None = None,
+                     out: str = "ntile") -> DataFrame:
     """``ntile(buckets)`` by a total ``order`` within key."""
-    numbered = row_number_within_key(df, key, order, ascending, out="_rn", count_col="_cnt",
-                                     hot_key_rows=hot_key_rows)
+    numbered = row_number_within_key(df, key, order, ascending, out="_rn", count_col="_cnt")
     return numbered.withColumn(out, ntile_from("_rn", "_cnt", buckets)).drop("_rn", "_cnt")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from tidewater.functions.strings import valid_key
 
@@ -56,23 +56,49 @@ def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def tail_n_per_key(df: DataFrame, key, order, n: int, rank_col: str = "recency") -> DataFrame:
+def tail_n_per_key(df: DataFrame, key, order, n: int, rank_col: str = "recency",
+                   salts: int = 16) -> DataFrame:
     """The last ``n`` rows per key by ``order`` (newest has ``recency`` 1).
-    ``row_number() <= n`` is planned with a partial WindowGroupLimit before
-    the shuffle, so at most ``n`` rows per key leave each map task."""
-    w = Window.partitionBy(*_cols(key)).orderBy(*[c.desc() for c in _cols(order)])
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
 
-
-def latest_by_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """One row per key: the row with the greatest ``order`` tuple. Written as
-    ``max(struct(order..., rest...))`` so it aggregates partially per map task
-    (hot keys collapse before the shuffle)."""
+    In two levels: the rows of a key are dealt by a hash of their order values
+    into ``salts`` parts, each part keeps its last ``n``, and the last ``n``
+    of those are the result. Both ``row_number() <= n`` are planned with a
+    partial WindowGroupLimit before the shuffle; the final task of a key reads
+    at most ``n * salts`` rows however many map tasks there were."""
+    newest = [c.desc() for c in _cols(order)]
+    parted = df.withColumn("_part", F.pmod(F.xxhash64(*_cols(order)), F.lit(salts)))
+    first = Window.partitionBy(*_cols(key), "_part").orderBy(*newest)
+    last = Window.partitionBy(*_cols(key)).orderBy(*newest)
+    return (parted.withColumn("_level", F.row_number().over(first)).filter(F.col("_level") <= n)
+            .drop("_part", "_level")
+            .withColumn(rank_col, F.row_number().over(last)).filter(F.col(rank_col) <= n))
+
+
+def _has_map(t: DataType) -> bool:
+    if isinstance(t, MapType):
+        return True
+    if isinstance(t, ArrayType):
+        return _has_map(t.elementType)
+    return isinstance(t, StructType) and any(_has_map(f.dataType) for f in t.fields)
+
+
+def latest_by_key(df: DataFrame, key, order: Sequence[str]) -> DataFrame:
+    """One row per key (one column or several): the row with the greatest
+    ``order`` tuple; equal tuples are decided by the other columns, maps by
+    their JSON text. An aggregate that works partially per map task, so hot
+    keys collapse before the shuffle. A NULL key is a key like any other."""
+    keys = [key] if isinstance(key, str) else list(key)
     order = list(order)
-    rest = [c for c in df.columns if c != key and c not in order]
-    best = F.max(F.struct(*[F.col(c) for c in order + rest])).alias("_best")
-    return (df.groupBy(key).agg(best)
-            .select(key, *[F.col("_best")[c].alias(c) for c in order + rest])
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    maps = {c for c in order + rest if _has_map(df.schema[c].dataType)}
+    row = F.struct(*[F.col(c) for c in order + rest]) if order + rest else F.struct(*[F.col(c) for c in keys])
+    if maps:
+        by = F.struct(*[F.to_json(F.struct(c)).alias(c) if c in maps else F.col(c) for c in order + rest])
+        best = F.max_by(row, by).alias("_best")
+    else:
+        best = F.max(row).alias("_best")
+    return (df.groupBy(*keys).agg(best)
+            .select(*keys, *[F.col("_best")[c].alias(c) for c in order + rest])
             .select(*df.columns))
 
 
@@ -93,44 +119,83 @@ def dependent_rows(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 def _one_per_key(df: DataFrame, key: str, order: Sequence[str] | None) -> DataFrame:
     """Deterministic de-duplication: the greatest ``order`` (else the greatest
-    whole row) per key."""
-    valid = df.filter(_valid(df, key))
-    if order:
-        return latest_by_key(valid, key, order)
-    return latest_by_key(valid, key, [c for c in df.columns if c != key])
+    whole row) per key. Rows without a usable key all stay."""
+    lone = F.when(~F.coalesce(_valid(df, key), F.lit(False)), F.monotonically_increasing_id())
+    by = list(order) if order else [c for c in df.columns if c != key]
+    return latest_by_key(df.withColumn("_lone", lone), [key, "_lone"], by).drop("_lone")
+
+
+def _merge(target: DataFrame, new: DataFrame, key: str, order, prefer_new: bool) -> DataFrame:
+    """Full outer join of target rows and one new row per key; each input is
+    read once. Rows without a usable key match nothing and all stay."""
+    cols = target.columns
+    fresh = _one_per_key(new.select(*cols), key, order)
+    t = target.select(F.struct(*cols).alias("_t"), F.when(_valid(target, key), F.col(key)).alias("_tk"))
+    f = fresh.select(F.struct(*cols).alias("_f"), F.when(_valid(fresh, key), F.col(key)).alias("_fk"))
+    both = t.join(f, F.col("_tk") == F.col("_fk"), "full_outer")
+    row = F.coalesce("_f", "_t") if prefer_new else F.coalesce("_t", "_f")
+    return both.select(row.alias("_row")).select("_row.*")
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key: str,
                      order: Sequence[str] | None = None) -> DataFrame:
     """Target plus the new rows whose key is not in the target yet (one row
-    per new key). Running it twice adds nothing the second time."""
-    fresh = _one_per_key(new, key, order).join(_distinct_keys(target, key), key, "left_anti")
-    return target.unionByName(fresh.select(*target.columns))
+    per new key). Running it twice adds nothing the second time, except that
+    new rows with a NULL or empty key can't be matched and are added."""
+    return _merge(target, new, key, order, prefer_new=False)
 
 
 def upsert_by_key(target: DataFrame, updates: DataFrame, key: str,
                   order: Sequence[str] | None = None) -> DataFrame:
     """Replace target rows that have an update, add new keys: target rows
-    without an update, plus one update row per key."""
-    latest = _one_per_key(updates, key, order).select(*target.columns)
-    kept = target.join(latest.select(key), key, "left_anti")
-    return kept.unionByName(latest)
+    without an update, plus one update row per key. ``target`` holds one row
+    per key; rows with a NULL or empty key, on either side, all stay."""
+    return _merge(target, updates, key, order, prefer_new=True)
+
+
+def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str,
+               bucket_seconds: int) -> DataFrame:
+    """Rows of ``points`` whose time lies in ``[start, end)`` of a row of
+    ``spans``, for conditions without an equal key.
+
+    Time is cut into buckets of ``bucket_seconds``; a span is copied to every
+    bucket it touches and meets the points there by an equi-join, which
+    adaptive execution splits where a bucket is hot. A pair meets in the
+    point's bucket only, so none is found twice. Choose buckets about as long
+    as the spans. NULL times match nothing."""
+    def bucket(c: str) -> Column:
+        seconds = F.unix_seconds(F.col(c).cast("timestamp"))
+        return F.floor(seconds / F.lit(bucket_seconds)).cast("bigint")
+
+    copied = (spans.filter(F.col(start) < F.col(end))
+              .withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end)))))
+    placed = points.filter(F.col(point).isNotNull()).withColumn("_bucket", bucket(point))
+    inside = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
+    return placed.join(copied, "_bucket").filter(inside).drop("_bucket")
+
+
+def delete_by_key(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Target without the rows whose key occurs in ``keys``. NULL and empty
+    keys delete nothing, and target rows with such a key stay."""
+    return target.join(_distinct_keys(keys, key), key, "left_anti").select(*target.columns)
 
 
 def reconcile(desired: DataFrame, actual: DataFrame, key: str,
               action_col: str = "action") -> DataFrame:
     """Plan per key: ``create`` (desired only), ``keep`` (both), ``delete``
-    (actual only). Both sides are reduced to distinct keys first, so the full
+    (actual only). Both sides are reduced to one row per key first, so the full
     outer join is one-to-one per key. Actual rows with a NULL or empty key
-    pass through as ``keep``; desired rows without a key cannot be created and
-    are dropped."""
-    d = _distinct_keys(desired, key).withColumn("_in_desired", F.lit(True))
-    a = _distinct_keys(actual, key).withColumn("_in_actual", F.lit(True))
-    planned = d.join(a, key, "full_outer").select(
-        key,
-        F.when(F.col("_in_actual").isNull(), F.lit("create"))
-         .when(F.col("_in_desired").isNull(), F.lit("delete"))
-         .otherwise(F.lit("keep")).alias(action_col))
-    passthrough = actual.filter(~F.coalesce(_valid(actual, key), F.lit(False))).select(
-        key, F.lit("keep").alias(action_col))
-    return planned.unionByName(passthrough)
+    pass through as ``keep``, each of them; desired rows without a key cannot
+    be created and are dropped."""
+    d = _distinct_keys(desired, key).select(F.col(key).alias("_dk"))
+    usable = F.coalesce(_valid(actual, key), F.lit(False))
+    a = (actual.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+         .select(F.col(key).alias("_ak"), usable.alias("_usable"), "_rows"))
+    planned = d.join(a, (F.col("_dk") == F.col("_ak")) & F.col("_usable"), "full_outer")
+    action = (F.when(F.col("_rows").isNull(), F.lit("create"))
+              .when(F.col("_usable") & F.col("_dk").isNull(), F.lit("delete"))
+              .otherwise(F.lit("keep")))
+    times = F.when(F.col("_usable") | F.col("_rows").isNull(), F.lit(1)).otherwise(F.col("_rows"))
+    return (planned.select(F.coalesce("_dk", "_ak").alias(key), action.alias(action_col), times.alias("_times"))
+            .withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times").cast("bigint"))))
+            .drop("_times", "_n"))

@@ -6,14 +6,33 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tidewater.functions.labels import has_any_key
+from tidewater.functions.labels import SPARK_KEYS, has_any_key
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def exact_sum(c) -> Column:
+    """Sum of an integral column as DECIMAL(38,0), NULL if all values are NULL.
+
+    A BIGINT sum overflows at 2**63. Here the four 16-bit parts of the values
+    are summed as BIGINT (safe up to 2**47 rows) and put together at the end,
+    so the rows themselves stay in whole-stage codegen without decimals."""
+    x = _col(c).cast("bigint")
+    parts = [F.shiftright(x, 48), *[F.shiftright(x, s).bitwiseAND(F.lit(0xFFFF)) for s in (32, 16, 0)]]
+    total = F.lit(0).cast("decimal(38,0)")
+    for part, shift in zip(parts, (48, 32, 16, 0)):
+        total = total + (F.sum(part).cast("decimal(20,0)") * F.lit(1 << shift).cast("decimal(16,0)"))
+    return total.cast("decimal(38,0)")
+
+
+def _sum(df: DataFrame, c: str) -> Column:
+    return exact_sum(c) if isinstance(df.schema[c].dataType, IntegralType) else F.sum(c)
+
+
 def one_pass_stats(df: DataFrame, c) -> DataFrame:
     """count, sum, mean, min, max and even/odd counts of an integral column in
     ONE aggregate (one scan, partial aggregation per partition). Odd uses
@@ -21,7 +40,7 @@ def one_pass_stats(df: DataFrame, c) -> DataFrame:
     x = _col(c)
     return df.agg(
         F.count(x).alias("n"),
-        F.sum(x).alias("total"),
+        exact_sum(x).alias("total"),
         F.avg(x).alias("mean"),
         F.min(x).alias("min_value"),
         F.max(x).alias("max_value"),
@@ -52,12 +71,14 @@ _AGG_FUNCS = {
 
 def agg_by_map(df: DataFrame, keys: Sequence[str], spec: Mapping[str, str]) -> DataFrame:
     """Group by ``keys`` and apply ``{column: function}``; outputs are named
-    ``<function>_<column>`` in the order of ``spec``."""
+    ``<function>_<column>`` in the order of ``spec``. Sums of integral columns
+    are exact (DECIMAL(38,0))."""
     aggs = []
     for column, fn in spec.items():
         if fn not in _AGG_FUNCS:
             raise ValueError(f"unknown aggregate {fn!r}")
-        aggs.append(_AGG_FUNCS[fn](F.col(column)).alias(f"{fn}_{column}"))
+        agg = _sum(df, column) if fn == "sum" else _AGG_FUNCS[fn](F.col(column))
+        aggs.append(agg.alias(f"{fn}_{column}"))
     return df.groupBy(*keys).agg(*aggs)
 
 
@@ -69,7 +90,7 @@ def format_stats(df: DataFrame, c, decimals: int = 2) -> DataFrame:
 
 def status_metrics(pods: DataFrame, apps: DataFrame, status: str = "status",
                    labels: str = "labels", state: str = "state",
-                   spark_keys: Sequence[str] = ("spark-role", "spark-app-name")) -> DataFrame:
+                   spark_keys: Sequence[str] = SPARK_KEYS) -> DataFrame:
     """Dashboard counters over two tables in one aggregate: the two inputs are
     tagged and unioned (no join), then counted in one pass.
 

@@ -11,21 +11,22 @@ from tidewater.functions import (classify_by_keys, content_type_for, derive_key,
                                  file_extension, first_label, flatten_app_record, iso_ts,
                                  lookup_default, parse_cpu_millis, parse_mem_mib,
                                  rewrite_links, status_class, status_text, TYPE_CLASSES)
-from tidewater.operators import (agg_by_map, conditional_counts, dependent_rows,
+from tidewater.functions.labels import SPARK_KEYS
+from tidewater.operators import (agg_by_map, conditional_counts, delete_by_key, dependent_rows,
                                  describe_schema, filter_eq, filter_in, filter_not_contains,
                                  format_stats, head_n, insert_if_absent, latest_by_key,
                                  one_pass_stats, range_stats, reconcile, retention_filter,
-                                 order_parts, rollup_totals, split_explode, stale_rows,
+                                 order_parts, rollup_totals, range_join, split_explode, stale_rows,
                                  status_metrics, tail_n_per_key, upsert_by_key,
                                  word_count)
-from tidewater.operators.frames import neighbours_within_key, range_count_within_key
-from tidewater.operators.layout import spread_narrow_scan
+from tidewater.operators.frames import (frame_sum, neighbours_within_key,
+                                        range_count_within_key)
 from tidewater.operators.quality import quarantined, validated
 from tidewater.operators.ranking import ntile_from, rank_within_key, row_number_within_key
 from tidewater.plans.registry import query
 from tidewater.session import shared_dir
 from tidewater.sources import SourceSpec, load_source, read_table
-from tidewater.sources.catalog import append_table, read_catalog_table, save_table
+from tidewater.sources.catalog import append_table, drop_table, read_catalog_table, save_table
 from tidewater.streaming.decode import decode_events, encode_events
 
 
@@ -36,7 +37,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- statistics
 
 _STATS_SQL = """
-SELECT count(x) AS n, CAST(sum(x) AS BIGINT) AS total, avg(x) AS mean,
+SELECT count(x) AS n, CAST(sum(x) AS DECIMAL(38,0)) AS total, avg(x) AS mean,
        min(x) AS min_value, max(x) AS max_value,
        count(*) FILTER (WHERE x % 2 = 0) AS even,
        count(*) FILTER (WHERE x % 2 <> 0) AS odd
@@ -77,7 +78,7 @@ def q_parity_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("group_sum_avg", f"""
-SELECT type, CAST(sum(number) AS BIGINT) AS sum_number, avg(doubled) AS avg_doubled
+SELECT type, CAST(sum(number) AS DECIMAL(38,0)) AS sum_number, avg(doubled) AS avg_doubled
 FROM ({_PARITY_SQL}) GROUP BY type
 """)
 def q_group_sum_avg(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +87,7 @@ def q_group_sum_avg(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("agg_by_map", """
-SELECT o_orderpriority, CAST(sum(o_orderkey) AS BIGINT) AS sum_o_orderkey,
+SELECT o_orderpriority, CAST(sum(o_orderkey) AS DECIMAL(38,0)) AS sum_o_orderkey,
        avg(o_custkey) AS avg_o_custkey, max(o_totalprice) AS max_o_totalprice,
        count(o_orderstatus) AS count_o_orderstatus
 FROM orders GROUP BY o_orderpriority
@@ -202,7 +203,9 @@ def q_catalog_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     nation = _t(spark, d, "nation")
     append_table(nation.select((F.col("n_nationkey") + 100).alias("r_regionkey"),
                                F.col("n_name").alias("r_name")), name)
-    return read_catalog_table(spark, name)
+    result = read_catalog_table(spark, name)
+    drop_table(spark, name)  # the name only: the files stay for the result
+    return result
 
 
 # ---------------------------------------------------------------- text
@@ -213,8 +216,7 @@ FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f]+')) AS word FROM do
 WHERE word <> '' GROUP BY word
 """)
 def q_word_count(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").select("text")
-    return word_count(spread_narrow_scan(docs), "text")
+    return word_count(_t(spark, d, "documents"), "text")
 
 
 @query("split_explode", """
@@ -298,9 +300,6 @@ def q_filter_not_contains(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- labels
 
-SPARK_KEYS = ("spark-role", "spark-app-name")
-
-
 def _event_labels(spark: SparkSession, d: str) -> DataFrame:
     """A label map per event, derived from props.k: spark-role, app name,
     another key, spark-role with an empty value, or no map at all."""
@@ -548,12 +547,15 @@ def q_tail_n_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("latest_by_key", """
-SELECT event_id, ts, user_id, event_type, value, props FROM (
+SELECT event_id, ts, user_id, event_type, value, props, event_type AS label FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
   FROM events) WHERE rn = 1
 """)
 def q_latest_by_key(spark: SparkSession, d: str) -> DataFrame:
-    return latest_by_key(_t(spark, d, "events"), "user_id", ["ts", "event_id"])
+    """Records carry a label map, as the cluster's records do."""
+    labelled = _t(spark, d, "events").withColumn("labels", F.create_map(F.lit("kind"), F.col("event_type")))
+    latest = latest_by_key(labelled, "user_id", ["ts", "event_id"])
+    return latest.withColumn("label", F.col("labels")["kind"]).drop("labels")
 
 
 @query("rank_per_key", """
@@ -581,6 +583,10 @@ def q_rank_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("frames_per_key", """
+WITH e AS (
+  SELECT event_id, user_id, ts,
+         CASE WHEN event_id % 7 = 0 OR user_id % 10 = 3 THEN NULL ELSE value END AS value
+  FROM events)
 SELECT event_id, user_id,
        lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_value,
        lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_event,
@@ -588,21 +594,22 @@ SELECT event_id, user_id,
             ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS sum3,
        count(*) OVER (PARTITION BY user_id ORDER BY ts
             RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n_day
-FROM events
+FROM e
 """)
 def q_frames_per_key(spark: SparkSession, d: str) -> DataFrame:
     """The frame shape of ``sql_frames`` with the skew-safe operators: lag,
     lead and a 3-row sum from one numbering plus one neighbour join; the
-    1-day RANGE count from a merged running count."""
-    ev = (_t(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    1-day RANGE count from a merged running count. Every seventh value and all
+    values of every tenth user are NULL."""
+    value = F.when((F.col("event_id") % 7 != 0) & (F.col("user_id") % 10 != 3), F.col("value"))
+    ev = (_t(spark, d, "events").select("event_id", "user_id", "ts", value.alias("value"))
           .withColumn("_v", F.col("value").cast("decimal(18,2)")))
     numbered = row_number_within_key(ev, "user_id", ["ts", "event_id"], out="_rn",
-                                     weight="_v", weight_out="_run", hot_col="_hot")
+                                     weight="_v", weight_out="_run", weight_count="_k")
     near = neighbours_within_key(numbered, "user_id", "_rn", [
-        ("value", -1, "prev_value"), ("event_id", 1, "next_event"), ("_run", -3, "_earlier")],
-        hot_col="_hot")
-    framed = near.withColumn(
-        "sum3", (F.col("_run") - F.coalesce(F.col("_earlier"), F.lit(0))).cast("double"))
+        ("value", -1, "prev_value"), ("event_id", 1, "next_event"), ("_run", -3, "_earlier"),
+        ("_k", -3, "_ecount")])
+    framed = near.withColumn("sum3", frame_sum("_run", "_k", "_earlier", "_ecount").cast("double"))
     counted = range_count_within_key(framed, "user_id", "ts", F.expr("INTERVAL 1 DAY"), "n_day")
     return counted.select("event_id", "user_id", "prev_value", "next_event", "sum3", "n_day")
 
@@ -675,18 +682,46 @@ WITH updates AS (
   UNION ALL
   SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment
   FROM customer WHERE c_mktsegment = 'MACHINERY')
-SELECT * FROM customer c WHERE NOT EXISTS (SELECT 1 FROM updates u WHERE u.c_custkey = c.c_custkey)
-UNION ALL SELECT * FROM updates
+SELECT *, c_mktsegment AS label FROM customer c
+WHERE NOT EXISTS (SELECT 1 FROM updates u WHERE u.c_custkey = c.c_custkey)
+UNION ALL SELECT *, c_mktsegment AS label FROM updates
 """)
 def q_upsert_by_key(spark: SparkSession, d: str) -> DataFrame:
     """Changed rows (BUILDING balances + 100) and new rows (MACHINERY copies
-    under new keys) merged into customer."""
-    c = _t(spark, d, "customer")
+    under new keys) merged into customer; records carry a label map."""
+    c = _t(spark, d, "customer").withColumn("labels", F.create_map(F.lit("segment"), F.col("c_mktsegment")))
     changed = (c.filter(F.col("c_mktsegment") == "BUILDING")
                .withColumn("c_acctbal", F.col("c_acctbal") + 100))
     fresh = (c.filter(F.col("c_mktsegment") == "MACHINERY")
              .withColumn("c_custkey", F.col("c_custkey") + 1000000))
-    return upsert_by_key(c, changed.unionByName(fresh), "c_custkey")
+    merged = upsert_by_key(c, changed.unionByName(fresh), "c_custkey")
+    return merged.withColumn("label", F.col("labels")["segment"]).drop("labels")
+
+
+@query("delete_by_key", """
+SELECT * FROM customer c WHERE NOT EXISTS (
+  SELECT 1 FROM orders o WHERE o.o_orderpriority = '1-URGENT' AND o.o_custkey = c.c_custkey)
+""")
+def q_delete_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Customers without those that have an urgent order."""
+    urgent = (_t(spark, d, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+              .select(F.col("o_custkey").alias("c_custkey")))
+    return delete_by_key(_t(spark, d, "customer"), urgent, "c_custkey")
+
+
+@query("range_join", """
+SELECT a.event_id AS error_id, b.event_id, b.ts
+FROM events a JOIN events b ON b.ts >= a.ts AND b.ts < a.ts + INTERVAL 10 MINUTE
+WHERE a.event_type = 'error' AND b.event_type = 'purchase'
+""")
+def q_range_join(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases of all users in the ten minutes after each error: no equal key."""
+    ev = _t(spark, d, "events")
+    errors = ev.filter(F.col("event_type") == "error").select(
+        F.col("event_id").alias("error_id"), F.col("ts").alias("since"),
+        (F.col("ts") + F.expr("INTERVAL 10 MINUTE")).alias("until"))
+    bought = ev.filter(F.col("event_type") == "purchase").select("event_id", "ts")
+    return range_join(bought, errors, "ts", "since", "until", 600).select("error_id", "event_id", "ts")
 
 
 # ---------------------------------------------------------------- files and links
@@ -722,16 +757,19 @@ def q_suffix_allowlist(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("rewrite_links", """
-SELECT page_id, md5(replace(replace(replace(html,
+SELECT page_id, CASE page_id % 3 WHEN 2 THEN html ELSE replace(replace(replace(html,
          'href="/', 'href="/proxy/history/'),
          'src="/', 'src="/proxy/history/'),
-         'action="/', 'action="/proxy/history/')) AS html_md5
+         'action="/', 'action="/proxy/history/') END AS html
 FROM pages
 """)
 def q_rewrite_links(spark: SparkSession, d: str) -> DataFrame:
-    p = _t(spark, d, "pages").withColumn("content_type", F.lit("text/html; charset=utf-8"))
-    return p.select("page_id", F.md5(rewrite_links("html", "/proxy/history/", "content_type"))
-                    .alias("html_md5"))
+    """Pages sent as html, without a content type (read as html) and as plain
+    text (left alone), by page."""
+    kind = (F.when(F.col("page_id") % 3 == 0, F.lit("text/html; charset=utf-8"))
+            .when(F.col("page_id") % 3 == 2, F.lit("text/plain")))
+    p = _t(spark, d, "pages").withColumn("content_type", kind)
+    return p.select("page_id", rewrite_links("html", "/proxy/history/", "content_type").alias("html"))
 
 
 @query("derive_key", r"""
@@ -776,10 +814,3 @@ def q_rollup_totals(spark: SparkSession, d: str) -> DataFrame:
     return rollup_totals(q, ["l_returnflag", "l_linestatus"],
                          {"cpu_m": parse_cpu_millis("cpu"), "mem_mi": parse_mem_mib("memory")})
 
-
-@query("file_inventory")
-def q_file_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """Listing of the data folder: name, size, modification time, full path
-    (files listed in parallel; bodies are not read). Rows-only check."""
-    from tidewater.sources.inventory import file_inventory
-    return file_inventory(spark, d, prefix="")

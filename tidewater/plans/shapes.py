@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.plans.registry import query
 from tidewater.plans.sql import run_script, run_sql
 from tidewater.session import shared_dir
+from tidewater.sources.catalog import drop_table
 
 
 def _shape(name: str, spark_sql: str, duck_sql: str | None = None):
@@ -229,13 +230,15 @@ def q_sql_ctas(spark: SparkSession, d: str) -> DataFrame:
     table's files live in the shared folder."""
     path = shared_dir(spark, "ctas")
     name = "tw_ctas_" + path.rsplit("-", 1)[-1]
-    return run_script(spark, [
+    result = run_script(spark, [
         f"CREATE TABLE {name} USING parquet LOCATION '{path}' AS "
         "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey < 2",
         f"INSERT INTO {name} SELECT n_nationkey + 100, n_name, n_regionkey FROM nation "
         "WHERE n_regionkey >= 2",
         f"SELECT * FROM {name}",
     ], d)
+    drop_table(spark, name)  # the name only: the files stay for the result
+    return result
 
 
 @query("sql_params", "SELECT * FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 1000")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,41 @@ def mentioned_tables(text: str, tables=TABLES) -> list[str]:
     """Tables whose name appears as a word in the text (only those need a
     view; each view costs a footer read at registration)."""
     words = set(re.findall(r"[A-Za-z_][A-Za-z0-9_]*", text.lower()))
-    return [t for t in tables if t in words]
+    return [t for t in tables if t.lower() in words]
+
+
+def split_statements(text: str) -> list[str]:
+    """The statements of a SQL text: split at semicolons outside of quotes
+    ('...', "...", `...`) and comments (-- to the end of the line, /* ... */)."""
+    parts = re.findall(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|.""", text, re.S)
+    out = [""]
+    for part in parts:
+        if part == ";":
+            out.append("")
+        else:
+            out[-1] += " " if part.startswith(("--", "/*")) and len(part) > 1 else part
+    return [s.strip() for s in out if s.strip()]
+
+
+@contextmanager
+def table_views(spark: SparkSession, data_dir: str | None, names: list[str]):
+    """The given parquet tables as temporary views for the time of the block.
+    A view of the user with such a name stands again afterwards; results that
+    were made inside keep the tables they were made from."""
+    if data_dir is None:
+        yield
+        return
+    before = {n: spark.table(n) for n in names
+              if spark.catalog.tableExists(n) and spark.catalog.getTable(n).isTemporary}
+    register_tables(spark, data_dir, names)
+    try:
+        yield
+    finally:
+        for n in names:
+            if n in before:
+                before[n].createOrReplaceTempView(n)
+            else:
+                spark.catalog.dropTempView(n)
 
 
 def run_sql(spark: SparkSession, text: str, data_dir: str | None = None,
@@ -22,17 +57,15 @@ def run_sql(spark: SparkSession, text: str, data_dir: str | None = None,
     """Run one SQL statement. With ``data_dir`` the given parquet tables that
     the text mentions are registered as views first; ``args`` binds
     ``:name`` parameters (no string pasting of values)."""
-    if data_dir is not None:
-        register_tables(spark, data_dir, mentioned_tables(text, tables))
-    return spark.sql(text, args=dict(args)) if args else spark.sql(text)
+    with table_views(spark, data_dir, mentioned_tables(text, tables)):
+        return spark.sql(text, args=dict(args)) if args else spark.sql(text)
 
 
 def run_script(spark: SparkSession, statements: list[str], data_dir: str | None = None,
-               args: Mapping | None = None) -> DataFrame:
+               args: Mapping | None = None, tables=TABLES) -> DataFrame:
     """Run statements in order (DDL, DML, ...); return the last result."""
-    if data_dir is not None:
-        register_tables(spark, data_dir, mentioned_tables(" ".join(statements)))
-    result = None
-    for text in statements:
-        result = run_sql(spark, text, None, args)
-    return result
+    with table_views(spark, data_dir, mentioned_tables(" ".join(statements), tables)):
+        result = None
+        for text in statements:
+            result = run_sql(spark, text, None, args)
+        return result

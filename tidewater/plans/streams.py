@@ -12,7 +12,7 @@ from tidewater.plans.registry import query
 from tidewater.session import shared_dir
 from tidewater.sources.events import EVENTS_SCHEMA, EventSourceSpec, event_source
 from tidewater.sources.files import read_table
-from tidewater.streaming.decode import decode_events, encode_events
+from tidewater.streaming.decode import decode_events
 from tidewater.streaming.jobs import (bronze_ingest, read_running_result, running_aggregate,
                                       validate_stream)
 
@@ -32,16 +32,18 @@ def q_stream_bronze(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stream_running_agg", """
-SELECT event_type, count(*) AS n, round(sum(value), 2) AS total_value FROM events GROUP BY event_type
+SELECT event_type, count(*) AS n,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value
+FROM events GROUP BY event_type
 """)
 def q_stream_running_agg(spark: SparkSession, d: str) -> DataFrame:
     root = shared_dir(spark, "running")
     q = running_aggregate(_event_files(spark, d), ["event_type"],
-                          {"n": F.count(F.lit(1)), "total_value": F.sum("value")},
+                          {"n": F.count(F.lit(1)), "total_value": F.sum(F.col("value").cast("decimal(18,2)"))},
                           f"{root}/result", f"{root}/_checkpoint")
     q.awaitTermination()
     out = read_running_result(spark, f"{root}/result")
-    return out.select("event_type", "n", F.round("total_value", 2).alias("total_value"))
+    return out.select("event_type", "n", F.col("total_value").cast("double").alias("total_value"))
 
 
 @query("stream_validate", _TAGGED_EVENTS_SQL + """
@@ -62,15 +64,34 @@ def q_stream_validate(spark: SparkSession, d: str) -> DataFrame:
         "event_id", "ts", "user_id", "event_type", "value", "props", "reject_reason", "status")
 
 
-@query("stream_decode", "SELECT * FROM events")
+@query("stream_decode", """
+WITH e AS (
+  SELECT event_id, user_id, event_type, event_id % 11 = 0 AS broken,
+         CASE WHEN event_id % 7 = 0 THEN date_trunc('second', ts) ELSE ts END AS ts,
+         strftime(ts, CASE WHEN event_id % 7 = 0 THEN '%Y-%m-%dT%H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%S.%f' END) AS shown
+  FROM events),
+p AS (
+  SELECT *, CASE WHEN broken THEN 'x' ELSE '' END || '{"event_id":' || event_id || ',"ts":"' || shown
+         || '","user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS raw FROM e)
+SELECT CASE WHEN NOT broken THEN event_id END AS event_id, CASE WHEN NOT broken THEN ts END AS ts,
+       CASE WHEN NOT broken THEN user_id END AS user_id,
+       CASE WHEN NOT broken THEN event_type END AS event_type, raw
+FROM p
+""")
 def q_stream_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Topic payloads replayed from files: events encoded as JSON lines
-    (what the topic carries), streamed as text, decoded with the explicit
-    schema and appended to a bronze folder."""
+    """Topic payloads replayed from files: JSON lines streamed as text, decoded
+    with the explicit schema and appended to a bronze folder with their raw
+    text. Every 11th line is no JSON, every 7th time has no fraction."""
     root = shared_dir(spark, "payloads")
-    encode_events(read_table(spark, d, "events")).select("value").write.text(f"{root}/in")
+    i = F.col("event_id")
+    shown = (F.when(i % 7 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+             .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
+    payload = F.concat(F.when(i % 11 == 0, "x").otherwise(""), F.lit('{"event_id":'), i.cast("string"),
+                       F.lit(',"ts":"'), shown, F.lit('","user_id":'), F.col("user_id").cast("string"),
+                       F.lit(',"event_type":"'), F.col("event_type"), F.lit('"}'))
+    read_table(spark, d, "events").select(payload.alias("value")).write.text(f"{root}/in")
     raw = event_source(spark, EventSourceSpec(kind="files", path=f"{root}/in",
                                               file_format="text"))
-    q = bronze_ingest(decode_events(raw), f"{root}/table", f"{root}/_checkpoint")
+    q = bronze_ingest(decode_events(raw, keep_raw=True), f"{root}/table", f"{root}/_checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/table").drop("ingest_ts")
+    return spark.read.parquet(f"{root}/table").select("event_id", "ts", "user_id", "event_type", "raw")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,15 +32,19 @@ def get_spark(app_name: str = "tidewater", conf: dict | None = None,
 
     The master is left to the launcher unless given. Explicit ``conf`` is
     applied at creation; ``DEFAULT_CONF`` then fills only runtime settings
-    that neither ``conf`` nor the launcher set.
+    that neither ``conf`` nor the launcher set. A session that is already
+    running keeps its settings; only ``conf`` is applied to it.
     """
     conf = dict(conf or {})
+    running = SparkSession.getActiveSession() is not None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    if running:
+        return spark
     launcher = spark.sparkContext.getConf()
     for key, value in DEFAULT_CONF.items():
         if key not in conf and not launcher.contains(key):
@@ -50,14 +55,17 @@ def get_spark(app_name: str = "tidewater", conf: dict | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests) a private folder is made and
-    registered, so that ``DataFrame.checkpoint()`` and our written tables land
-    in one place that every executor can reach.
+    Only when nothing is configured and driver and executors are one local
+    process (tests) a private folder is made and registered, so that
+    ``DataFrame.checkpoint()`` and our written tables land in one place. On a
+    cluster such a folder would be another one on every machine: an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidewater-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():

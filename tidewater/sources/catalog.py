@@ -37,5 +37,10 @@ def append_table(df: DataFrame, name: str) -> None:
     df.select(*target_columns).write.insertInto(name)
 
 
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a table; the files of an external table stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def read_catalog_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)

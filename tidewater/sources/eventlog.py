@@ -1,7 +1,8 @@
 """Spark application event logs (JSON lines) as a table.
 
-Write logs with ``spark.eventLog.enabled=true``, ``spark.eventLog.dir=<dir>``;
-keep ``spark.eventLog.compress=false`` so plain text readers can parse them.
+Write logs with ``spark.eventLog.enabled=true``, ``spark.eventLog.dir=<dir>``.
+Plain logs and those whose file names end in a compression suffix that Spark's
+text source knows (.zstd, .lz4, .gz) can be read.
 Each file holds one application; rolling logs keep one folder per application.
 """
 

@@ -22,10 +22,16 @@ EVENTS_SCHEMA = StructType([
 ])
 
 
+#: Files that one micro-batch of a file stream takes at most, so that a first
+#: run works through its backlog in steps.
+FILES_PER_TRIGGER = 10_000
+
+
 @dataclass(frozen=True)
 class EventSourceSpec:
     """``kind`` is ``kafka`` (topic payloads) or ``files`` (parquet/json/csv
-    files dropped into a folder). ``max_per_trigger`` bounds one micro-batch."""
+    files dropped into a folder). ``max_per_trigger`` bounds one micro-batch
+    (offsets or files); without it a file stream takes ``FILES_PER_TRIGGER``."""
 
     kind: str = "files"
     path: str | None = None
@@ -58,7 +64,6 @@ def event_source(spark: SparkSession, spec: EventSourceSpec,
         reader = spark.readStream.format(spec.file_format)
         if spec.file_format != "text":  # text files are payload lines: one `value` column
             reader = reader.schema(schema)
-        if spec.max_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", str(spec.max_per_trigger))
+        reader = reader.option("maxFilesPerTrigger", str(spec.max_per_trigger or FILES_PER_TRIGGER))
         return reader.options(**dict(spec.options)).load(spec.path)
     raise ValueError(f"unknown event source kind: {spec.kind}")

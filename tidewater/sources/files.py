@@ -60,6 +60,15 @@ def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
 
 
+def parquet_names(spark: SparkSession, data_dir: str) -> list[str]:
+    """Names of the ``<name>.parquet`` files and folders of a folder on any
+    Hadoop file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(data_dir)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [f.getPath().getName() for f in files]
+    return sorted(n[:-len(".parquet")] for n in names if n.endswith(".parquet"))
+
+
 def register_tables(spark: SparkSession, data_dir: str, names=TABLES) -> None:
     """Register the given parquet tables as temporary views for SQL text."""
     for name in names:

@@ -14,7 +14,9 @@ def file_inventory(spark: SparkSession, root: str, prefix: str = "",
     base (such as a bucket URI) is given.
 
     The ``binaryFile`` source lists files in parallel; because ``content`` is
-    never selected, no file body is read.
+    never selected, no file body is read. Spark's file sources leave out names
+    that begin with ``_`` or ``.`` (markers and hidden files), and so does this
+    listing; the tree is listed before the prefix is applied.
     """
     from tidewater.functions.times import iso_ts
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -62,9 +62,10 @@ def running_aggregate(stream: DataFrame, keys: Sequence[str], aggs: Mapping[str,
 
     Each micro-batch writes the full current table into one of two slots
     (``slot = epoch % 2``) with dynamic partition overwrite, tagged with its
-    epoch; ``read_running_result`` returns the newest epoch present. A batch
-    that fails while replacing its slot leaves the other slot whole (readers
-    are one epoch behind until the replay rewrites it)."""
+    epoch, and then appends the epoch to ``<out_path>_epochs``.
+    ``read_running_result`` reads the newest epoch found there, so a batch that
+    fails while its slot is being replaced, or a store where a folder appears
+    file by file, never shows a part of a result."""
     agg = stream.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
@@ -72,6 +73,8 @@ def running_aggregate(stream: DataFrame, keys: Sequence[str], aggs: Mapping[str,
               .withColumn("slot", F.lit(epoch_id % 2))
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
               .partitionBy("slot").parquet(out_path))
+        done = batch.sparkSession.range(1).select(F.lit(epoch_id).cast("bigint").alias("epoch"))
+        done.write.mode("append").parquet(epochs_path(out_path))
 
     writer = (agg.writeStream.outputMode("complete")
               .option("checkpointLocation", checkpoint)
@@ -79,8 +82,13 @@ def running_aggregate(stream: DataFrame, keys: Sequence[str], aggs: Mapping[str,
     return _trigger(writer, trigger).start()
 
 
+def epochs_path(out_path: str) -> str:
+    """Where ``running_aggregate`` notes the epochs it has written whole."""
+    return f"{out_path.rstrip('/')}_epochs"
+
+
 def read_running_result(spark, out_path: str) -> DataFrame:
     """The newest complete result written by ``running_aggregate``."""
-    written = spark.read.parquet(out_path)
-    newest = written.select(F.max("epoch")).scalar()
-    return written.filter(F.col("epoch") == newest).drop("epoch", "slot")
+    newest = spark.read.parquet(epochs_path(out_path)).agg(F.max("epoch")).first()[0]
+    slot = spark.read.parquet(out_path).filter(F.col("slot") == newest % 2)
+    return slot.filter(F.col("epoch") == newest).drop("epoch", "slot")

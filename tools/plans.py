@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from tidewater.plans import QUERIES  # noqa: E402
 from tidewater.session import get_spark  # noqa: E402
 
-SKIP = ("history_", "stream_", "file_inventory")
+SKIP = ("stream_",)
 
 
 def physical_plan(df) -> str:
