@@ -1,0 +1,55 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidewater.llm import langid
+from tidewater.llm.queries import op4_language
+
+
+def test_grams_of_a_word():
+    text = ["ab", "", "c-d"]
+    word, bucket = langid.word_grams(text)
+    # ab: a b | ^a ab b$ | ^ab ab$; c-d: c d | ^c c- -d d$ | ^c- -d$
+    assert np.bincount(word, minlength=3).tolist() == [7, 0, 8]
+    again = langid.word_grams(["c-d", "ab"])
+    assert sorted(bucket[word == 0].tolist()) == sorted(again[1][again[0] == 1].tolist())
+
+
+def test_machine_separates():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 5)).astype(np.float32)
+    y = np.where(x @ np.array([1, -2, 0, 0, 1]) > 0, 1, -1)
+    w, b = langid.svm(x, y)
+    assert (np.sign(x @ w + b) == y).mean() > 0.97
+
+
+def test_contest():
+    m = {("a", "b"): np.array([3.0, -3.0, 0.0]), ("a", "c"): np.array([3.0, 1.0, 0.0]), ("b", "c"): np.array([-1.0, 2.0, 0.0])}
+    best, share = langid.contest(["a", "b", "c"], m)
+    assert best.tolist() == [0, 1, 0] and share[0] > 0.9 and abs(share[2] - 0.5) < 1e-9
+
+
+def test_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = op4_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got.lang == got.lang_pred)[got.held_out].mean() > 0.98
+
+
+def test_edge_rows(spark):
+    docs = spark.createDataFrame(
+        [(i, ["the dog and the cat", "der hund und die katze", "le chien et la chatte"][i % 3] + f" {i}", ["en", "de", "fr"][i % 3], 1) for i in range(60)]
+        + [(100, None, "en", 1), (101, "", None, 1), (102, "12 *** !!", "de", 1), (None, "the dog and the cat", None, 1),
+           (103, "der hund " * 50_000, None, 1), (1, "der hund und die katze", "de", 1)],
+        "doc_id long, text string, lang string, score int")
+    models = langid.fit(docs, F.lit(True))
+    got = langid.predict(docs, models).collect()
+    by = {r.doc_id: (r.lang_pred, r.score) for r in got}
+    assert len(got) == docs.count()
+    assert [by[i][0] for i in (100, 101, 102)] == ["und"] * 3 and by[100][1] == 0
+    assert [by[i][0] for i in (None, 103, 0, 1, 2)] == ["en", "de", "en", "de", "fr"]
+    assert all(0 <= s <= 1 for _, s in by.values())
+    assert langid.predict(docs.limit(0), models).count() == 0
+    # one language, and none
+    alone = langid.predict(docs, langid.fit(docs.filter("lang = 'de'"), F.lit(True))).collect()
+    assert {r.lang_pred for r in alone} == {"de", "und"}
+    assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0), F.lit(True))).collect()} == {"und"}
+    assert langid.family_of("xx") == "xx"
