@@ -51,7 +51,9 @@ def test_estimates_resist_outliers(spark):
     m = model.first()
     assert abs(m.m0 - 3) < 0.15 and abs(m.m1 + 1) < 0.2
     fitted = np.array([[m.v0, m.l10 * m.v0], [m.l10 * m.v0, m.v1 + m.l10 ** 2 * m.v0]])
-    assert np.allclose(fitted, cov, atol=0.35)
+    # the nearest 75 % of all rows are 94 % of the good ones, so the factor for
+    # 75 % makes the covariance too wide, by at most itself
+    assert ((fitted > 0.9 * cov) & (fitted < 1.1 * consistency(0.75, 2) * cov)).all()
     d = np.array([r.d for r in df.join(model, "grp").select(distance(["u", "v"]).alias("d"), "u").orderBy("u").collect()])
     assert d[-500:].min() > 100 and np.median(d[:-500]) < 3
     # the distance is the quadratic form of the inverse covariance

@@ -21,16 +21,16 @@ from tidewater.llm.common import coded_words, hash_fraction, hashed, repetition,
 from tidewater.llm.toxicity import HASH_BITS, bucket, train, word_features
 
 #: Labelled documents of each domain that training uses at most, on average.
-DOMAIN_ROWS = 3_000
+DOMAIN_ROWS = 2_000
 #: Largest relative difference from a target at which the fit ends, and the
 #: most steps it takes.
 TOLERANCE, STEPS = 1e-4, 40
 
 
-def domain_features(texts: pa.Array, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def domain_features(texts: pa.Array, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document number, bucket), once each, of every word, word beginning and
     word shape of the texts, and of the steps that their repetition reaches;
-    with ``used``, only of buckets marked there."""
+    with ``used``, only of buckets marked there. And the texts' word counts."""
     words, codes, starts = coded_words(pc.replace_substring_regex(texts, r"[\t\n\v\f\r]", " "))
     hashes, own = word_features(words)
     kinds = pc.dictionary_encode(pa.array(shapes_of(words), pa.string()))
@@ -48,7 +48,8 @@ def domain_features(texts: pa.Array, used: np.ndarray | None = None) -> tuple[np
             reached = np.flatnonzero(10 * number >= step * size)
             pairs.append(reached << HASH_BITS | bucket(np.full(len(reached), (1 << 36) + 16 * kind + step, np.uint64)))
     both = np.unique(np.concatenate(pairs))
-    return both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
+    total = np.r_[0, np.cumsum(~empty[codes])]
+    return both >> HASH_BITS, both & ((1 << HASH_BITS) - 1), np.diff(total[starts])
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_col: str = "doc_id",
@@ -69,7 +70,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: lis
         rows, names = [], []
         for b in batches:
             for i, j in slices(b.column(0)):
-                at, f = domain_features(b.column(0).slice(i, j - i))
+                at, f, _ = domain_features(b.column(0).slice(i, j - i))
                 rows += np.split(f.astype(np.int32), np.searchsorted(at, np.arange(1, j - i)))
             names += b.column(1).to_pylist()
         names = np.array(names, object)
@@ -103,16 +104,14 @@ def posteriors(docs: DataFrame, models: list[dict], id_col: str = "doc_id", text
         bias, used = np.array([b for _, _, b in sparse]), (w != 0).any(axis=1)
         for b in batches:
             for i, j in slices(b.column(1)):
-                d, f = domain_features(b.column(1).slice(i, j - i), used)
+                d, f, n = domain_features(b.column(1).slice(i, j - i), used)
                 logit = np.stack([np.bincount(d, weights=w[f, k], minlength=j - i) for k in range(len(sparse))], axis=1) + bias
                 odds = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
                 p = odds / odds.sum(axis=1, keepdims=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(p.tolist(), pa.list_(pa.float64()))],
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(p.tolist(), pa.list_(pa.float64()))],
                                                  names=["doc_id", "n_tokens", "p"])
 
-    t = text_of(text_col)
-    tokens = F.size(F.filter(F.split(t, "[ \\t-\\r]+"), lambda x: x != "")).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("t"), tokens.alias("n_tokens"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 

@@ -28,7 +28,7 @@ SHARE = 0.75
 STEPS = 3
 #: Statistics: (name, least standard deviation). The floors keep a statistic
 #: that is equal in most documents from rejecting all others.
-STATISTICS = [("x_length", 0.08), ("x_symbols", 0.5), ("x_lines", 0.6), ("x_repeat", 0.6)]
+STATISTICS = [("x_length", 0.08), ("x_symbols", 0.35), ("x_lines", 0.6), ("x_repeat", 0.6)]
 #: Squared distance beyond which a document is rejected.
 CUTOFF = 50.0
 

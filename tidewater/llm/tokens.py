@@ -70,6 +70,17 @@ def pair_ranks(left: np.ndarray, right: np.ndarray, table: MergeTable) -> tuple[
     return np.where(table.keys[at] == key, table.ranks[at], NONE), table.merged[at]
 
 
+def first_ranks(raw: np.ndarray, last: np.ndarray, table: MergeTable) -> tuple[np.ndarray, np.ndarray]:
+    """``pair_ranks`` of neighbouring bytes, by a table of all 2 x 65,536 byte
+    pairs (``last``: the right byte ends a pre-token)."""
+    left = np.repeat(np.arange(256), 256)
+    right = np.tile(np.arange(256), 256)
+    inner = pair_ranks(table.byte_ids[left], table.byte_ids[right], table)
+    final = pair_ranks(table.byte_ids[left], table.last_ids[right], table)
+    pair = (last[1:].astype(np.int32) << 16) | (raw[:-1].astype(np.int32) << 8) | raw[1:]
+    return tuple(np.concatenate(x)[pair] for x in zip(inner, final))
+
+
 def surviving_symbols(pre_tokens: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarray]:
     """Number of tokens of each pre-token, and all their ids in order."""
     lengths = np.fromiter(map(len, pre_tokens), np.int64, len(pre_tokens))
@@ -83,7 +94,9 @@ def surviving_symbols(pre_tokens: list[bytes], table: MergeTable) -> tuple[np.nd
     # rank, out: of the pair that starts at each symbol.
     rank, out = np.full(len(sym), NONE, np.int32), np.zeros(len(sym), np.int32)
     if len(sym) > 1:
-        rank[:-1], out[:-1] = pair_ranks(sym[:-1], sym[1:], table)
+        last = np.zeros(len(sym), bool)
+        last[ends] = True
+        rank[:-1], out[:-1] = first_ranks(raw, last, table)
         rank[:-1][seq[1:] != seq[:-1]] = NONE
     while len(sym):
         first = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
