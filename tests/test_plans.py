@@ -41,7 +41,7 @@ def test_columns_pruned(plans):
 
 def test_partial_aggregation_before_shuffle(plans):
     for name, partial in (("word_count", "partial_count(1)"), ("group_sum_avg", "partial_sum("),
-                          ("status_metrics", "partial_count_if("), ("latest_by_key", "partial_max_by(")):
+                          ("status_metrics", "partial_count("), ("latest_by_key", "partial_max_by(")):
         # read from the scan up, the partial aggregate comes before the exchange
         assert partial in plans[name].split("Exchange", 1)[1], name
     # distinct keys: one aggregate on each side of the exchange

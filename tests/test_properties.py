@@ -78,9 +78,11 @@ def test_insert_if_absent_like_sets(spark, target, new):
     t = spark.createDataFrame([(k, 0) for k in target], "key string, v int")
     n = spark.createDataFrame([(k, 1) for k in new], "key string, v int")
     out = insert_if_absent(t, n, "key").collect()
-    added = sorted(r.key for r in out if r.v == 1)
+    added = sorted(r.key for r in out if r.v == 1 and r.key)
     tv = {k for k in target if k}
     assert added == sorted({k for k in new if k} - tv)
+    # rows without a usable key match nothing and all stay
+    assert len([r for r in out if r.v == 1 and not r.key]) == len([k for k in new if not k])
     assert len([r for r in out if r.v == 0]) == len(target)
 
 

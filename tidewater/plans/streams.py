@@ -68,7 +68,8 @@ def q_stream_validate(spark: SparkSession, d: str) -> DataFrame:
 WITH e AS (
   SELECT event_id, user_id, event_type, event_id % 11 = 0 AS broken,
          CASE WHEN event_id % 7 = 0 THEN date_trunc('second', ts) ELSE ts END AS ts,
-         strftime(ts, CASE WHEN event_id % 7 = 0 THEN '%Y-%m-%dT%H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%S.%f' END) AS shown
+         CASE WHEN event_id % 7 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+              ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS shown
   FROM events),
 p AS (
   SELECT *, CASE WHEN broken THEN 'x' ELSE '' END || '{"event_id":' || event_id || ',"ts":"' || shown
