@@ -111,9 +111,14 @@ def factors(moments: DataFrame, floors: list[float], scale: float, by: list[str]
 
 def robust_estimates(rows: DataFrame, by: str, names: list[str], floors: list[float],
                      share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant factors of each value of ``by``."""
+    """Minimum-covariance-determinant factors of each value of ``by``.
+
+    What is estimated (a row for each group) is written before it is joined to
+    the rows: the planner then knows its size and broadcasts it while it is
+    small, and no row of a hot group has to move.
+    """
     p = len(names)
-    middle = rows.groupBy(by).agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(names)])
+    middle = written(rows.groupBy(by).agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(names)]), "mcd")
     spread = (rows.join(middle, by).groupBy(by)
               .agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, x in enumerate(names)]))
     start = middle.join(spread, by)
@@ -125,7 +130,7 @@ def robust_estimates(rows: DataFrame, by: str, names: list[str], floors: list[fl
     scale = consistency(share, p)
     for _ in range(steps):
         far = rows.join(now, by).select(by, *names, distance(names).alias("d"))
-        limit = far.groupBy(by).agg(F.percentile_approx("d", share).alias("limit"))
+        limit = written(far.groupBy(by).agg(F.percentile_approx("d", share).alias("limit")), "mcd")
         near = far.join(limit, by).filter("d <= limit")
         moments = near.groupBy(by).agg(
             *[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)],
