@@ -78,6 +78,12 @@ def coded_words(texts, separator: str = " "):
     return codes.dictionary, codes.indices.to_numpy().astype(np.int64), starts - starts[0]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order (by sorting, in place)."""
+    x.sort()
+    return x[np.r_[True, x[1:] != x[:-1]][:len(x)]]
+
+
 def hashed(words) -> np.ndarray:
     """64-bit hashes of Arrow strings, the same in every task."""
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.zeros(0, np.uint64)

@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import coded_words, hash_fraction, hashed, repetition, shapes_of, slices, text_of, written
-from tidewater.llm.toxicity import HASH_BITS, bucket, train, word_features
+from tidewater.llm.common import coded_words, distinct, hash_fraction, hashed, repetition, shapes_of, slices, text_of, written
+from tidewater.llm.toxicity import HASH_BITS, SLICE_BYTES, bucket, train, word_features
 
 #: Labelled documents of each domain that training uses at most, on average.
 DOMAIN_ROWS = 2_000
@@ -47,7 +47,7 @@ def domain_features(texts: pa.Array, used: np.ndarray | None = None) -> tuple[np
         for step in range(1, 11):
             reached = np.flatnonzero(10 * number >= step * size)
             pairs.append(reached << HASH_BITS | bucket(np.full(len(reached), (1 << 36) + 16 * kind + step, np.uint64)))
-    both = np.unique(np.concatenate(pairs))
+    both = distinct(np.concatenate(pairs))
     total = np.r_[0, np.cumsum(~empty[codes])]
     return both >> HASH_BITS, both & ((1 << HASH_BITS) - 1), np.diff(total[starts])
 
@@ -69,7 +69,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: lis
     def learn(batches):
         rows, names = [], []
         for b in batches:
-            for i, j in slices(b.column(0)):
+            for i, j in slices(b.column(0), SLICE_BYTES):
                 at, f, _ = domain_features(b.column(0).slice(i, j - i))
                 rows += np.split(f.astype(np.int32), np.searchsorted(at, np.arange(1, j - i)))
             names += b.column(1).to_pylist()
@@ -103,7 +103,7 @@ def posteriors(docs: DataFrame, models: list[dict], id_col: str = "doc_id", text
             w[at, k] = weight
         bias, used = np.array([b for _, _, b in sparse]), (w != 0).any(axis=1)
         for b in batches:
-            for i, j in slices(b.column(1)):
+            for i, j in slices(b.column(1), SLICE_BYTES):
                 d, f, n = domain_features(b.column(1).slice(i, j - i), used)
                 logit = np.stack([np.bincount(d, weights=w[f, k], minlength=j - i) for k in range(len(sparse))], axis=1) + bias
                 odds = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))

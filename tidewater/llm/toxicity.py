@@ -16,12 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import coded_words, hash_fraction, hashed, slices, text_of
+from tidewater.llm.common import coded_words, distinct, hash_fraction, hashed, slices, text_of
 
 #: Feature space: 2 to this power.
 HASH_BITS = 20
 #: Labelled documents of each class that training uses at most, on average.
-CLASS_ROWS = 6_000
+CLASS_ROWS = 4_000
+#: Text bytes whose features are made at once.
+SLICE_BYTES = 3 << 19
 ALPHA, BETA, L1, L2 = 0.4, 1.0, 5.0, 1.0
 EPOCHS = 3
 #: Lengths of word beginnings.
@@ -75,7 +77,7 @@ def features(texts: pa.Array, weights: np.ndarray | None = None) -> tuple[np.nda
         at = np.flatnonzero(doc[gap:] == doc[:-gap]) if len(doc) > gap else np.zeros(0, np.int64)
         pair = h[at] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * gap) + h[at + gap]
         keep(doc[at], bucket(pair))
-    both = np.unique(np.concatenate(kept_docs) << HASH_BITS | np.concatenate(kept))
+    both = distinct(np.concatenate(kept_docs) << HASH_BITS | np.concatenate(kept))
     return both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
 
 
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, label_col: str = "
     def learn(batches):
         rows, ys = [], []
         for b in batches:
-            for i, j in slices(b.column(0)):
+            for i, j in slices(b.column(0), SLICE_BYTES):
                 d, f = features(b.column(0).slice(i, j - i))
                 rows += np.split(f.astype(np.int32), np.searchsorted(d, np.arange(1, j - i)))
             ys.append(b.column(1).to_numpy())
@@ -160,7 +162,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         w = np.zeros(1 << HASH_BITS)
         w[at] = weight
         for b in batches:
-            for i, j in slices(b.column(1)):
+            for i, j in slices(b.column(1), SLICE_BYTES):
                 d, f = features(b.column(1).slice(i, j - i), w)
                 logit = bias + np.bincount(d, weights=w[f], minlength=j - i)
                 yield pa.RecordBatch.from_arrays(
@@ -181,7 +183,7 @@ def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.5, id_col: str
         w[at] = weight
         for b in batches:
             texts = pc.fill_null(b.column(b.schema.get_field_index(text_col)).cast(pa.string()), "")
-            for i, j in slices(texts):
+            for i, j in slices(texts, SLICE_BYTES):
                 d, f = features(texts.slice(i, j - i), w)
                 logit = bias + np.bincount(d, weights=w[f], minlength=j - i)
                 stays = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) < threshold
