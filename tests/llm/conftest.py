@@ -1,8 +1,7 @@
 import pytest
+from llm_helpers import SF
 from pyspark.sql import functions as F
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def documents(spark):
@@ -18,6 +17,3 @@ def frame(spark):
                                "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
     return make
 
-
-def by_id(df):
-    return {r.doc_id: r for r in df.collect()}

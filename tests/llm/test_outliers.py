@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import by_id
+from llm_helpers import by_id
 from tidewater.llm.outliers import base_counts, chi_square_share, consistency, distance, quality_rules, robust_estimates
 
 words = st.lists(st.sampled_from(["a", "b", "b", "é#", "|", "x&y", " ", "  ", "\n", "\n", "\t", "\x0b", "a b a b a b a b a b a b"]), max_size=60).map(" ".join)

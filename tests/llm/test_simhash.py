@@ -7,7 +7,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import by_id
+from llm_helpers import by_id
 from tidewater.llm.simhash import anchors, clusters, drop_near_copies, fingerprint_links, near_duplicates, star_components
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from conftest import SF, by_id
+from llm_helpers import SF, by_id
 from tidewater.llm import toxicity
 from tidewater.llm.common import crc_class
 from tidewater.llm.queries import op3_toxicity
