@@ -29,6 +29,8 @@ from tidewater.llm.common import slices, text_of, written
 
 #: Fingerprints of one anchor compared in one task; more are cut into slices.
 HOT_ROWS = 20_000
+#: Text bytes fingerprinted at once (a shingle takes 64 bytes meanwhile).
+SLICE_BYTES = 2 << 20
 #: Differing bits that two pieces of tolerance two are sure to cover.
 MOST_BITS = 5
 
@@ -66,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     """doc_id, fp (the fingerprint's 64 bits as a long) for every row."""
     def run(batches):
         for b in batches:
-            for i, j in slices(b.column(1)):
+            for i, j in slices(b.column(1), SLICE_BYTES):
                 fp = fingerprint_bits(b.column(1).slice(i, j - i).to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp.view(np.int64))],
                                                  names=["doc_id", "fp"])
