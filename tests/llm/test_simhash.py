@@ -95,6 +95,21 @@ def test_hot_anchors_in_slices(spark):
     assert components(fps, links_of(spark, fps, 4, hot_rows=40)) == components(fps, near(fps, 4))
 
 
+def test_one_anchor_over_several_batches(spark):
+    rng = random.Random(7)
+    low = rng.getrandbits(32)
+    # All share the anchors of their lower piece, and some are close in the other.
+    fps = sorted({(h ^ 1 << rng.randrange(32)) << 32 | low for h in [rng.getrandbits(32) for _ in range(80)] for _ in range(3)})
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, 16)
+    try:
+        for hot_rows in (40, 20_000):
+            assert components(fps, links_of(spark, fps, 4, hot_rows=hot_rows)) == components(fps, near(fps, 4))
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_star_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(300)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(350)]

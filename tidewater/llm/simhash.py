@@ -172,16 +172,15 @@ def fingerprint_links(distinct: DataFrame, most: int, hot_rows: int = HOT_ROWS)
                     continue
                 hot = None
             k, f = np.concatenate([keys, k]), np.concatenate([*held, f])
-            cut = np.searchsorted(k, k[-1])
-            groups_first = np.flatnonzero(np.r_[True, k[1:cut] != k[:cut - 1]][:cut])
-            big = np.diff(np.r_[groups_first, cut]) > hot_rows
-            if big.any():
-                put_off = [(k[x], f[k == k[x]]) for x in groups_first[big]]
-                yield link_batch([], put_off)
+            cut = np.searchsorted(k, k[-1])  # 0: all of one anchor
+            if cut:
+                groups_first = np.flatnonzero(np.r_[True, k[1:cut] != k[:cut - 1]])
+                big = np.diff(np.r_[groups_first, cut]) > hot_rows
+                put_off = [(k[x], f[:cut][k[:cut] == k[x]]) for x in groups_first[big]]
+                if put_off:
+                    yield link_batch([], put_off)
                 stays = ~np.isin(k[:cut], k[groups_first[big]])
                 yield link_batch(done(k[:cut][stays], f[:cut][stays]))
-            elif cut:
-                yield link_batch(done(k[:cut], f[:cut]))
             keys, held = k[cut:], [f[cut:]]
             if len(keys) > hot_rows:
                 hot = keys[0]
