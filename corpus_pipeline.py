@@ -41,8 +41,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say, so that expected tokens of
-    clean and junk text match the weights; clean documents all stay. The
-    classifier is trained on all labelled documents of ``sf_dir``."""
+    clean and junk text match the weights; documents that are likeliest clean
+    all stay. The classifier is trained on all labelled documents of ``sf_dir``."""
     mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), F.expr(DOMAIN), WEIGHTS,
                        train_docs=table(spark, sf_dir, "documents"), whole="clean", headroom=HEADROOM)
     return mixing.resample(docs, mixed)

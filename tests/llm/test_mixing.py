@@ -42,6 +42,19 @@ def test_whole_domain_is_not_thinned(spark):
     assert rate[99] > 10
 
 
+def test_no_likely_document_of_the_whole_domain_is_thinned(spark, caplog):
+    rng = np.random.default_rng(5)
+    clean = np.r_[rng.beta(40, 1, 900), rng.uniform(0.5, 0.7, 40), rng.beta(1, 20, 160)]
+    rows = rows_of(spark, np.stack([clean, 1 - clean], axis=1), rng.integers(50, 500, 1100))
+    with caplog.at_level("INFO", "tidewater.llm.mixing"):
+        moves, info = mixing.fit_rates(rows, [0.95, 0.05], whole=0, headroom=1.1)
+        got = mixing.with_rates(rows, moves, 0).toPandas()
+        assert got[got.p.str[0] >= 0.5].rate.min() >= 1 and got.rate.min() < 1
+        assert np.allclose(info["reached"], info["target"], atol=2e-4 * sum(info["target"])) and "reached" in caplog.messages[0]
+        mixing.fit_rates(rows, [0.95, 0.05], whole=0, headroom=1.1, steps=1)
+        assert "missed" in caplog.messages[1] and caplog.records[1].levelname == "WARNING"
+
+
 def test_impossible_and_empty(spark):
     rows = rows_of(spark, [[1.0, 0.0]] * 10, [5] * 10)
     moves, info = mixing.fit_rates(rows, [0.5, 0.5])

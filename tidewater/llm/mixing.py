@@ -11,6 +11,8 @@ posteriors that brings back two numbers per domain; no rates are stored.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import coded_words, distinct, hash_fraction, hashed, repetition, shapes_of, slices, text_of, written
 from tidewater.llm.toxicity import HASH_BITS, SLICE_BYTES, bucket, train, word_features
 
+LOG = logging.getLogger(__name__)
 #: Labelled documents of each domain that training uses at most, on average.
 DOMAIN_ROWS = 2_000
 #: Largest relative difference from a target at which the fit ends, and the
@@ -115,12 +118,14 @@ def posteriors(docs: DataFrame, models: list[dict], id_col: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def replay(p: np.ndarray, moves: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+def replay(p: np.ndarray, moves: list[list[float]], whole: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rates of documents with posteriors ``p`` after the given steps from rate
-    1, and the extrapolated rates at which the next step's slope is taken."""
+    1, and the extrapolated rates at which the next step's slope is taken. The
+    rate is 1 at least where ``whole`` is the likeliest domain."""
     rate = ahead = np.ones(len(p))
+    least = 0.0 if whole is None else (p[:, whole] >= p.max(axis=1, initial=0.0)).astype(float)
     for k, move in enumerate(moves):
-        before, rate = rate, np.maximum(0.0, ahead - p @ np.array(move))
+        before, rate = rate, np.maximum(least, ahead - p @ np.array(move))
         ahead = rate + (k + 1) / (k + 4) * (rate - before)
     return rate, ahead
 
@@ -129,14 +134,14 @@ def posterior_matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def expected_tokens(rows: DataFrame, moves: list[list[float]], domains: int) -> np.ndarray:
+def expected_tokens(rows: DataFrame, moves: list[list[float]], domains: int, whole: int | None = None) -> np.ndarray:
     """Expected tokens of each domain at the rates and at the extrapolated
     rates: each task adds up its own rows."""
     def sums(batches):
         for b in batches:
             if b.num_rows:
                 p, n = posterior_matrix(b.column(1)), b.column(0).to_numpy()
-                both = np.concatenate([(n * r) @ p for r in replay(p, moves)])
+                both = np.concatenate([(n * r) @ p for r in replay(p, moves, whole)])
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in both], names=[f"s{i}" for i in range(2 * domains)])
 
     parts = rows.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"s{i} double" for i in range(2 * domains)))
@@ -149,7 +154,9 @@ def fit_rates(rows: DataFrame, weights: list[float], whole: int | None = None, h
     accelerated projected gradient: (the steps taken, what was reached).
 
     The targets add up to the present number of tokens, or to as many more as
-    let the domain numbered ``whole`` keep ``headroom`` times its tokens.
+    let the domain numbered ``whole`` keep ``headroom`` times its tokens; no
+    document whose likeliest domain it is gets a rate below 1, and the others
+    are fitted around them. Targets that are not reached are logged.
     """
     k = len(weights)
     share = np.array(weights, float) / sum(weights)
@@ -168,15 +175,18 @@ def fit_rates(rows: DataFrame, weights: list[float], whole: int | None = None, h
     ahead = have
     while len(moves) < steps and total > 0 and np.abs(have - target).max() > tolerance * total:
         moves.append(((ahead - target) * scale / curvature).tolist())
-        have, ahead = expected_tokens(rows, moves, k)
+        have, ahead = expected_tokens(rows, moves, k, whole)
+    missed = np.abs(have - target).max() > tolerance * total
+    LOG.log(logging.WARNING if missed else logging.INFO, "targets %s after %d steps: expected tokens %s of %s",
+            "missed" if missed else "reached", len(moves), have.round(1).tolist(), target.round(1).tolist())
     return moves, {"steps": len(moves), "target": target.tolist(), "reached": have.tolist()}
 
 
-def with_rates(rows: DataFrame, moves: list[list[float]]) -> DataFrame:
+def with_rates(rows: DataFrame, moves: list[list[float]], whole: int | None = None) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                rate, _ = replay(posterior_matrix(b.column(2)), moves)
+                rate, _ = replay(posterior_matrix(b.column(2)), moves, whole)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rate)], names=["doc_id", "n_tokens", "p", "rate"])
 
     return rows.select("doc_id", "n_tokens", "p").mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")
@@ -200,8 +210,9 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
     names = list(weights)
     models = fit_domains(docs if train_docs is None else train_docs, labels, domain, names, id_col, text_col)
     rows = written(posteriors(docs, models, id_col, text_col), "posteriors")
-    moves, _ = fit_rates(rows, [weights[d] for d in names], names.index(whole) if whole else None, headroom)
-    return with_rates(rows, moves).select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(names)],
+    kept = names.index(whole) if whole else None
+    moves, _ = fit_rates(rows, [weights[d] for d in names], kept, headroom)
+    return with_rates(rows, moves, kept).select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(names)],
                         "rate", drawn_copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
