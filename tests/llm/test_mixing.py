@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewater.llm import mixing
+from tidewater.llm import mixing, toxicity
 from tidewater.llm.queries import DOMAIN, MIX
 
 WEIGHTS = {"clean": 0.9, "junk": 0.1}
@@ -92,3 +92,7 @@ def test_edge_rows(spark, frame):
     assert mixing.resample(docs.limit(0), mixed).count() == 0
     same = mixing.mix(docs, labels.limit(0), F.lit("x"), WEIGHTS).collect()
     assert len({r.p_clean for r in same}) == 1
+
+
+def test_samples_are_not_cut():
+    assert mixing.DOMAIN_ROWS == 3_000 and toxicity.CLASS_ROWS == 6_000

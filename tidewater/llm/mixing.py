@@ -24,7 +24,7 @@ from tidewater.llm.toxicity import HASH_BITS, SLICE_BYTES, bucket, train, word_f
 
 LOG = logging.getLogger(__name__)
 #: Labelled documents of each domain that training uses at most, on average.
-DOMAIN_ROWS = 2_000
+DOMAIN_ROWS = 3_000
 #: Largest relative difference from a target at which the fit ends, and the
 #: most steps it takes.
 TOLERANCE, STEPS = 1e-4, 40

@@ -21,7 +21,7 @@ from tidewater.llm.common import coded_words, distinct, hash_fraction, hashed, s
 #: Feature space: 2 to this power.
 HASH_BITS = 20
 #: Labelled documents of each class that training uses at most, on average.
-CLASS_ROWS = 4_000
+CLASS_ROWS = 6_000
 #: Text bytes whose features are made at once.
 SLICE_BYTES = 3 << 19
 ALPHA, BETA, L1, L2 = 0.4, 1.0, 5.0, 1.0
