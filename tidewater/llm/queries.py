@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import exact, html, langid, mixing, outliers, packing, quality, simhash, tokens, toxicity
+from tidewater.llm import audit, exact, html, langid, mixing, outliers, packing, quality, simhash, tokens, toxicity
 from tidewater.llm.common import crc_class, table
 
 QUERIES = {}
@@ -95,3 +95,53 @@ SELECT doc_id,
        sha256(body) AS text_sha256
 FROM t
 """
+
+
+#: Filters of the interaction audit; E fails texts that a smaller id has.
+AUDIT = {
+    "A": "n_words < 200",
+    "B": "100L * n_distinct < 50L * n_words",
+    "C": "100L * n_capitals > 3L * n_chars",
+    "D": "n_signs > 0",
+    "E": None,
+}
+
+
+@query
+def op11_failing_id_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), AUDIT, part_col="lang")
+
+
+ORACLE["op11_failing_id_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (SELECT part,
+             CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN w.doc_id > first_id THEN 16 ELSE 0 END AS m,
+             coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, m, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM f GROUP BY part, m),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(name, bit)),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+      FROM x a, x b, x c, x d, x e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+      AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (SELECT filter_order, k AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS before
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+r AS (SELECT part, filter_order, step, bit,
+             sum(CASE WHEN m & before = 0 AND m & bit = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN m & before <> 0 AND m & bit <> 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN g ELSE 0 END) AS good_lost,
+             sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN x ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
