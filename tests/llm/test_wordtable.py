@@ -1,0 +1,110 @@
+"""Encoding by distinct words against the tokenizers library on whole texts."""
+
+import hashlib
+from functools import cache
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_helpers import SF, by_id
+from pyspark.sql import functions as F
+
+from tidewater.llm import wordtable
+from tidewater.llm.queries import QUERIES
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SPECIALS = ["<|endoftext|>"]
+ODD = ["\x1c", "\u0085", " ", "　", "Ᲊ", " ", "<|endoftext|>", "<|", "'s", "'", "  ", "\n\n", "\t", " ", "\r\n",
+       "é", "ñ", "ß", "中", "😀", "क्", "1", "٣", "!", ",", ".", "a", "the", "word", "\x00", "\x0b"]
+
+
+@cache
+def lib():
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(PATH)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def ids_of(text):
+    return lib().encode(text, add_special_tokens=False).ids
+
+
+@cache
+def pieces():
+    return pa.concat_arrays([wordtable.pieces_of(PATH), pa.array([b""], pa.large_binary())])
+
+
+SPLITTER = wordtable.Splitter(public_tokenizers.PATTERN, SPECIALS)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(ODD) | st.text(max_size=4), max_size=12).map("".join))
+def test_words_in_turn_are_the_text(text):
+    words = SPLITTER.words(text)
+    assert "".join(words) == text
+    assert [i for w in words for i in ids_of(w)] == ids_of(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(-1, 50_300), max_size=8), max_size=5))
+def test_pieces_join_as_the_library_decodes(lists):
+    got = wordtable.joined_pieces(pa.array(lists, pa.list_(pa.int32())), pieces()).to_pylist()
+    assert got == [lib().decode([i for i in x if i >= 0], skip_special_tokens=False) for x in lists]
+
+
+@given(st.lists(st.integers(0, 2**31 - 1), max_size=50))
+def test_packed_numbers(numbers):
+    x = np.array(numbers, np.uint32)
+    assert wordtable.unpacked(wordtable.packed(x), len(x)).tolist() == numbers
+
+
+TEXTS = [
+    (1, "Hello world, hello  world\n"), (2, None), (3, ""), (4, "  "), (5, "a" * 5000), (6, "tie tie tie"), (6, "tie tie tie"),
+    (6, "another text of one id"), (None, "no id"), (None, None), (7, "a<|endoftext|> b 中文 'sx !'s Ᲊ"), (8, "word " * 20_000),
+    (9, "  x   y\x1c\x1c z"),
+]
+
+
+@pytest.mark.parametrize("frequent,block_bytes", [(0, 1), (3, 50), (1000, 1 << 20)])
+def test_equals_the_library(spark, frame, frequent, block_bytes):
+    docs = frame(TEXTS).withColumns({c: F.lit(1) for c in ("ids", "word", "words", "block", "pos", "numbers", "n_words", "doc_ids")})
+    rows = wordtable.encode(docs, PATH, public_tokenizers.PATTERN, frequent=frequent, block_bytes=block_bytes)
+    got = sorted((r.doc_id or -1, list(r.ids), r.text) for r in wordtable.decode(rows, PATH).collect())
+    assert got == sorted((i or -1, ids_of(t or ""), t or "") for i, t in TEXTS)
+
+
+def test_empty_table(spark, frame):
+    rows = wordtable.encode(frame([]), PATH, public_tokenizers.PATTERN)
+    assert wordtable.decode(rows, PATH).count() == 0
+
+
+def test_decode_keeps_columns(spark):
+    rows = spark.createDataFrame([(1, [64, 65], "old"), (2, None, "old"), (3, [], None), (4, [None, 99_999, 64], "x")], "k int, ids array<int>, text string")
+    assert {r.k: r.text for r in wordtable.decode(rows, PATH).collect()} == {1: "ab", 2: "", 3: "", 4: "a"}
+
+
+def test_blocks_are_not_shuffled(spark, documents):
+    """Only the dictionaries move: no exchange between the blocks' scan and the
+    step that places the ids."""
+    rows = wordtable.encode(documents, PATH, public_tokenizers.PATTERN)
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    rows.collect()
+    final = rows._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan
+    assert "Bucketed: true" in final
+
+
+def test_documents_table(spark, documents):
+    got = by_id(QUERIES["op12_distinct_word_bpe"](spark, SF))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = documents.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids = ids_of(r.text or "")
+        text = lib().decode(ids, skip_special_tokens=False)
+        assert got[r.doc_id][1:] == (len(ids), sha(",".join(map(str, ids))), sha(text))

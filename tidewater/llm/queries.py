@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import audit, exact, html, langid, mixing, outliers, packing, quality, simhash, tokens, toxicity
+from tidewater.llm import audit, exact, html, langid, mixing, outliers, packing, quality, simhash, spelling, tokens, toxicity, wordtable
 from tidewater.llm.common import crc_class, table
 
 QUERIES = {}
@@ -145,3 +145,18 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
        (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM r
 """
+
+
+@query
+def op12_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = wordtable.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return wordtable.decode(encoded, vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_trie_pair_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), least_length=5, least_count=3, factor=2, slip_every=97)
