@@ -36,7 +36,7 @@ def ids_of(text):
 
 @cache
 def pieces():
-    return pa.concat_arrays([wordtable.pieces_of(PATH), pa.array([b""], pa.large_binary())])
+    return wordtable.padded_pieces(PATH)
 
 
 SPLITTER = wordtable.Splitter(public_tokenizers.PATTERN, SPECIALS)
@@ -74,8 +74,10 @@ TEXTS = [
 def test_equals_the_library(spark, frame, frequent, block_bytes):
     docs = frame(TEXTS).withColumns({c: F.lit(1) for c in ("ids", "word", "words", "block", "pos", "numbers", "n_words", "doc_ids")})
     rows = wordtable.encode(docs, PATH, public_tokenizers.PATTERN, frequent=frequent, block_bytes=block_bytes)
-    got = sorted((r.doc_id or -1, list(r.ids), r.text) for r in wordtable.decode(rows, PATH).collect())
-    assert got == sorted((i or -1, ids_of(t or ""), t or "") for i, t in TEXTS)
+    want = sorted((i or -1, ids_of(t or ""), t or "") for i, t in TEXTS)
+    assert sorted((r.doc_id or -1, list(r.ids), r.text) for r in wordtable.decode(rows, PATH).collect()) == want
+    both = wordtable.encode(docs, PATH, public_tokenizers.PATTERN, frequent=frequent, block_bytes=block_bytes, decoded="back")
+    assert sorted((r.doc_id or -1, list(r.ids), r.back) for r in both.collect()) == want
 
 
 def test_empty_table(spark, frame):

@@ -150,9 +150,9 @@ FROM r
 @query
 def op12_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = wordtable.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    encoded = wordtable.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, decoded="text")
     decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return wordtable.decode(encoded, vocabulary).select(
+    return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -2,12 +2,13 @@
 
 Encoding. Tasks split whole texts into words and write one row per block of
 text: the number of every word in order (compressed), and the block's own
-distinct words. The distinct words of all blocks form one table, each of whose
-words is encoded once by the library; joined back by word they are the block's
-dictionary, and the numbers of its words place the ids at their positions.
-Words of a frequent-word table (bounded, made from a sample of documents,
-encoded once as well) have fixed numbers and take no part in the shuffles.
-Blocks are written bucketed, so only dictionaries travel to them.
+distinct words. The distinct words of all blocks form one table, sorted by
+word, in which each word is encoded once by the library for all its places;
+brought back to their blocks the ids are the block's dictionary, and the
+numbers of its words put them at their positions. Words of a frequent-word
+table (bounded, made from a sample of documents, encoded once as well) have
+fixed numbers and take no part in the shuffles. Blocks are written bucketed,
+so only dictionaries travel to them.
 
 Decoding. The id-to-piece table has one row per vocabulary entry, a proven
 bound; tasks join ids with it and concatenate the pieces' bytes.
@@ -28,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tidewater.llm.common import hash_fraction, ragged, slices, text_of, written
+from tidewater.llm.common import hash_fraction, ragged, slices, text_of
 from tidewater.llm.tokens import byte_alphabet
 from tidewater.session import shared_dir
 
 #: Bytes of text of a block (a single longer text is a block of its own), and
 #: bytes split at once.
 BLOCK_BYTES, SPLIT_BYTES = 32 << 20, 2 << 20
+#: Words whose ids are put in place at once.
+PLACE_WORDS = 1 << 19
 #: Frequent words, their longest in bytes, and the documents they are counted in.
-FREQUENT, FREQUENT_BYTES, SAMPLE_DOCS = 100_000, 48, 10_000
+FREQUENT, FREQUENT_BYTES, SAMPLE_DOCS = 200_000, 48, 20_000
 #: Ids decoded at once.
 DECODE_IDS = 1 << 21
 
@@ -152,14 +155,25 @@ def library(spec: str):
     return lambda words: [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
 
 
-def encoded_words(words: DataFrame, spec: str) -> DataFrame:
-    """word, ids of every row of a table of distinct words."""
+def encoded_places(words: DataFrame, spec: str) -> DataFrame:
+    """block, pos, ids (little-endian 32-bit numbers) of every place of a
+    word. All places of a word come one after another, whatever their number,
+    and the word is encoded at the first of them."""
     def run(batches):
         encode = library(spec)
+        last, last_ids = None, b""
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode(b.column(0).to_pylist()), pa.list_(pa.int32()))], names=["word", "ids"])
+            runs = pc.run_end_encode(b.column(2))
+            distinct = runs.values.to_pylist()
+            new = distinct[1:] if distinct[:1] == [last] else distinct
+            ids = [last_ids] * (len(distinct) - len(new)) + [np.array(x, "<i4").tobytes() for x in encode(new)]
+            at = np.diff(runs.run_ends.to_numpy(), prepend=0)
+            last, last_ids = (distinct[-1], ids[-1]) if distinct else (last, last_ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), at)))],
+                                             names=["of_block", "pos", "ids"])
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+    return (words.repartition("word").sortWithinPartitions("word").select("of_block", "pos", "word")
+            .mapInArrow(run, "of_block long, pos int, ids binary"))
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> str:
@@ -174,7 +188,8 @@ def bucketed(df: DataFrame, name: str, key: str) -> str:
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           block_bytes: int = BLOCK_BYTES, frequent: int = FREQUENT, sample: int = SAMPLE_DOCS) -> DataFrame:
+           block_bytes: int = BLOCK_BYTES, frequent: int = FREQUENT, sample: int = SAMPLE_DOCS,
+           decoded: str | None = None) -> DataFrame:
     """doc_id, ids (array of int) of every row of ``docs``, as the tokenizers
     library encodes the whole text without added special tokens, truncation or
     padding; special strings inside texts become their ids.
@@ -184,6 +199,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     Repeated rows are encoded each, null ids pass through, other columns are
     not read, an empty table gives an empty result. Long texts are whole words
     and blocks like others. ``frequent`` may be 0; results never depend on it.
+    ``decoded`` names a further column with the text that the ids decode to
+    (see ``decode``), made where the ids are, without another step.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
@@ -197,24 +214,31 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     blocks = bucketed(blocks_of(rows, splitter, common, block_bytes), "word_blocks", "block")
     spark = docs.sparkSession
     words = spark.table(blocks).select(F.col("block").alias("of_block"), F.posexplode("words").alias("pos", "word"))
-    table = written(encoded_words(words.select("word").distinct(), spec), "word-ids")
-    dictionary = words.join(table, "word").select("of_block", "pos", "ids")
+    pieces = padded_pieces(vocabulary) if decoded else None
+    names = ["doc_id", "ids", *([decoded] if decoded else [])]
 
     def place(block: pa.Table, own: pa.Table) -> pa.Table:
-        block, own = block.combine_chunks(), own.sort_by("pos").combine_chunks()
-        lists = own.column("ids").combine_chunks()
-        n = np.r_[fixed_n, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)]
-        ids = np.r_[fixed_ids, lists.flatten().to_numpy()].astype(np.int32)
+        own = own.sort_by("pos").column("ids").combine_chunks()
+        n = np.r_[fixed_n, pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64) // 4]
+        ids = np.r_[fixed_ids, np.frombuffer(b"".join(own.to_pylist()), "<i4")].astype(np.int32)
         begin = np.cumsum(n) - n
         n_words = block.column("n_words").combine_chunks().flatten().to_numpy().astype(np.int64)
-        number = unpacked(block.column("numbers")[0].as_py(), n_words.sum()).astype(np.int64)
-        total = np.r_[0, np.cumsum(n[number])]
-        ends = total[np.r_[0, np.cumsum(n_words)]]
-        out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[ragged(begin[number], n[number])]))
-        return pa.Table.from_arrays([block.column("doc_ids").combine_chunks().flatten(), out], names=["doc_id", "ids"])
+        number = unpacked(block.column("numbers")[0].as_py(), n_words.sum())
+        ends, parts = np.r_[0, np.cumsum(n_words)], []
+        part = (ends[1:] - n_words) // PLACE_WORDS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n_words)]
+        doc_ids = block.column("doc_ids").combine_chunks().flatten()
+        for i, j in zip(cuts, cuts[1:]):
+            some = number[ends[i]:ends[j]]
+            size = n[some]
+            total = np.r_[0, np.cumsum(size)][ends[i:j + 1] - ends[i]]
+            lists = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids[ragged(begin[some], size)]))
+            parts.append(pa.Table.from_arrays([doc_ids.slice(i, j - i), lists, *([joined_pieces(lists, pieces)] if decoded else [])], names=names))
+        return pa.concat_tables(parts)
 
     return (spark.table(blocks).select("block", "doc_ids", "n_words", "numbers").groupBy("block")
-            .cogroup(dictionary.groupBy("of_block")).applyInArrow(place, "doc_id long, ids array<int>"))
+            .cogroup(encoded_places(words, spec).groupBy("of_block"))
+            .applyInArrow(place, "doc_id long, ids array<int>" + (f", `{decoded}` string" if decoded else "")))
 
 
 def pieces_of(vocabulary: str) -> pa.Array:
@@ -229,6 +253,11 @@ def pieces_of(vocabulary: str) -> pa.Array:
     return pa.array(pieces, pa.large_binary())
 
 
+def padded_pieces(vocabulary: str) -> pa.Array:
+    """``pieces_of`` and, last, no bytes: the piece of ids that don't exist."""
+    return pa.concat_arrays([pieces_of(vocabulary), pa.array([b""], pa.large_binary())])
+
+
 def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
     """The text of each list of ids; bytes that are no UTF-8 become U+FFFD."""
     n = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -249,7 +278,7 @@ def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str
     ``text_col``, replacing a column of that name. Null or empty lists give an
     empty text; ids that the vocabulary does not have, and null ids, give
     nothing. Other columns stay."""
-    pieces = pa.concat_arrays([pieces_of(vocabulary), pa.array([b""], pa.large_binary())])
+    pieces = padded_pieces(vocabulary)
     kept = rows.drop(text_col)
     names = [*kept.columns, text_col]
     at = names.index(ids_col)
