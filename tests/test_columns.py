@@ -109,3 +109,29 @@ def test_iso_with_offset(spark):
                                "ts timestamp")
     r = df.select(iso_ts("ts", with_offset=True).alias("i")).collect()[0]
     assert r.i == "2024-01-05T09:07:03+00:00"
+
+
+def test_every_quantity_unit_is_read(spark):
+    from tidewater.functions.strings import parse_cpu_millis, parse_mem_mib
+    from tidewater.operators import rollup_totals
+    rows = [("5n", "1Pi"), ("7u", "1Ei"), ("3m", "1T"), ("2", "1P"), ("1x", "1E"), (None, "1Q")]
+    df = spark.createDataFrame(rows, "cpu string, mem string").withColumn("k", F.lit("a"))
+    got = [(r.c and round(r.c, 9), r.m) for r in df.select(parse_cpu_millis("cpu").alias("c"), parse_mem_mib("mem").alias("m")).collect()]
+    mib = 2.0 ** 20
+    assert got == [(5e-6, 2.0 ** 30), (7e-3, 2.0 ** 40), (3.0, 1e12 / mib), (2000.0, 1e15 / mib), (None, 1e18 / mib), (None, None)]
+    totals = rollup_totals(df, ["k"], {"c": parse_cpu_millis("cpu"), "m": parse_mem_mib("mem")},
+                           unread={"c_unread": ("c", "cpu"), "m_unread": ("m", "mem")})
+    assert {(r.gid, r.c_unread, r.m_unread) for r in totals.collect()} == {(0, 1, 1), (1, 1, 1)}
+
+
+def test_hints_stay_in_statements():
+    from tidewater.plans.sql import split_statements
+    assert split_statements("select /*+ BROADCAST(a) */ 1 /* no */ -- no\n; x") == ["select /*+ BROADCAST(a) */ 1", "x"]
+
+
+def test_rank_by_the_key_itself(spark):
+    from tidewater.operators import rank_within_key
+    df = spark.range(6).selectExpr("id % 2 as k", "id")
+    assert {(r["rank"], r.d) for r in rank_within_key(df, "k", ["k"], dense_col="d").collect()} == {(1, 1)}
+    got = {r.id: r["rank"] for r in rank_within_key(df, "k", ["k", "id"], [True, False]).collect()}
+    assert got == {0: 3, 1: 3, 2: 2, 3: 2, 4: 1, 5: 1}

@@ -124,3 +124,62 @@ def test_frames_on_hot_key_match_window(spark, skewed):
     g = {r.event_id: (r.prev, r.next2, r.s3, r.upto) for r in got.collect()}
     e = {r.event_id: (r.prev, r.next2, r.s3, r.upto) for r in want.collect()}
     assert g == e
+
+
+def test_merge_spreads_rows_without_a_key(spark):
+    """Half of the rows without a key: no task gets more than twice the
+    median, and both inputs are scanned once."""
+    from tidewater.operators import insert_if_absent, upsert_by_key
+    from tidewater.session import shared_dir
+    path = shared_dir(spark, "test-keyless")
+    spark.range(200_000).selectExpr("if(id % 2 = 0, null, id) as key", "id % 1000 as v").repartition(8).write.parquet(f"{path}/t")
+    spark.range(1000).selectExpr("if(id % 2 = 0, null, id * 3) as key", "-id as v").write.parquet(f"{path}/n")
+    target, new = (spark.read.parquet(f"{path}/{x}") for x in "tn")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    for k, v in zip(before, ("-1", "16", "false")):
+        spark.conf.set(k, v)
+    try:
+        for merge in (upsert_by_key, insert_if_absent):
+            merged = merge(target, new, "key")
+            sizes = sorted(r["count"] for r in merged.groupBy(F.spark_partition_id().alias("p")).count().collect())
+            assert sum(sizes) == 200_000 + 500 + sum(1 for i in range(1, 1000, 2) if i * 3 % 2 == 0 or i * 3 >= 200_000)
+            assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+            plan = merged._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan parquet") == 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_range_join_of_long_and_short_spans(spark):
+    """Spans of a minute and of 8,000 years: each is copied twice at most."""
+    import datetime as dt
+    t0 = dt.datetime(2024, 5, 1)
+    spans = [(i, t0 + dt.timedelta(minutes=7 * i), t0 + dt.timedelta(minutes=7 * i + 1 + i * i)) for i in range(60)]
+    spans += [(100, dt.datetime(2020, 1, 1), dt.datetime(9999, 12, 31)), (101, dt.datetime(1583, 1, 1), t0 + dt.timedelta(minutes=5)),
+              (102, None, t0), (103, t0, t0), (104, t0 + dt.timedelta(days=1), t0)]
+    points = [(i, t0 + dt.timedelta(seconds=97 * i)) for i in range(300)] + [(999, None)]
+    from tidewater.operators import range_join
+    for kind in ("timestamp_ntz", "timestamp"):
+        ps = spark.createDataFrame(points, f"p int, t {kind}")
+        ss = spark.createDataFrame(spans, f"s int, a {kind}, b {kind}").withColumn("_width", F.lit(1)).withColumn("_bucket", F.lit(2))
+        joined = range_join(ps, ss, "t", "a", "b", 600)
+        want = sorted((p, s) for p, t in points for s, a, b in spans if None not in (t, a, b) and a <= t < b)
+        assert sorted((r.p, r.s) for r in joined.collect()) == want
+        assert joined.columns == ["p", "t", "s", "a", "b", "_width", "_bucket"]
+
+
+def test_local_times_without_a_zone_keep_their_order(spark):
+    """In a zone with a spring gap the hour that does not exist is an hour
+    like any other for times without a zone."""
+    import datetime as dt
+    from tidewater.operators import range_join
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        t = dt.datetime(2024, 3, 31, 2, 30)
+        ps = spark.createDataFrame([(1, t)], "p int, t timestamp_ntz")
+        ss = spark.createDataFrame([(1, t - dt.timedelta(minutes=40), t + dt.timedelta(minutes=40))], "s int, a timestamp_ntz, b timestamp_ntz")
+        assert range_join(ps, ss, "t", "a", "b", 600).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -78,12 +78,14 @@ def _number_and_factor(c, factors: dict) -> Column:
 
 
 # CPU unit -> millicores per unit.
-CPU_FACTORS = {"m": 1.0, "": 1000.0}
+CPU_FACTORS = {"n": 1e-6, "u": 1e-3, "m": 1.0, "": 1000.0}
 
-# Memory unit -> MiB per unit (binary Ki/Mi/Gi/Ti, decimal k/M/G, bytes).
+# Memory unit -> MiB per unit (binary Ki to Ei, decimal k to E, bytes).
 MEM_FACTORS = {
     "Ki": 1.0 / 1024, "Mi": 1.0, "Gi": 1024.0, "Ti": 1024.0 * 1024.0,
+    "Pi": 1024.0 ** 3, "Ei": 1024.0 ** 4,
     "k": 1e3 / (1024.0 * 1024.0), "M": 1e6 / (1024.0 * 1024.0), "G": 1e9 / (1024.0 * 1024.0),
+    "T": 1e12 / (1024.0 * 1024.0), "P": 1e15 / (1024.0 * 1024.0), "E": 1e18 / (1024.0 * 1024.0),
     "": 1.0 / (1024.0 * 1024.0),
 }
 

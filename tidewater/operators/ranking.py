@@ -120,6 +120,11 @@ def rank_within_key(df: DataFrame, key: str, order: Sequence[str],
     joined back to the rows on (key, order value); a tie group that holds a
     large share of the rows is the streamed side of that join, which adaptive
     execution splits."""
+    # Within a key all rows have the same key: it orders nothing.
+    picked = [(c, a) for c, a in zip(order, ascending or [True] * len(order)) if c != key]
+    order, ascending = [c for c, _ in picked], [a for _, a in picked]
+    if not order:
+        return df.withColumns({c: F.lit(1).cast("bigint") for c in (rank_col, dense_col) if c})
     tie = [key, *order]
     groups = df.groupBy(*tie).agg(F.count(F.lit(1)).alias("_c"))
     numbered = row_number_within_key(groups, key, list(order), ascending, out="_g",

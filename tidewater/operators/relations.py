@@ -14,9 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType, TimestampNTZType
 
 from tidewater.functions.strings import valid_key
+from tidewater.operators.names import unused_name, unused_names
 
 
 def _valid(df: DataFrame, key: str) -> Column:
@@ -66,11 +67,12 @@ def tail_n_per_key(df: DataFrame, key, order, n: int, rank_col: str = "recency",
     partial WindowGroupLimit before the shuffle; the final task of a key reads
     at most ``n * salts`` rows however many map tasks there were."""
     newest = [c.desc() for c in _cols(order)]
-    parted = df.withColumn("_part", F.pmod(F.xxhash64(*_cols(order)), F.lit(salts)))
-    first = Window.partitionBy(*_cols(key), "_part").orderBy(*newest)
+    part, level = unused_names("_part _level", df)
+    parted = df.withColumn(part, F.pmod(F.xxhash64(*_cols(order)), F.lit(salts)))
+    first = Window.partitionBy(*_cols(key), part).orderBy(*newest)
     last = Window.partitionBy(*_cols(key)).orderBy(*newest)
-    return (parted.withColumn("_level", F.row_number().over(first)).filter(F.col("_level") <= n)
-            .drop("_part", "_level")
+    return (parted.withColumn(level, F.row_number().over(first)).filter(F.col(level) <= n)
+            .drop(part, level)
             .withColumn(rank_col, F.row_number().over(last)).filter(F.col(rank_col) <= n))
 
 
@@ -92,13 +94,14 @@ def latest_by_key(df: DataFrame, key, order: Sequence[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys and c not in order]
     maps = {c for c in order + rest if _has_map(df.schema[c].dataType)}
     row = F.struct(*[F.col(c) for c in order + rest]) if order + rest else F.struct(*[F.col(c) for c in keys])
+    whole = unused_name("_best", df)
     if maps:
         by = F.struct(*[F.to_json(F.struct(c)).alias(c) if c in maps else F.col(c) for c in order + rest])
-        best = F.max_by(row, by).alias("_best")
+        best = F.max_by(row, by).alias(whole)
     else:
-        best = F.max(row).alias("_best")
+        best = F.max(row).alias(whole)
     return (df.groupBy(*keys).agg(best)
-            .select(*keys, *[F.col("_best")[c].alias(c) for c in order + rest])
+            .select(*keys, *[F.col(whole)[c].alias(c) for c in order + rest])
             .select(*df.columns))
 
 
@@ -122,19 +125,29 @@ def _one_per_key(df: DataFrame, key: str, order: Sequence[str] | None) -> DataFr
     whole row) per key. Rows without a usable key all stay."""
     lone = F.when(~F.coalesce(_valid(df, key), F.lit(False)), F.monotonically_increasing_id())
     by = list(order) if order else [c for c in df.columns if c != key]
-    return latest_by_key(df.withColumn("_lone", lone), [key, "_lone"], by).drop("_lone")
+    own = unused_name("_lone", df)
+    return latest_by_key(df.withColumn(own, lone), [key, own], by).drop(own)
 
 
 def _merge(target: DataFrame, new: DataFrame, key: str, order, prefer_new: bool) -> DataFrame:
     """Full outer join of target rows and one new row per key; each input is
-    read once. Rows without a usable key match nothing and all stay."""
+    read once. Rows without a usable key match nothing and all stay: a second
+    join column spreads them, where a NULL key alone would send all of them
+    to one task (an outer join's tasks are not split at run time)."""
     cols = target.columns
     fresh = _one_per_key(new.select(*cols), key, order)
-    t = target.select(F.struct(*cols).alias("_t"), F.when(_valid(target, key), F.col(key)).alias("_tk"))
-    f = fresh.select(F.struct(*cols).alias("_f"), F.when(_valid(fresh, key), F.col(key)).alias("_fk"))
-    both = t.join(f, F.col("_tk") == F.col("_fk"), "full_outer")
-    row = F.coalesce("_f", "_t") if prefer_new else F.coalesce("_t", "_f")
-    return both.select(row.alias("_row")).select("_row.*")
+    t, tk, ts, f, fk, fs, row = unused_names("_t _tk _ts _f _fk _fs _row", target)
+
+    def side(df: DataFrame, whole: str, k: str, spread: str) -> DataFrame:
+        usable = F.coalesce(_valid(df, key), F.lit(False))
+        # Fixed by the row and its partition, so a repeated task deals alike.
+        lone = F.xxhash64(F.xxhash64(*[c for c in cols if not _has_map(df.schema[c].dataType)]), F.spark_partition_id())
+        return df.select(F.struct(*cols).alias(whole), F.when(usable, F.col(key)).alias(k),
+                         F.when(usable, F.lit(0).cast("bigint")).otherwise(lone).alias(spread))
+
+    both = side(target, t, tk, ts).join(side(fresh, f, fk, fs), (F.col(tk) == F.col(fk)) & (F.col(ts) == F.col(fs)), "full_outer")
+    best = F.coalesce(f, t) if prefer_new else F.coalesce(t, f)
+    return both.select(best.alias(row)).select(f"{row}.*")
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key: str,
@@ -153,25 +166,51 @@ def upsert_by_key(target: DataFrame, updates: DataFrame, key: str,
     return _merge(target, updates, key, order, prefer_new=True)
 
 
+#: Ratio of neighbouring bucket widths of ``range_join``.
+WIDTH_STEP = 16
+
+
+def _epoch_seconds(df: DataFrame, c: str) -> Column:
+    """Whole seconds of a time column since 1970; a time without zone counts
+    as UTC, whose order has no gaps or folds."""
+    if isinstance(df.schema[c].dataType, TimestampNTZType):
+        day = F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+        return day * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return F.unix_seconds(F.col(c).cast("timestamp"))
+
+
 def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str,
                bucket_seconds: int) -> DataFrame:
     """Rows of ``points`` whose time lies in ``[start, end)`` of a row of
     ``spans``, for conditions without an equal key.
 
-    Time is cut into buckets of ``bucket_seconds``; a span is copied to every
-    bucket it touches and meets the points there by an equi-join, which
-    adaptive execution splits where a bucket is hot. A pair meets in the
-    point's bucket only, so none is found twice. Choose buckets about as long
-    as the spans. NULL times match nothing."""
-    def bucket(c: str) -> Column:
-        seconds = F.unix_seconds(F.col(c).cast("timestamp"))
-        return F.floor(seconds / F.lit(bucket_seconds)).cast("bigint")
-
-    copied = (spans.filter(F.col(start) < F.col(end))
-              .withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end)))))
-    placed = points.filter(F.col(point).isNotNull()).withColumn("_bucket", bucket(point))
+    Time is cut into buckets of several widths: ``bucket_seconds``, 16 times
+    that, 256 times, and so on. A span goes to the buckets it touches of the
+    smallest width that is no shorter than the span, two at most, so a span of
+    a minute and one with an open end (year 9999) cost the same; a point goes
+    to its one bucket of every width that some span uses (ten widths reach
+    from ten minutes over 8,000 years). Both meet by an equi-join on (width,
+    bucket), which adaptive execution splits where a bucket is hot. A pair
+    meets in the point's bucket of the span's width only, so none is found
+    twice. Choose ``bucket_seconds`` about as long as common spans. NULL
+    times match nothing."""
+    width, bucket, w, b = unused_names("_width _bucket _w _b", points, spans)
+    from_, to = _epoch_seconds(spans, start), _epoch_seconds(spans, end)
+    whole = spans.filter(F.col(start) < F.col(end))
+    # The least k with bucket_seconds * 16^k >= length, by comparison alone.
+    steps = [bucket_seconds * WIDTH_STEP ** k for k in range(16) if bucket_seconds * WIDTH_STEP ** k < 2 ** 62]
+    size = F.lit(steps[-1]).cast("bigint")
+    for step in reversed(steps):
+        size = F.when(to - from_ <= step, F.lit(step).cast("bigint")).otherwise(size)
+    sized = whole.withColumn(width, size)
+    copied = sized.withColumn(bucket, F.explode(F.sequence(F.floor(from_ / F.col(width)).cast("bigint"), F.floor(to / F.col(width)).cast("bigint"))))
+    # At most as many values as there are widths, read once for all points.
+    used = sized.agg(F.collect_set(width)).scalar()
+    placed = (points.filter(F.col(point).isNotNull()).withColumn(w, F.explode(used))
+              .withColumn(b, F.floor(_epoch_seconds(points, point) / F.col(w)).cast("bigint")))
     inside = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
-    return placed.join(copied, "_bucket").filter(inside).drop("_bucket")
+    return (placed.join(copied, (F.col(w) == F.col(width)) & (F.col(b) == F.col(bucket))).filter(inside)
+            .drop(width, bucket, w, b))
 
 
 def delete_by_key(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -119,16 +119,25 @@ def status_metrics(pods: DataFrame, apps: DataFrame, status: str = "status",
     )
 
 
-def rollup_totals(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
+def rollup_totals(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column],
+                  unread: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
     """Sums per key combination plus subtotal and grand-total rows
     (``ROLLUP``); ``gid`` is ``grouping_id`` (0 = detail row).
 
     Sums decompose, so the rows are first summed per full key (partial
     aggregation, each measure computed once per input row) and only those
     group rows go through the rollup's Expand, instead of every input row
-    once per grouping level."""
-    measured = df.select(*keys, *[m.alias(name) for name, m in measures.items()])
-    detail = measured.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in measures])
+    once per grouping level.
+
+    A measure that is NULL is not summed. ``unread`` maps names of further
+    columns to (measure, source column): beside the totals, how many source
+    values that are there gave no measure (a unit that is not known)."""
+    unread = dict(unread or {})
+    lost = {name: F.when(F.col(source).isNotNull() & measures[measure].isNull(), 1).otherwise(0).cast("bigint")
+            for name, (measure, source) in unread.items()}
+    sums = [*measures, *unread]
+    measured = df.select(*keys, *[m.alias(name) for name, m in (dict(measures) | lost).items()])
+    detail = measured.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in sums])
     return (detail.rollup(*keys)
-            .agg(*[F.sum(name).alias(name) for name in measures],
+            .agg(*[F.sum(name).alias(name) for name in sums],
                  F.grouping_id().alias("gid")))

@@ -20,14 +20,15 @@ def mentioned_tables(text: str, tables=TABLES) -> list[str]:
 
 def split_statements(text: str) -> list[str]:
     """The statements of a SQL text: split at semicolons outside of quotes
-    ('...', "...", `...`) and comments (-- to the end of the line, /* ... */)."""
+    ('...', "...", `...`) and comments (-- to the end of the line, /* ... */).
+    Comments are left out, planner hints (/*+ ... */) stay."""
     parts = re.findall(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|.""", text, re.S)
     out = [""]
     for part in parts:
         if part == ";":
             out.append("")
         else:
-            out[-1] += " " if part.startswith(("--", "/*")) and len(part) > 1 else part
+            out[-1] += " " if part.startswith(("--", "/*")) and not part.startswith("/*+") and len(part) > 1 else part
     return [s.strip() for s in out if s.strip()]
 
 
