@@ -27,7 +27,8 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or [n for n in QUERIES if not n.startswith(SKIP)]
     spark = get_spark("plans", {"spark.sql.shuffle.partitions": "16",
-                                "spark.ui.showConsoleProgress": "false"}, master="local[8]")
+                                "spark.ui.showConsoleProgress": "false",
+                                "spark.ui.enabled": "false"}, master="local[8]")
     spark.sparkContext.setLogLevel("ERROR")
     for name in names:
         print(f"### {name}\n\n```\n{physical_plan(QUERIES[name](spark, sf))}```\n")
