@@ -183,3 +183,49 @@ def test_local_times_without_a_zone_keep_their_order(spark):
         assert range_join(ps, ss, "t", "a", "b", 600).count() == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_hot_keys_take_their_own_way(spark):
+    from tidewater.operators import by_key_size, hot_keys
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, null, id % 5000) as k", "'x' as j", "id", "1 as _n", "2 as _hot0")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        assert hot_keys(df, ["k", "j"], 20_000) is None and hot_keys(df.limit(0), ["k"], 1) is None
+        # a quarter of an even share is 75 rows: only NULL has more
+        assert [tuple(r) for r in hot_keys(df, ["k", "j"], 1).collect()] == [(None, "x")]
+        seen = []
+
+        def way(name):
+            def run(part):
+                seen.append((name, part.count(), part.filter("k is null").count()))
+                return part.select("id", F.lit(name).alias("way"))
+            return run
+
+        out = by_key_size(df, ["k"], way("plain"), way("cut"), rows_per_task=1000)
+        assert out.count() == 30_000 and sorted(seen) == [("cut", 10_000, 10_000), ("plain", 20_000, 0)]
+        seen.clear()
+        assert by_key_size(df, ["k"], way("plain"), way("cut")).count() == 30_000 and len(seen) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("rows_per_task", [100, 10**9])
+def test_rankings_and_frames_either_way(spark, rows_per_task):
+    """One customer and one user with a third of the rows, NULL keys, NULL
+    values: cut and plain give the same, and equal the SQL text."""
+    from tidewater.operators import by_key_size
+    from tidewater.plans import batch
+    o = read_table(spark, SF, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, 1).when(
+        F.col("o_orderkey") % 50 != 1, F.col("o_custkey")).alias("o_custkey"), "o_totalprice", F.when(
+        F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    want = batch.rank_plain(o)
+    got = by_key_size(o, ["o_custkey"], batch.rank_plain, batch.rank_sliced, rows_per_task)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    ev = read_table(spark, SF, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, 0).when(
+        F.col("event_id") % 50 != 1, F.col("user_id")).alias("user_id"), "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
+    ev = ev.withColumn("_v", F.col("value").cast("decimal(18,2)"))
+    want = batch.frames_plain(ev)
+    got = by_key_size(ev, ["user_id"], batch.frames_plain, batch.frames_sliced, rows_per_task)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -176,3 +176,28 @@ def test_times_without_a_zone_need_utc(spark):
             dedup(stream)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_running_updates_write_only_what_changed(spark):
+    from tidewater.streaming import compact_running, finished_epochs, read_running_updates, running_updates
+    root = shared_dir(spark, "test-updates")
+    args = (f"{root}/out", f"{root}/_checkpoint")
+
+    def deliver(*rows):
+        spark.createDataFrame([(i, at(0), u, v) for i, u, v in rows], SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{root}/in")
+        running_updates(stream, ["user"], {"n": F.count(F.lit(1)), "total": F.sum("v")}, *args).awaitTermination()
+        return {r.user: (r.n, r.total) for r in read_running_updates(spark, *args, ["user"]).collect()}
+
+    assert deliver((1, "a", 1), (2, "b", 2), (3, None, 4)) == {"a": (1, 1), "b": (1, 2), None: (1, 4)}
+    assert deliver((4, "b", 8)) == {"a": (1, 1), "b": (2, 10), None: (1, 4)}
+    out = spark.read.parquet(f"{root}/out")
+    assert {r.epoch: r["count"] for r in out.groupBy("epoch").count().collect()} == {0: 3, 1: 1}
+    # rows of a batch that was never committed are not seen
+    spark.createDataFrame([("x", 9, 9, 7)], "user string, n long, total long, epoch long").write.mode("append").partitionBy("epoch").parquet(f"{root}/out")
+    want = {"a": (1, 1), "b": (2, 10), None: (1, 4)}
+    read = lambda: {r.user: (r.n, r.total) for r in read_running_updates(spark, *args, ["user"]).collect()}
+    assert read() == want and finished_epochs(spark, args[1]) == [0, 1]
+    assert compact_running(spark, *args, ["user"]) == 1 and read() == want
+    assert compact_running(spark, *args, ["user"]) == 0 and read() == want
+    assert deliver((5, "a", 100)) == {"a": (2, 101), "b": (2, 10), None: (1, 4)}

@@ -16,6 +16,7 @@ from tidewater.operators.ranking import (ntile_from, ntile_within_key, rank_with
                                          row_number_within_key)
 from tidewater.operators.frames import (frame_sum, neighbours_within_key, range_count_within_key,
                                         rows_frame_sum)
+from tidewater.operators.hotkeys import by_key_size, hot_keys
 from tidewater.operators.names import unused_name, unused_names
 from tidewater.operators.slices import asof_join, quantiles_by_key
 
@@ -29,5 +30,5 @@ __all__ = [
     "describe_schema", "head_n", "ntile_from", "ntile_within_key", "rank_within_key",
     "row_number_within_key", "neighbours_within_key", "range_count_within_key",
     "rows_frame_sum", "frame_sum", "delete_by_key", "range_join", "exact_sum",
-    "asof_join", "quantiles_by_key", "unused_name", "unused_names",
+    "asof_join", "quantiles_by_key", "by_key_size", "hot_keys", "unused_name", "unused_names",
 ]

@@ -3,7 +3,7 @@ relations), each next to its DuckDB oracle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import (classify_by_keys, content_type_for, derive_key,
@@ -21,6 +21,7 @@ from tidewater.operators import (agg_by_map, conditional_counts, delete_by_key,
                                  word_count)
 from tidewater.operators.frames import (frame_sum, neighbours_within_key,
                                         range_count_within_key)
+from tidewater.operators.hotkeys import by_key_size
 from tidewater.operators.quality import quarantined, validated
 from tidewater.operators.ranking import ntile_from, rank_within_key, row_number_within_key
 from tidewater.plans.registry import query
@@ -567,17 +568,28 @@ SELECT o_orderkey, o_custkey, o_totalprice,
 FROM orders
 """)
 def q_rank_per_key(spark: SparkSession, d: str) -> DataFrame:
-    """The ranking shape of ``sql_rank`` with the skew-safe operators: no
-    task ever holds all rows of one customer."""
-    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
-                                     "o_orderpriority")
+    """The ranking shape of ``sql_rank``: customers that fit a task by plain
+    windows, larger ones by range slices, so no task holds too many rows."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    return by_key_size(o, ["o_custkey"], rank_plain, rank_sliced)
+
+
+def rank_plain(o: DataFrame) -> DataFrame:
+    by_price = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
+    by_priority = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
+    over = {"rn": F.row_number().over(by_price), "rk": F.rank().over(by_priority), "drk": F.dense_rank().over(by_priority),
+            "quartile": F.ntile(4).over(by_price)}
+    return o.select("o_orderkey", "o_custkey", "o_totalprice", *[c.cast("bigint").alias(n) for n, c in over.items()])
+
+
+def rank_sliced(o: DataFrame) -> DataFrame:
     by_price = ["o_totalprice", "o_orderkey"]
     numbered = row_number_within_key(o, "o_custkey", by_price, [False, True], out="rn",
                                      count_col="_cnt")
     tiled = numbered.withColumn("quartile", ntile_from("rn", "_cnt", 4)).drop("_cnt")
     ranked = rank_within_key(tiled, "o_custkey", ["o_orderpriority"], rank_col="rk",
                              dense_col="drk")
-    return ranked.select("o_orderkey", "o_custkey", "o_totalprice", "rn",
+    return ranked.select("o_orderkey", "o_custkey", "o_totalprice", F.col("rn").cast("bigint").alias("rn"),
                          F.col("rk").cast("bigint").alias("rk"),
                          F.col("drk").cast("bigint").alias("drk"), "quartile")
 
@@ -597,13 +609,27 @@ SELECT event_id, user_id,
 FROM e
 """)
 def q_frames_per_key(spark: SparkSession, d: str) -> DataFrame:
-    """The frame shape of ``sql_frames`` with the skew-safe operators: lag,
-    lead and a 3-row sum from one numbering plus one neighbour join; the
-    1-day RANGE count from a merged running count. Every seventh value and all
-    values of every tenth user are NULL."""
+    """The frame shape of ``sql_frames``: users that fit a task by plain
+    windows, larger ones by range slices (lag, lead and a 3-row sum from one
+    numbering plus one neighbour join; the 1-day RANGE count from a merged
+    running count). Every seventh value and all values of every tenth user
+    are NULL."""
     value = F.when((F.col("event_id") % 7 != 0) & (F.col("user_id") % 10 != 3), F.col("value"))
     ev = (_t(spark, d, "events").select("event_id", "user_id", "ts", value.alias("value"))
           .withColumn("_v", F.col("value").cast("decimal(18,2)")))
+    return by_key_size(ev, ["user_id"], frames_plain, frames_sliced)
+
+
+def frames_plain(ev: DataFrame) -> DataFrame:
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    n_day = F.expr("count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)")
+    return ev.select("event_id", "user_id", F.lag("value").over(by_time).alias("prev_value"),
+                     F.lead("event_id").over(by_time).alias("next_event"),
+                     F.sum("_v").over(by_time.rowsBetween(-2, Window.currentRow)).cast("double").alias("sum3"),
+                     n_day.alias("n_day"))
+
+
+def frames_sliced(ev: DataFrame) -> DataFrame:
     numbered = row_number_within_key(ev, "user_id", ["ts", "event_id"], out="_rn",
                                      weight="_v", weight_out="_run", weight_count="_k")
     near = neighbours_within_key(numbered, "user_id", "_rn", [

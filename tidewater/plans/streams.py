@@ -15,8 +15,8 @@ from tidewater.session import shared_dir
 from tidewater.sources.events import EVENTS_SCHEMA, EventSourceSpec, event_source
 from tidewater.sources.files import read_table
 from tidewater.streaming.decode import decode_events
-from tidewater.streaming.jobs import (bronze_ingest, read_running_result, running_aggregate,
-                                      validate_stream)
+from tidewater.streaming.jobs import (bronze_ingest, compact_running, read_running_result, read_running_updates,
+                                      running_aggregate, running_updates, validate_stream)
 from tidewater.streaming.stateful import (append_stream, first_deliveries, interval_join, session_totals, silent_keys,
                                           window_totals)
 
@@ -225,3 +225,21 @@ def q_stream_interval_join(spark: SparkSession, d: str) -> DataFrame:
         return (interval_join(errors, bought, [("user_id", "buyer")], "error_ts", "ts", "0 seconds", "3 hours", "1 hour", "1 hour")
                 .select("error_id", "event_id", "user_id", "ts"))
     return _replay(spark, d, "pairs", _two_halves(spark, d), pairs)
+
+
+@query("stream_running_updates", """
+SELECT user_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value FROM events GROUP BY user_id
+""")
+def q_stream_running_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Running totals per user over two deliveries, of which only changed
+    users are written, folded into one epoch after the second."""
+    root = shared_dir(spark, "updates")
+    ev = read_table(spark, d, "events")
+    for rows in (ev.filter("event_id % 3 > 0"), ev.filter("event_id % 3 = 0")):
+        rows.write.mode("append").parquet(f"{root}/in")
+        stream = event_source(spark, EventSourceSpec(kind="files", path=f"{root}/in"))
+        running_updates(stream, ["user_id"], {"n": F.count(F.lit(1)), "total_value": F.sum(F.col("value").cast("decimal(18,2)"))},
+                        f"{root}/out", f"{root}/_checkpoint").awaitTermination()
+    compact_running(spark, f"{root}/out", f"{root}/_checkpoint", ["user_id"])
+    out = read_running_updates(spark, f"{root}/out", f"{root}/_checkpoint", ["user_id"])
+    return out.select("user_id", "n", F.col("total_value").cast("double").alias("total_value"))

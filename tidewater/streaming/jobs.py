@@ -6,11 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewater.operators.quality import tag_rejects
+from tidewater.operators.relations import latest_by_key
+from tidewater.session import shared_dir
 
 
 def _trigger(writer, trigger: str | None):
@@ -92,3 +94,70 @@ def read_running_result(spark, out_path: str) -> DataFrame:
     newest = spark.read.parquet(epochs_path(out_path)).agg(F.max("epoch")).first()[0]
     slot = spark.read.parquet(out_path).filter(F.col("slot") == newest % 2)
     return slot.filter(F.col("epoch") == newest).drop("epoch", "slot")
+
+
+def running_updates(stream: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], out_path: str,
+                    checkpoint: str, trigger: str | None = None) -> StreamingQuery:
+    """Running totals per key that write only what changed: each micro-batch
+    appends the new totals of the keys it touched (update mode) under
+    ``epoch=<n>``, and a batch that is repeated after a failure replaces its
+    own epoch. ``read_running_updates`` gives the newest totals per key,
+    ``compact_running`` folds finished epochs into one.
+
+    Work per batch grows with the keys of the batch, not with all keys seen;
+    the writer's list of finished epochs is the stream's own commit log."""
+    agg = stream.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
+
+    def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        (batch.withColumn("epoch", F.lit(epoch_id).cast("bigint"))
+              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+              .partitionBy("epoch").parquet(out_path))
+
+    writer = (agg.writeStream.outputMode("update")
+              .option("checkpointLocation", checkpoint)
+              .foreachBatch(write_batch))
+    return _trigger(writer, trigger).start()
+
+
+def finished_epochs(spark: SparkSession, checkpoint: str) -> list[int]:
+    """The micro-batches that a stream has committed, from its checkpoint
+    folder on any Hadoop file system (Spark keeps the last hundred)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def read_running_updates(spark: SparkSession, out_path: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """The newest totals per key among committed micro-batches: rows of a
+    batch that is still being written are not seen."""
+    last = (finished_epochs(spark, checkpoint) or [-1])[-1]
+    rows = spark.read.parquet(out_path).filter(F.col("epoch") <= last)
+    return latest_by_key(rows, list(keys), ["epoch"]).drop("epoch")
+
+
+def compact_running(spark: SparkSession, out_path: str, checkpoint: str, keys: Sequence[str]) -> int:
+    """Fold all committed epochs into the newest of them and remove the older
+    ones; returns how many were removed. To be run between micro-batches (or
+    by the job that runs the stream, after it); a crash in between leaves
+    epochs that the next run folds again, with the same result, as the newest
+    epoch is replaced as a whole before older ones go."""
+    done = finished_epochs(spark, checkpoint)
+    if not done:
+        return 0
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    epochs = sorted(int(n.split("=", 1)[1]) for f in fs.listStatus(folder) if (n := f.getPath().getName()).startswith("epoch="))
+    old = [e for e in epochs if e < done[-1]]
+    if not old:
+        return 0
+    newest = max(e for e in epochs if e <= done[-1])
+    # Through a folder of its own: what is read is about to be replaced.
+    merged = shared_dir(spark, "compacted")
+    latest_by_key(spark.read.parquet(out_path).filter(F.col("epoch") <= newest), list(keys), ["epoch"]).write.parquet(merged)
+    (spark.read.parquet(merged).withColumn("epoch", F.lit(newest).cast("bigint")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_path))
+    gone = [e for e in old if e != newest]
+    for e in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{out_path.rstrip('/')}/epoch={e}"), True)
+    return len(gone)
