@@ -53,3 +53,42 @@ def test_edge_rows(spark):
     assert {r.lang_pred for r in alone} == {"de", "und"}
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0), F.lit(True))).collect()} == {"und"}
     assert langid.family_of("xx") == "xx"
+
+
+def test_whole_prediction_like_dense_frequencies(spark, documents):
+    """Margins from the n-gram frequencies of whole texts, one text at a time,
+    every pair of families and then of the family's languages."""
+    docs = documents.filter("text is not null")
+    models = langid.fit(docs, F.lit(True), language_rows=40)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, models).collect()}
+    langs, pairs = models["langs"], models["pairs"]
+
+    def best(level, names, x):
+        if len(names) == 1:
+            return names[0], 1.0
+        votes = dict.fromkeys(names, 0.0)
+        for k, (kind, a, b) in enumerate(pairs):
+            if kind == level and a in votes and b in votes:
+                w, bias = models["weights"][k]
+                p = 1 / (1 + np.exp(-np.clip(4 * (float(x @ w.astype(np.float64)) + bias), -30, 30)))
+                votes[a] += p
+                votes[b] += 1 - p
+        name = max(names, key=lambda n: votes[n])
+        return name, votes[name] / (len(names) - 1)
+
+    for r in docs.collect():
+        _, buckets = langid.word_grams(r.text.split())
+        if not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id] == ("und", 0)
+            continue
+        x = np.bincount(buckets, minlength=1 << langid.HASH_BITS) / max(1, len(buckets))
+        family, sure = best("family", sorted({langid.family_of(n) for n in langs}), x)
+        lang, within = best("lang", [n for n in langs if langid.family_of(n) == family], x)
+        assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - sure * within) < 1e-6
+
+
+def test_a_dirty_column_is_bounded(spark):
+    rows = [(i, f"text of {'the dog' if i % 2 else 'der hund'} {i}", "en" if i % 2 else "de") for i in range(40)]
+    rows += [(100 + i, "x y", f"bad{i:03}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs, F.lit(True), languages=3)["langs"] == ["bad000", "de", "en"]

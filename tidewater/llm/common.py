@@ -55,6 +55,12 @@ def hash_fraction(col: str, rows: int, most: int) -> Column:
     return F.pmod(F.xxhash64(F.col(col)), F.lit(1_000_000)) < int(1e6 * most / rows)
 
 
+def one_text(sample: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows of each labelled id (``keys``) the smallest text ``t``:
+    however often an id repeats, a sample has one row of it."""
+    return sample.groupBy(*keys).agg(F.min("t").alias("t"))
+
+
 def slices(texts, most: int = SLICE_BYTES):
     """(start, end) ranges over an Arrow string array of about ``most`` bytes each."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)

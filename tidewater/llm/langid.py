@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import coded_words, hash_fraction, slices, text_of
+from tidewater.llm.common import coded_words, hash_fraction, one_text, slices, text_of
 
 # Language families by ISO 639-1 code. A language that is not
 # listed is a family of its own.
@@ -39,6 +39,9 @@ FAMILIES = {
 HASH_BITS = 13
 #: Documents of each language that training uses at most, on average.
 LANGUAGE_ROWS = 300
+#: Languages that are learned at most: those with the most documents. Texts of
+#: others are predicted as the learned one that is nearest.
+LANGUAGES = 200
 
 
 def family_of(lang: str) -> str:
@@ -95,12 +98,15 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> tupl
 
 
 def fit(docs: DataFrame, eligible: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
-        language_rows: int = LANGUAGE_ROWS) -> dict:
+        language_rows: int = LANGUAGE_ROWS, languages: int = LANGUAGES) -> dict:
     """Train on a repeatable sample of about ``language_rows`` documents of
-    each language among the rows that are ``eligible`` and have a language."""
+    each language among the rows that are ``eligible`` and have a language.
+    Of more than ``languages`` values of the column those with the most
+    documents are learned (ties: the first names), so a dirty column does not
+    make a machine for every pair of its values."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), text_of(text_col).alias("t"),
                        eligible.alias("ok")).filter("ok and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     langs = sorted(counts)
     families = sorted({family_of(x) for x in langs})
     pairs = [("family", a, b) for i, a in enumerate(families) for b in families[i + 1:]]
@@ -123,7 +129,7 @@ def fit(docs: DataFrame, eligible: Column, lang_col: str = "lang", text_col: str
         w, b = svm(frequencies(pdf["t"].tolist()), pdf["y"].to_numpy())
         return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "w": [w.astype("<f4").tobytes()], "b": [b]})
 
-    trained = (rows.filter(chosen).select("id", "t", F.explode(sides).alias("side")).select("id", "t", "side.k", "side.y")
+    trained = (one_text(rows.filter(chosen), "id", "lang").select("id", "t", F.explode(sides).alias("side")).select("id", "t", "side.k", "side.y")
                .groupBy("k").applyInPandas(learn, "k int, w binary, b double").collect())
     models["weights"] = {r["k"]: (np.frombuffer(r["w"], "<f4"), r["b"]) for r in trained}
     return models

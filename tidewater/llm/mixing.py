@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import coded_words, distinct, hash_fraction, hashed, repetition, shapes_of, slices, text_of, written
+from tidewater.llm.common import coded_words, distinct, hash_fraction, hashed, one_text, repetition, shapes_of, slices, text_of, written
+from tidewater.operators.names import unused_names
 from tidewater.llm.toxicity import HASH_BITS, SLICE_BYTES, bucket, train, word_features
 
 LOG = logging.getLogger(__name__)
@@ -89,7 +90,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: lis
     sample = (docs.select(F.col(id_col).cast("long").alias("label_id"), text_of(text_col).alias("t"))
               .join(F.broadcast(known.filter(chosen)), "label_id"))
     found = {r["domain"]: r for r in
-             sample.repartition(1).sortWithinPartitions(F.xxhash64("label_id"), "t").select("t", "domain")
+             one_text(sample, "label_id", "domain").repartition(1).sortWithinPartitions(F.xxhash64("label_id"), "t").select("t", "domain")
              .mapInArrow(learn, "domain string, at array<int>, weight array<double>, bias double").collect()}
     return [{"at": found[d]["at"], "weight": found[d]["weight"], "bias": found[d]["bias"] + odds[d]} if d in found
             else {"at": [], "weight": [], "bias": 0.0} for d in domains]
@@ -219,9 +220,10 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
 def resample(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with each row as many times as its copies say. A row without an
     id can't be looked up and stays once."""
-    copies = (mixed.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_mix_id"))
-              .agg(F.max("copies").alias("_mix_copies")))
-    joined = docs.join(copies, F.col(id_col).cast("long") == F.col("_mix_id"), "left")
-    times = F.coalesce(F.col("_mix_copies"), F.lit(1))
-    return (joined.filter(times > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), times)))
+    mix_id, mix_copies, copy = unused_names("_mix_id _mix_copies _mix_copy", docs)
+    copies = (mixed.filter("doc_id is not null").groupBy(F.col("doc_id").alias(mix_id))
+              .agg(F.max("copies").alias(mix_copies)))
+    joined = docs.join(copies, F.col(id_col).cast("long") == F.col(mix_id), "left")
+    times = F.coalesce(F.col(mix_copies), F.lit(1))
+    return (joined.filter(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times)))
             .select(*[docs[c] for c in docs.columns]))

@@ -189,7 +189,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     the text are not read. An empty table gives an empty result. The number of
     shards grows with the number of pieces; each leaves a few part-filled bins.
     """
-    rows = written(pieces_of(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
+    # A number per written row deals them: rows that are equal spread as well.
+    rows = written(pieces_of(docs, vocabulary, capacity, end_id, id_col, text_col)
+                   .withColumn("deal", F.monotonically_increasing_id()), "pieces")
     shards = -(-rows.count() // shard_pieces) or 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,8 +200,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
         bins, offsets = finish(sizes, *place(sizes, capacity), capacity)
         pdf["sequence_id"] = pdf["shard"].astype("int64") * 2**32 + bins
         pdf["offset"] = offsets
-        return pdf.drop(columns="shard")
+        return pdf.drop(columns=["shard", "deal"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(run, schema)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import coded_words, hash_fraction, hashed, repetition, shapes_of, slices, text_of
+from tidewater.llm.common import coded_words, hash_fraction, hashed, one_text, repetition, shapes_of, slices, text_of
 
 #: Size of the term space, and of the latent space.
 TERMS, LATENT = 2048, 48
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, label_col: str = "
     # A bounded number of (id, label) rows, so it can go to all tasks.
     sample = (docs.select(F.col(id_col).cast("long").alias("label_id"), text_of(text_col).alias("t"))
               .join(F.broadcast(chosen), "label_id"))
-    model = (sample.repartition(1).sortWithinPartitions(F.xxhash64("label_id"), "t").select("t", "y")
+    model = (one_text(sample, "label_id", "y").repartition(1).sortWithinPartitions(F.xxhash64("label_id"), "t").select("t", "y")
              .mapInArrow(learn, "idf binary, basis binary, vectors binary, labels binary").collect())
     return {k: np.frombuffer(v, "<f4") for k, v in model[0].asDict().items()} if model else {}
 
@@ -123,10 +123,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                     z = latent(term_counts(b.column(1).slice(i, j - i)), idf, basis)
                     alike = z @ vectors.T
                     k = min(neighbours, len(y))
-                    at = np.argpartition(-alike, k - 1, axis=1)[:, :k]
-                    vote = np.maximum(np.take_along_axis(alike, at, axis=1), 0).astype(np.float64)
+                    # All that are as near as the k-th vote, so ties have no order.
+                    kth = -np.partition(-alike, k - 1, axis=1)[:, k - 1:k]
+                    vote = np.where(alike >= kth, np.maximum(alike, 0), 0).astype(np.float64)
                     total = vote.sum(axis=1)
-                    s = np.where(total > 1e-6, (vote * y[at]).sum(axis=1) / np.maximum(total, 1e-6), prior)
+                    s = np.where(total > 1e-6, vote @ y / np.maximum(total, 1e-6), prior)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.clip(s, 0, 1))], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import slices, text_of, written
+from tidewater.operators.names import unused_name
 
 #: Fingerprints of one anchor compared in one task; more are cut into slices.
 HOT_ROWS = 20_000
@@ -209,16 +210,21 @@ def fingerprint_links(distinct: DataFrame, most: int, hot_rows: int = HOT_ROWS)
 
 def star_components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of the links
-    (a, b) but the roots, by alternating large and small stars."""
+    (a, b) but the roots, by alternating large and small stars.
+
+    The least neighbours of each round are written before rows meet them: then
+    both sides of these joins are plain shuffles, which adaptive execution
+    splits where a node has a large share of the links."""
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                     .filter("a < b").distinct(), "edges")
     before = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+        low = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")), "low")
         large = both.filter("b > a").join(low, "a").select(F.col("low").alias("a"), "b").filter("a < b").distinct()
         # Every node with its smaller neighbours.
-        least = large.groupBy("b").agg(F.min("a").alias("low"))
+        large = written(large, "large")
+        least = written(large.groupBy("b").agg(F.min("a").alias("low")), "least")
         small = (large.join(least, "b").filter("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"))
                  .union(least.select(F.col("low").alias("a"), "b")).distinct())
         edges = written(small, "edges")
@@ -257,6 +263,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 4, max_bits: int = 4,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of its smallest id.
     Rows without an id can't be named and stay."""
+    name = unused_name("_gone", docs)
     gone = (near_duplicates(docs, shingle, max_bits, id_col, text_col)
-            .filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+            .filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

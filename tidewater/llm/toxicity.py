@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import coded_words, distinct, hash_fraction, hashed, slices, text_of
+from tidewater.llm.common import coded_words, distinct, hash_fraction, hashed, one_text, slices, text_of
 
 #: Feature space: 2 to this power.
 HASH_BITS = 20
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, label_col: str = "
     # The sample has a bounded number of (id, label) rows, so it can go to all tasks.
     sample = (docs.select(F.col(id_col).cast("long").alias("label_id"), text_of(text_col).alias("t"))
               .join(F.broadcast(chosen), "label_id"))
-    model = (sample.repartition(1).sortWithinPartitions(F.xxhash64("label_id"), "t").select("t", "y")
+    model = (one_text(sample, "label_id", "y").repartition(1).sortWithinPartitions(F.xxhash64("label_id"), "t").select("t", "y")
              .mapInArrow(learn, "at array<int>, weight array<double>, bias double").collect())
     if not model:
         return {"at": [], "weight": [], "bias": 0.0}
