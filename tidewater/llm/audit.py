@@ -22,7 +22,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import text_of, words_of, written
+from tidewater.llm.common import remove, text_of, words_of, written
 
 #: Columns that name one document here: rows equal in both share every verdict.
 KEY = ["doc_id", "digest"]
@@ -73,7 +73,9 @@ def classes(rows: DataFrame, relations: list[DataFrame]) -> DataFrame:
     for k, relation in enumerate(relations):
         taken = split.join(relation, same_document(split, relation), "left_semi").withColumn("failed", F.col("failed") + (1 << k))
         left = split.join(relation, same_document(split, relation), "left_anti")
-        split = written(taken.unionByName(left), f"audit-round-{k}")
+        before, split = split, written(taken.unionByName(left), f"audit-round-{k}")
+        if k:
+            remove(rows.sparkSession, before)
     return split
 
 

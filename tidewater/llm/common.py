@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tidewater/llm-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for made in _made[-1:]:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+#: What is written within the innermost ``scratch``.
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch():
+    """The paths that ``written`` makes inside the block, as a list to be
+    removed when no result reads them any more."""
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        yield paths
+    finally:
+        _made.remove(paths)
+
+
+def remove(spark: SparkSession, *written_or_paths) -> None:
+    """Remove tables that ``written`` returned (or their paths) from the shared
+    folder, on whatever file system it is."""
+    for x in written_or_paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

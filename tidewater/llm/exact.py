@@ -55,10 +55,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = dealt.groupBy("k").agg(F.min("rep").alias("rep"), F.sum("n").alias("n")).filter("n > 1")
     groups = written(dealt.select("k", "deal").join(whole, "k"), "exact-groups")
     # Texts of the documents of such groups, found by id (rows without one by
-    # their hash): ids spread evenly whatever the size of a group.
+    # their hash): ids spread evenly whatever the size of a group. One plan at
+    # every size: a merge join.
     suspects = written(narrow.join(groups, ["k", "deal"]).select("doc_id", "k").distinct(), "exact-suspects")
     texts = (rows.select(F.col("doc_id").alias("id"), "t", F.when(F.col("doc_id").isNull(), key(F.col("t"))).alias("id_k"))
-             .join(suspects, F.col("id").eqNullSafe(F.col("doc_id"))
+             .join(suspects.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))
                    & F.col("id_k").eqNullSafe(F.when(F.col("doc_id").isNull(), F.col("k"))))
              .filter(key(F.col("t")).eqNullSafe(F.col("k")))
              .select("doc_id", "k", "t"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import slices, text_of, written
+from tidewater.llm.common import remove, slices, text_of, written
 from tidewater.operators.names import unused_name
 
 #: Fingerprints of one anchor compared in one task; more are cut into slices.
@@ -227,7 +227,8 @@ def star_components(links: DataFrame) -> DataFrame:
         least = written(large.groupBy("b").agg(F.min("a").alias("low")), "least")
         small = (large.join(least, "b").filter("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"))
                  .union(least.select(F.col("low").alias("a"), "b")).distinct())
-        edges = written(small, "edges")
+        done, edges = (edges, low, large, least), written(small, "edges")
+        remove(edges.sparkSession, *done)  # no later round reads them
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))

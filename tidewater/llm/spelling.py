@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from tidewater.llm.common import text_of, written
+from tidewater.llm.common import remove, text_of, written
 
 #: Letters of words; upper-case letters outside ASCII stay as they are.
 LETTERS = "A-Za-z\\u00C0-\\u00FF"
@@ -146,12 +146,14 @@ def roots(links: DataFrame) -> DataFrame:
     """id, root of each row of ``links`` (id, form), following forms to the
     last by doubling: as n at least doubles from form to form, a handful of
     rounds reach the end of every chain."""
-    step, ends = 0, links.select("id", F.col("form").alias("root"))
+    step, before, ends = 0, None, links.select("id", F.col("form").alias("root"))
     while True:
         hop = ends.select(F.col("id").alias("root"), F.col("root").alias("next"))
         moved = written(ends.join(hop, "root", "left").select("id", F.coalesce("next", "root").alias("root"),
                                                               F.col("next").isNotNull().alias("moved")), f"roots-{step}")
-        ends, step = moved.select("id", "root"), step + 1
+        if step:
+            remove(links.sparkSession, before)  # the round before has been read
+        before, ends, step = moved, moved.select("id", "root"), step + 1
         if moved.filter("moved").isEmpty():
             return ends
 
