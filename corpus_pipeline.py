@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import exact, mixing, packing, simhash, toxicity
-from tidewater.llm.common import table, written
+from tidewater.llm.common import remove, scratch, table, written
 
 #: Domains by the labelled table and their shares of the mixed tokens. Clean
 #: tokens are never thinned: the others shrink against them.
@@ -63,9 +63,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn. What a stage has written for itself, and the result
+    of the one before, go as soon as its own result stands in the shared folder."""
     docs = table(spark, sf_dir, "documents")
+    last: list[str] = []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as made:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        remove(spark, *last, *[p for p in made if p != docs.written_path])
+        last = [docs.written_path]
     return docs
 
 

@@ -166,3 +166,12 @@ def test_reach_equals_a_walk(spark):
     assert {r.b: r.depth for r in got} == depth and len(got) == len(depth)
     assert {r.b for r in reachable(df, roots, "a", "b", "n", max_depth=1).collect()} == {k for k, v in depth.items() if v <= 1}
     assert reachable(df, roots.limit(0), "a", "b", "n").count() == 0
+
+
+def test_a_timed_job_reports_rows_and_time(spark):
+    from tidewater.operators.timing import run_timed
+    r = run_timed("ten", lambda: spark.range(10).filter("id > 3"))
+    assert (r["job"], r["rows"]) == ("ten", 6) and r["seconds"] > 0
+    folder = shared_dir(spark, "test-timed")
+    assert run_timed("written", lambda: spark.range(7), lambda df: df.write.parquet(folder))["rows"] == 7
+    assert spark.read.parquet(folder).count() == 7

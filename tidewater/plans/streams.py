@@ -243,3 +243,35 @@ def q_stream_running_updates(spark: SparkSession, d: str) -> DataFrame:
     compact_running(spark, f"{root}/out", f"{root}/_checkpoint", ["user_id"])
     out = read_running_updates(spark, f"{root}/out", f"{root}/_checkpoint", ["user_id"])
     return out.select("user_id", "n", F.col("total_value").cast("double").alias("total_value"))
+
+
+@query("stream_restart", "SELECT * FROM events")
+def q_stream_restart(spark: SparkSession, d: str) -> DataFrame:
+    """Bronze ingest of three deliveries, stopped and started again after each
+    and once more with nothing new: every event is written once."""
+    root = shared_dir(spark, "restart")
+    ev = read_table(spark, d, "events")
+    for rows in (*[ev.filter(F.pmod(F.col("event_id"), F.lit(3)) == k) for k in range(3)], None):
+        if rows is not None:
+            rows.write.mode("append").parquet(f"{root}/in")
+        stream = event_source(spark, EventSourceSpec(kind="files", path=f"{root}/in"))
+        bronze_ingest(stream, f"{root}/table", f"{root}/_checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/table").drop("ingest_ts")
+
+
+@query("stream_polling", "SELECT * FROM events WHERE event_type = 'error'")
+def q_stream_polling(spark: SparkSession, d: str) -> DataFrame:
+    """A query that stays up and polls its folder by a processing-time trigger:
+    files that come while it runs are taken, then it is stopped."""
+    root = shared_dir(spark, "polling")
+    errors = read_table(spark, d, "events").filter("event_type = 'error'")
+    errors.filter("event_id % 2 = 0").write.mode("append").parquet(f"{root}/in")
+    stream = event_source(spark, EventSourceSpec(kind="files", path=f"{root}/in"))
+    q = bronze_ingest(stream, f"{root}/table", f"{root}/_checkpoint", trigger="200 milliseconds")
+    try:
+        q.processAllAvailable()
+        errors.filter("event_id % 2 <> 0").write.mode("append").parquet(f"{root}/in")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.parquet(f"{root}/table").drop("ingest_ts")

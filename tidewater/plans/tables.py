@@ -13,12 +13,13 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from tidewater.operators.payloads import merged_schema, parse_payloads, payload_fields, payload_report
 from tidewater.operators.reach import reachable
 from tidewater.operators.sketches import rank_errors, read_sketches, sketch_rows, unite_sketches
+from tidewater.operators.timing import run_timed
 from tidewater.plans.registry import query
 from tidewater.plans.shapes import _shape
 from tidewater.session import shared_dir
 from tidewater.sources.catalog import ensure_database
 from tidewater.sources.csvlines import broken_lines, read_csv_lines, sound_rows
-from tidewater.sources.files import read_table
+from tidewater.sources.files import SourceSpec, load_source, read_table
 from tidewater.sources.layout import expire_days, on_days, save_bucketed, save_by_day, upsert_bucketed
 
 
@@ -217,3 +218,35 @@ r(node, depth) AS (SELECT CAST(1 AS BIGINT), 0
                    UNION ALL SELECT child, depth + 1 FROM r JOIN links ON parent = node WHERE depth < 25)
 SELECT depth, count(*) AS n, min(node) AS least, max(node) AS greatest FROM r GROUP BY depth
 """)
+
+
+# ------------------------------------------------- other schemes, timed jobs
+
+@query("object_store_scan", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
+def q_object_store_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A configured source under a path of another Hadoop scheme: the folder
+    is mounted in a ViewFs name space, whose options are session settings as
+    those of an object store are. A folder that is in such a store is read
+    from there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(d.rstrip("/"))
+    if not path.toUri().getScheme() or path.toUri().getScheme() == "file":
+        mount = f"store{uuid.uuid4().hex[:8]}"
+        spark.conf.set(f"fs.viewfs.mounttable.{mount}.link./data", path.toUri().getPath() if not path.toUri().getScheme() else d.rstrip("/"))
+        d = f"viewfs://{mount}/data"
+    spec = SourceSpec.from_config({"app": {"file": {"inputPath": f"{d.rstrip('/')}/orders.parquet", "format": "parquet"}}})
+    return load_source(spark, spec).filter("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("timed_jobs", """
+SELECT 'orders' AS job, count(*) AS rows, true AS timed FROM orders
+UNION ALL SELECT 'open orders', count(*), true FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT 'lines by flag', count(DISTINCT l_returnflag), true FROM lineitem
+""")
+def q_timed_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Three jobs, each run once, with the rows that it gave and whether its
+    time was taken (the time itself is different on every run)."""
+    orders = read_table(spark, d, "orders")
+    done = [run_timed("orders", lambda: orders), run_timed("open orders", lambda: orders.filter("o_orderstatus = 'O'")),
+            run_timed("lines by flag", lambda: read_table(spark, d, "lineitem").groupBy("l_returnflag").count())]
+    report = spark.createDataFrame([(r["job"], r["rows"], r["seconds"]) for r in done], "job string, rows long, seconds double")
+    return report.select("job", "rows", (F.col("seconds") > 0).alias("timed"))
