@@ -2,11 +2,14 @@
 
 Counts are taken inside each row with array functions, so no word or window
 leaves its row. Transformed statistics of the documents that pass the base
-rules form a vector; for each language and source the minimum-covariance-
-determinant estimate starts from medians and median deviations and improves by
-concentration steps (keep the nearest share of the rows, estimate again).
-Documents far out by Mahalanobis distance are rejected. Estimates are small
-rows per group; document rows are read again for each step, never gathered.
+rules form a vector. For each language and source, each language
+and all together a minimum-covariance-determinant estimate is made: several
+fixed starts improve by concentration steps (keep the nearest share of the
+rows, estimate again) until no determinant falls, and the smallest one counts.
+An estimate is drawn towards that of the next larger group by its number of
+rows, so no size decides which one is used. Documents far out by Mahalanobis
+distance are rejected. Estimates are small rows per group; document rows are
+read again for each step, never gathered.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from tidewater.llm.common import SPACES, text_of, written
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
-#: Smaller groups are estimated with the others of their language, and those
-#: again, if still smaller, with all others.
+#: A group of n rows has the weight n / (n + GROUP_ROWS) beside the estimate of
+#: its language, and a language beside that of all rows.
 GROUP_ROWS = 200
-#: Share of a group's rows that a concentration step keeps.
-SHARE = 0.75
-STEPS = 3
+#: Share of a group's rows that a concentration step keeps, that of the inner
+#: start, and the most steps (the determinant falls with each).
+SHARE, CORE, STEPS = 0.75, 0.5, 12
+#: Rank error of the cuts: one part of so many of a group's rows.
+ACCURACY = 100_000
 #: Statistics: (name, least standard deviation). The floors keep a statistic
 #: that is equal in most documents from rejecting all others.
 STATISTICS = [("x_length", 0.08), ("x_symbols", 0.35), ("x_lines", 0.6), ("x_repeat", 0.6)]
@@ -109,13 +114,32 @@ def factors(moments: DataFrame, floors: list[float], scale: float, by: list[str]
                       *[f"l{i}{j}" for i in range(p) for j in range(i)])
 
 
+def moments(rows: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    p = len(names)
+    return rows.groupBy(*by).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)],
+                                 *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+
+
+def nearest(rows: DataFrame, now: DataFrame, names: list[str], by: list[str], share: float) -> DataFrame:
+    """The ``share`` of each group's rows that is nearest by the factors ``now``."""
+    far = rows.join(now, by[0]).select(*by, *names, distance(names).alias("d"))
+    limit = written(far.groupBy(*by).agg(F.percentile_approx("d", share, ACCURACY).alias("limit")), "mcd")
+    return far.join(limit, by).filter("d <= limit")
+
+
 def robust_estimates(rows: DataFrame, by: str, names: list[str], floors: list[float],
                      share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant factors of each value of ``by``.
+    """Minimum-covariance-determinant factors of each value of ``by``, with the
+    logarithm of the determinant (``det``).
+
+    Three starts: medians and median deviations, the moments of all rows, and
+    those of the half that is nearest to the first. All take concentration
+    steps until no group's determinant falls (``steps`` at most); the smallest
+    determinant of a group is its estimate.
 
-    What is estimated (a row for each group) is written before it is joined to
-    the rows: the planner then knows its size and broadcasts it while it is
-    small, and no row of a hot group has to move.
+    What is estimated (a row for each group and start) is written before it is
+    joined to the rows: the planner then knows its size and broadcasts it while
+    it is small, and no row of a hot group has to move.
     """
     p = len(names)
     middle = written(rows.groupBy(by).agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(names)]), "mcd")
@@ -126,17 +150,49 @@ def robust_estimates(rows: DataFrame, by: str, names: list[str], floors: list[fl
         start = start.withColumn(f"c{i}{i}", (F.col(f"s{i}") * 1.4826) ** 2)
         for j in range(i):
             start = start.withColumn(f"c{i}{j}", F.lit(0.0))
-    now = written(factors(start, floors, 1.0, [by]), "mcd")
-    scale = consistency(share, p)
+    median = written(factors(start, floors, 1.0, [by]), "mcd")
+    plain = factors(moments(rows, names, [by]), floors, 1.0, [by])
+    core = factors(moments(nearest(rows, median, names, [by], CORE), names, [by]), floors, consistency(CORE, p), [by])
+    starts = [one.withColumn("start", F.lit(k)) for k, one in enumerate((median, plain, core))]
+    now = written(starts[0].unionByName(starts[1]).unionByName(starts[2]).withColumn("det", F.lit(float("inf"))), "mcd")
+    scale, det = consistency(share, p), sum((F.log(f"v{i}") for i in range(p)), F.lit(0.0))
+    both = [by, "start"]
+    fields = ["det", *[c for c in now.columns if c not in (*both, "det")]]
     for _ in range(steps):
-        far = rows.join(now, by).select(by, *names, distance(names).alias("d"))
-        limit = written(far.groupBy(by).agg(F.percentile_approx("d", share).alias("limit")), "mcd")
-        near = far.join(limit, by).filter("d <= limit")
-        moments = near.groupBy(by).agg(
-            *[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)],
-            *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
-        now = written(factors(moments, floors, scale, [by]), "mcd")
-    return now
+        step = factors(moments(nearest(rows, now, names, both, share), names, both), floors, scale, both).withColumn("det", det)
+        # A step that does not lower the determinant is not taken.
+        pair = now.select(*both, F.struct(*fields).alias("old")).join(step.select(*both, F.struct(*fields).alias("new")), both)
+        falls = F.col("new.det") < F.col("old.det") - 1e-9
+        after = written(pair.select(*both, F.when(falls, F.col("new")).otherwise(F.col("old")).alias("best"), falls.alias("falls")), "mcd")
+        now = after.select(*both, "best.*")
+        if after.filter("falls").isEmpty():
+            break
+    best = now.groupBy(by).agg(F.min(F.struct("det", "start", *fields[1:])).alias("best"))
+    return best.select(by, "best.*").drop("start")
+
+
+def covariances(p: int) -> dict[str, Column]:
+    """c_ij (j <= i) of the covariance that has the triangular factors."""
+    def below(i: int, j: int) -> Column:
+        return F.lit(1.0) if i == j else F.col(f"l{i}{j}")
+
+    return {f"c{i}{j}": sum((below(i, k) * below(j, k) * F.col(f"v{k}") for k in range(j + 1)), F.lit(0.0)) for i in range(p) for j in range(i + 1)}
+
+
+def drawn(groups: DataFrame, estimates: DataFrame, levels: list[str], p: int, group_rows: int) -> DataFrame:
+    """Factors for each row of ``groups``: the estimate of its first level (a
+    column that names it) drawn towards that of the next one, and so on, by
+    the number of rows ``n`` of each."""
+    known = estimates.select("grp", "n", *[f"m{i}" for i in range(p)], *[c.alias(x) for x, c in covariances(p).items()])
+    numbers = known.columns[2:]
+    out, value = groups, {}
+    for k, level in enumerate(levels):
+        out = out.join(known.select(F.col("grp").alias(level), F.col("n").alias(f"n_{k}"), *[F.col(x).alias(f"{x}_{k}") for x in numbers]), level)
+    for k in reversed(range(len(levels))):
+        weight = F.col(f"n_{k}") / (F.col(f"n_{k}") + group_rows)
+        value = {x: F.col(f"{x}_{k}") * weight + value[x] * (1 - weight) if value else F.col(f"{x}_{k}") for x in numbers}
+    # The floors are in the covariances already.
+    return factors(out.select(*groups.columns, *[value[x].alias(x) for x in numbers]), [1e-6] * p, 1.0, groups.columns)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -162,18 +218,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.log1p(100.0 * F.col("n_repeat_words") / (F.col("n_words") + 100)).alias("x_repeat")), "rules")
     names, floors = [n for n, _ in STATISTICS], [f for _, f in STATISTICS]
     key = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
-    sized = (rows.filter("not base_failed").groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("full", F.col("n") >= group_rows))
-    rest = sized.filter("not full").groupBy("_lang").agg(F.sum("n").alias("others"))
-    groups = sized.join(rest.withColumnRenamed("_lang", "_l"), F.col("_lang").eqNullSafe(F.col("_l")), "left").select(
-        F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"),
-        F.when(F.col("full"), key("_lang", "_source")).when(F.col("others") >= group_rows, key("_lang")).otherwise("all").alias("grp"))
-    groups = written(groups, "groups")
     sound = rows.filter("not base_failed")
+    levels = {"g0": key("_lang", "_source"), "g1": key("_lang"), "g2": F.lit("all")}
+    groups = sound.select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), *[c.alias(g) for g, c in levels.items()]).distinct()
+    placed = sound.select(F.explode(F.array(*levels.values())).alias("grp"), *names)
+    sizes = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    estimates = written(robust_estimates(placed, "grp", names, floors).join(sizes, "grp"), "estimates")
+    model = written(drawn(groups, estimates, list(levels), len(names), group_rows), "groups")
     member = F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))
-    placed = sound.join(groups, member)
-    model = robust_estimates(placed.select("grp", *names), "grp", names, floors)
-    judged = (rows.join(groups.join(model, "grp"), member & ~F.col("base_failed"), "left")
+    judged = (rows.join(model, member & ~F.col("base_failed"), "left")
               .withColumn("distance", distance(names)))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
