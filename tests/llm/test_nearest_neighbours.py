@@ -40,3 +40,27 @@ def test_edge_rows(spark, frame):
     assert by[50] == by[51] == by[52] == float(np.float32(model["labels"].mean()))
     assert quality.score(frame([]), model).count() == 0
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0), F.lit(True))).collect()} == {0.5}
+
+
+def test_leading_directions_like_a_full_decomposition():
+    rng = np.random.default_rng(3)
+    w = (rng.normal(size=(300, 60)) * 0.8 ** np.arange(60)).astype(np.float32)
+    got = quality.leading(w, 10)
+    assert np.allclose(got.T @ got, np.eye(10), atol=1e-4)
+    full = np.linalg.svd(w, full_matrices=False)[2][:10].T
+    assert np.allclose(got @ got.T, full @ full.T, atol=1e-2)
+
+
+def test_words_of_one_shape_are_different_terms():
+    a, b, c = quality.term_counts(pa.array(["plain words here", "dreck texts junk", "plain words here"]))
+    assert (a[:quality.WORDS] == quality.term_counts(pa.array(["other terms less"]))[0][:quality.WORDS]).all()
+    assert (a == c).all() and (a[quality.WORDS:] != b[quality.WORDS:]).any()
+    assert a[quality.WORDS:].sum() == 3
+
+
+def test_votes_of_ties_have_no_order(spark, frame):
+    """Thirty equal labelled documents, half of each label: all of them vote."""
+    docs = frame([(i, "the very same text of every document") for i in range(30)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True))
+    assert {round(r.score, 6) for r in quality.score(docs, model, neighbours=5).collect()} == {0.5}

@@ -1,7 +1,7 @@
 """Quality scores by nearest neighbours in a latent space.
 
-A document's terms are the shapes of its words (letters as a or A, digits as
-0), of neighbouring words, its word lengths and its repetitions. Latent
+A document's terms are its words, their shapes (letters as a or A, digits as
+0), shapes of neighbouring words, word lengths and repetitions. Latent
 semantic analysis of a bounded labelled sample (TF-IDF weights, truncated
 singular value decomposition) gives each labelled document a short vector.
 These vectors go to all tasks; each task compares blocks of its documents with
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import coded_words, hash_fraction, hashed, one_text, repetition, shapes_of, slices, text_of
 
 #: Size of the term space, and of the latent space.
-TERMS, LATENT = 2048, 48
+TERMS, LATENT = 2560, 48
+#: Terms from here on are hashed words.
+WORDS = 2048
 #: Labelled documents of each class that are fitted and compared with, on average.
 CLASS_ROWS = 2_000
 NEIGHBOURS = 25
@@ -45,6 +47,8 @@ def term_counts(texts: pa.Array) -> np.ndarray:
         near = doc[1:] == doc[:-1]
         keys.append((doc[1:] * TERMS + 900 + (h[:-1] * 31 + h[1:] * 7) % 1000)[near])
     keys.append(doc * TERMS + 1900 + np.minimum(length[codes], 40))
+    word = ((hashed(words) >> np.uint64(20)) % np.uint64(TERMS - WORDS)).astype(np.int64)
+    keys.append(doc * TERMS + WORDS + word[codes])
     out = np.bincount(np.concatenate(keys), minlength=rows * TERMS).reshape(rows, TERMS).astype(np.float32)
     out[:, 1950], out[:, 1951] = 8 * stutter, 8 * again
     return out
@@ -62,6 +66,16 @@ def latent(counts: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray
     return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
 
+def leading(w: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """The first ``k`` right singular vectors of ``w``, by subspace iteration
+    from a fixed start with a few vectors more."""
+    q = np.random.default_rng(7).normal(size=(w.shape[1], min(k + 16, w.shape[1]))).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(w.T @ (w @ q))[0]
+    values, turn = np.linalg.eigh((w @ q).T @ (w @ q))
+    return (q @ turn[:, np.argsort(-values)[:k]]).astype(np.float32)
+
+
 def blocks(texts: pa.Array):
     """(start, end) of blocks of a bounded number of texts and bytes."""
     for i, j in slices(texts):
@@ -91,8 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, label_col: str = "
         x, y = np.concatenate(parts), np.concatenate(ys)
         idf = np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1)).astype(np.float32) + 1
         w = weighted(x, idf)
-        values, vectors = np.linalg.eigh(w.T @ w)
-        basis = vectors[:, np.argsort(-values)[:LATENT]].astype(np.float32)
+        basis = leading(w, LATENT)
         z = latent(x, idf, basis)
         yield pa.RecordBatch.from_arrays([pa.array([a.astype("<f4").tobytes()]) for a in (idf, basis, z, y)],
                                          names=["idf", "basis", "vectors", "labels"])
