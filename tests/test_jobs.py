@@ -117,3 +117,37 @@ def test_history_job(spark, sf_small):
     jobs.history(spark, logs, out)
     rows = spark.read.parquet(out).collect()
     assert len(rows) == 1 and rows[0].n_tasks == 2
+
+
+def _main(monkeypatch, spark, *args):
+    monkeypatch.setattr(jobs, "get_spark", lambda name: spark)
+    jobs.main(list(args))
+
+
+def test_dedup_windows_and_silent_jobs(monkeypatch, spark, capsys):
+    root = shared_dir(spark, "test-stream-jobs")
+
+    def line(i, minute, user):
+        return (f'{{"event_id":{i},"ts":"2024-01-01T{minute // 60:02}:{minute % 60:02}:00","user_id":{user},'
+                f'"event_type":"view","value":1.5,"props":"{{}}"}}',)
+
+    rows = [line(1, 0, 1), line(1, 0, 1), line(2, 10, 1), line(3, 200, 2), line(4, 700, 3)]
+    spark.createDataFrame(rows, "value string").write.text(root + "/in")
+    common = lambda job: (job, "--source", root + "/in", "--format", "text", "--out", f"{root}/{job}", "--checkpoint", f"{root}/ck-{job}", "--delay", "10 minutes")
+    _main(monkeypatch, spark, *common("dedup"))
+    assert "rows=5" in (out := capsys.readouterr().out) and "repeats=1" in out
+    assert sorted(r.event_id for r in spark.read.parquet(root + "/dedup").collect()) == [1, 2, 3, 4]
+    _main(monkeypatch, spark, *common("windows"), "--size", "1 hour")
+    got = {(r.window_start.hour, r.event_type): (r.n, float(r.total_value)) for r in spark.read.parquet(root + "/windows").collect()}
+    assert got == {(0, "view"): (3, 4.5), (3, "view"): (1, 1.5)}
+    _main(monkeypatch, spark, *common("silent"), "--quiet", "1 hour")
+    assert sorted((r.user_id, r.n_events) for r in spark.read.parquet(root + "/silent").collect()) == [(1, 3), (2, 1)]
+
+
+def test_csvlines_job(monkeypatch, spark, capsys):
+    root = shared_dir(spark, "test-csvlines-job")
+    spark.createDataFrame([("id,name\n1,a\n2\nx,c",)], "value string").coalesce(1).write.text(root + "/in")
+    _main(monkeypatch, spark, "csvlines", "--path", root + "/in", "--schema", "id INT, name STRING", "--out", root + "/out")
+    assert [tuple(r) for r in spark.read.parquet(root + "/out/rows").collect()] == [(1, "a")]
+    assert sorted((r.corrupt_line, r.reason) for r in spark.read.parquet(root + "/out/broken").collect()) == [("2", "short"), ("x,c", "type")]
+    assert "n_broken" in capsys.readouterr().out

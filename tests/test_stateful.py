@@ -79,18 +79,29 @@ def test_dedup_without_key_or_time(spark):
     assert {r._whole for r in feed.out().collect()} == {7}
 
 
-def test_dedup_with_rocksdb(spark):
+@pytest.fixture
+def rocksdb(spark):
     before = {k: spark.conf.get(k, None) for k in ROCKSDB}
     for k, v in ROCKSDB.items():
         spark.conf.set(k, v)
-    try:
-        feed = Feed(spark, dedup)
-        feed.deliver((1, 0, "a", 1), (2, 5, "a", 1))
-        assert feed.deliver((2, 5, "a", 1), (3, 6, "a", 1))["repeats"] == 1
-        assert sorted(r.id for r in feed.out().collect()) == [1, 2, 3]
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_state_in_rocksdb(spark, rocksdb):
+    feed = Feed(spark, dedup)
+    feed.deliver((1, 0, "a", 1), (2, 5, "a", 1))
+    assert feed.deliver((2, 5, "a", 1), (3, 6, "a", 1))["repeats"] == 1
+    assert sorted(r.id for r in feed.out().collect()) == [1, 2, 3]
+    feed = Feed(spark, lambda s: silent_keys(s, "user", "ts", "20 minutes", "5 minutes"))
+    feed.deliver((1, 0, "a", 1), (2, 10, "b", 1))
+    feed.deliver((3, 5, "a", 1), (4, 100, "c", 1))
+    assert sorted((r.user, r.silent_at) for r in feed.out().collect()) == [("a", at(25)), ("b", at(30))]
+    feed = Feed(spark, pairs)
+    feed.deliver((1, 0, "a", 1))
+    feed.deliver((2, 20, "a", 2))
+    assert [(r.l, r.r) for r in feed.out().collect()] == [(1, 2)]
 
 
 def totals():

@@ -8,6 +8,14 @@
                                       [--trigger "30 seconds" | availableNow]
     python -m tidewater.jobs validate (--source <folder> | --kafka <servers> [--topic raw-events])
                                       --out <folder> --checkpoint <folder> [--trigger ...]
+    python -m tidewater.jobs dedup    (--source <folder> | --kafka <servers>) --out <folder> --checkpoint <folder>
+                                      --delay "10 minutes" [--key event_id]
+    python -m tidewater.jobs windows  (--source <folder> | --kafka <servers>) --out <folder> --checkpoint <folder>
+                                      --delay "10 minutes" (--size "1 hour" [--slide "10 minutes"] | --gap "30 minutes")
+                                      [--by event_type,user_id]
+    python -m tidewater.jobs silent   (--source <folder> | --kafka <servers>) --out <folder> --checkpoint <folder>
+                                      --delay "10 minutes" --quiet "1 hour" [--key user_id]
+    python -m tidewater.jobs csvlines --path <csv folder> --schema "id INT, name STRING" --out <folder>
     python -m tidewater.jobs history  --logs <event-log folder> --out <folder>
     python -m tidewater.jobs sql      --data-dir <folder of parquet tables>
                                       (--query "<SQL>" | --file <file.sql>) [--out <folder>]
@@ -24,6 +32,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewater.operators import (agg_by_map, app_summary, describe_schema, range_stats,
                                  reconcile, word_count)
@@ -32,7 +41,9 @@ from tidewater.session import get_spark
 from tidewater.sources.files import parquet_names
 from tidewater.sources import (EventSourceSpec, SourceSpec, event_source, load_source,
                                read_event_log)
-from tidewater.streaming import bronze_ingest, decode_events, validate_stream
+from tidewater.sources.csvlines import broken_lines, csv_report, read_csv_lines, sound_rows
+from tidewater.streaming import (append_stream, bronze_ingest, decode_events, first_deliveries, session_totals, silent_keys,
+                                 stream_counts, validate_stream, window_totals)
 
 
 def counter(spark: SparkSession, n: int = 100_000, parts: int = 10) -> dict:
@@ -105,6 +116,52 @@ def validate(spark: SparkSession, source: str | None, out: str, checkpoint: str,
     validate_stream(stream, out, checkpoint, trigger=trigger).awaitTermination()
 
 
+def _append(stream: DataFrame, out: str, checkpoint: str, trigger: str | None) -> dict:
+    """Run an append stream to its end (or for good) and print its counts."""
+    q = append_stream(stream, out, checkpoint, trigger)
+    q.awaitTermination()
+    counts = stream_counts(q)
+    print(" ".join(f"{k}={v:,}" for k, v in counts.items()))
+    return counts
+
+
+def dedup(spark: SparkSession, spec: EventSourceSpec, out: str, checkpoint: str, delay: str,
+          key: str = "event_id", trigger: str | None = None) -> dict:
+    """Events without repeated deliveries; the counts of repeats and of rows
+    that came too late are printed."""
+    events = events_of(spark, spec, keep_raw=True)
+    return _append(first_deliveries(events, key.split(","), "ts", delay), out, checkpoint, trigger)
+
+
+def windows(spark: SparkSession, spec: EventSourceSpec, out: str, checkpoint: str, delay: str, size: str | None = None,
+            slide: str | None = None, gap: str | None = None, by: str = "event_type", trigger: str | None = None) -> dict:
+    """Number and sum of values per window (``size``, ``slide``) or session
+    (``gap``) and the columns of ``by``, each written once it is closed."""
+    keys = [k for k in by.split(",") if k]
+    totals = {"n": F.count(F.lit(1)), "total_value": F.sum(F.col("value").cast("decimal(18,2)"))}
+    events = events_of(spark, spec)
+    out_rows = session_totals(events, "ts", delay, totals, gap, keys) if gap else window_totals(events, "ts", delay, totals, size, slide, keys)
+    return _append(out_rows, out, checkpoint, trigger)
+
+
+def silent(spark: SparkSession, spec: EventSourceSpec, out: str, checkpoint: str, delay: str, quiet: str,
+           key: str = "user_id", trigger: str | None = None) -> dict:
+    """Keys without an event for ``quiet``, once per silence."""
+    return _append(silent_keys(events_of(spark, spec), key, "ts", quiet, delay), out, checkpoint, trigger)
+
+
+def csvlines(spark: SparkSession, path: str, schema: str, out: str) -> DataFrame:
+    """A CSV folder with a header per file, read with a declared schema: sound
+    rows under ``rows``, lines that don't fit under ``broken``, and the number
+    of both per file shown."""
+    lines = read_csv_lines(spark, path, StructType.fromDDL(schema))
+    sound_rows(lines).write.mode("overwrite").parquet(f"{out}/rows")
+    broken_lines(lines).write.mode("overwrite").parquet(f"{out}/broken")
+    report = csv_report(lines)
+    report.orderBy("source_file").show(truncate=False)
+    return report
+
+
 def history(spark: SparkSession, logs: str, out: str) -> None:
     """Per-application summaries of an event-log folder written as parquet."""
     app_summary(read_event_log(spark, logs)).write.mode("overwrite").parquet(out)
@@ -158,6 +215,31 @@ def main(argv=None) -> None:
         sink.add_argument("--out")
         if name == "bronze":
             sink.add_argument("--table")
+    for name in ("dedup", "windows", "silent"):
+        b = sub.add_parser(name)
+        where = b.add_mutually_exclusive_group(required=True)
+        where.add_argument("--source")
+        where.add_argument("--kafka", help="bootstrap servers")
+        b.add_argument("--topic", default="raw-events")
+        b.add_argument("--format", default="parquet")
+        b.add_argument("--out", required=True)
+        b.add_argument("--checkpoint", required=True)
+        b.add_argument("--delay", required=True)
+        b.add_argument("--trigger", default=None)
+        if name == "windows":
+            kind = b.add_mutually_exclusive_group(required=True)
+            kind.add_argument("--size")
+            kind.add_argument("--gap")
+            b.add_argument("--slide", default=None)
+            b.add_argument("--by", default="event_type")
+        else:
+            b.add_argument("--key", default="event_id" if name == "dedup" else "user_id")
+        if name == "silent":
+            b.add_argument("--quiet", required=True)
+    v = sub.add_parser("csvlines")
+    v.add_argument("--path", required=True)
+    v.add_argument("--schema", required=True)
+    v.add_argument("--out", required=True)
     h = sub.add_parser("history")
     h.add_argument("--logs", required=True)
     h.add_argument("--out", required=True)
@@ -186,6 +268,16 @@ def main(argv=None) -> None:
         bronze(spark, a.source, a.out, a.checkpoint, a.trigger, a.format, a.kafka, a.topic, a.table)
     elif a.job == "validate":
         validate(spark, a.source, a.out, a.checkpoint, a.trigger, a.format, a.kafka, a.topic)
+    elif a.job in ("dedup", "windows", "silent"):
+        to = (event_spec(a.source, a.kafka, a.topic, a.format), a.out, a.checkpoint, a.delay)
+        if a.job == "dedup":
+            dedup(spark, *to, key=a.key, trigger=a.trigger)
+        elif a.job == "silent":
+            silent(spark, *to, quiet=a.quiet, key=a.key, trigger=a.trigger)
+        else:
+            windows(spark, *to, size=a.size, slide=a.slide, gap=a.gap, by=a.by, trigger=a.trigger)
+    elif a.job == "csvlines":
+        csvlines(spark, a.path, a.schema, a.out)
     elif a.job == "history":
         history(spark, a.logs, a.out)
     elif a.job == "sql":
