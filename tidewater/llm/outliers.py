@@ -29,6 +29,8 @@ GROUP_ROWS = 200
 #: Share of a group's rows that a concentration step keeps, that of the inner
 #: start, and the most steps (the determinant falls with each).
 SHARE, CORE, STEPS = 0.75, 0.5, 12
+#: What the logarithm of a determinant falls by in a step that counts.
+LEAST = 1e-3
 #: Rank error of the cuts: one part of so many of a group's rows.
 ACCURACY = 100_000
 #: Statistics: (name, least standard deviation). The floors keep a statistic
@@ -160,9 +162,9 @@ def robust_estimates(rows: DataFrame, by: str, names: list[str], floors: list[fl
     fields = ["det", *[c for c in now.columns if c not in (*both, "det")]]
     for _ in range(steps):
         step = factors(moments(nearest(rows, now, names, both, share), names, both), floors, scale, both).withColumn("det", det)
-        # A step that does not lower the determinant is not taken.
+        # A step that does not lower the determinant by LEAST is not taken.
         pair = now.select(*both, F.struct(*fields).alias("old")).join(step.select(*both, F.struct(*fields).alias("new")), both)
-        falls = F.col("new.det") < F.col("old.det") - 1e-9
+        falls = F.col("new.det") < F.col("old.det") - LEAST
         after = written(pair.select(*both, F.when(falls, F.col("new")).otherwise(F.col("old")).alias("best"), falls.alias("falls")), "mcd")
         now = after.select(*both, "best.*")
         if after.filter("falls").isEmpty():
