@@ -194,23 +194,25 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end:
     meets in the point's bucket of the span's width only, so none is found
     twice. Choose ``bucket_seconds`` about as long as common spans. NULL
     times match nothing."""
-    width, bucket, w, b = unused_names("_width _bucket _w _b", points, spans)
-    from_, to = _epoch_seconds(spans, start), _epoch_seconds(spans, end)
-    whole = spans.filter(F.col(start) < F.col(end))
+    width, bucket, w, b, first, last, length = unused_names("_width _bucket _w _b _first _last _length", points, spans)
+    whole = (spans.filter(F.col(start) < F.col(end))
+             .withColumns({first: _epoch_seconds(spans, start), last: _epoch_seconds(spans, end)})
+             .withColumn(length, F.col(last) - F.col(first)))
     # The least k with bucket_seconds * 16^k >= length, by comparison alone.
     steps = [bucket_seconds * WIDTH_STEP ** k for k in range(16) if bucket_seconds * WIDTH_STEP ** k < 2 ** 62]
     size = F.lit(steps[-1]).cast("bigint")
     for step in reversed(steps):
-        size = F.when(to - from_ <= step, F.lit(step).cast("bigint")).otherwise(size)
+        size = F.when(F.col(length) <= step, F.lit(step).cast("bigint")).otherwise(size)
     sized = whole.withColumn(width, size)
-    copied = sized.withColumn(bucket, F.explode(F.sequence(F.floor(from_ / F.col(width)).cast("bigint"), F.floor(to / F.col(width)).cast("bigint"))))
+    copied = sized.withColumn(bucket, F.explode(F.sequence(
+        F.floor(F.col(first) / F.col(width)).cast("bigint"), F.floor(F.col(last) / F.col(width)).cast("bigint"))))
     # At most as many values as there are widths, read once for all points.
     used = sized.agg(F.collect_set(width)).scalar()
     placed = (points.filter(F.col(point).isNotNull()).withColumn(w, F.explode(used))
               .withColumn(b, F.floor(_epoch_seconds(points, point) / F.col(w)).cast("bigint")))
     inside = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
     return (placed.join(copied, (F.col(w) == F.col(width)) & (F.col(b) == F.col(bucket))).filter(inside)
-            .drop(width, bucket, w, b))
+            .drop(width, bucket, w, b, first, last, length))
 
 
 def delete_by_key(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
