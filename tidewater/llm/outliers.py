@@ -31,6 +31,9 @@ GROUP_ROWS = 200
 SHARE, CORE, STEPS = 0.75, 0.5, 12
 #: What the logarithm of a determinant falls by in a step that counts.
 LEAST = 1e-3
+#: Groups whose estimates (a few hundred bytes each) are broadcast; with more of
+#: them the planner chooses by the size of the table.
+SENT_GROUPS = 50_000
 #: Rank error of the cuts: one part of so many of a group's rows.
 ACCURACY = 100_000
 #: Statistics: (name, least standard deviation). The floors keep a statistic
@@ -116,17 +119,24 @@ def factors(moments: DataFrame, floors: list[float], scale: float, by: list[str]
                       *[f"l{i}{j}" for i in range(p) for j in range(i)])
 
 
+def sender(rows: DataFrame, by: list[str]):
+    """What to do with a table of one row per group (and start) before rows are
+    joined to it: broadcast it if the groups, which are counted, are few."""
+    few = rows.select(*by).distinct().limit(SENT_GROUPS + 1).count() <= SENT_GROUPS
+    return F.broadcast if few else lambda table: table
+
+
 def moments(rows: DataFrame, names: list[str], by: list[str]) -> DataFrame:
     p = len(names)
     return rows.groupBy(*by).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)],
                                  *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
 
 
-def nearest(rows: DataFrame, now: DataFrame, names: list[str], by: list[str], share: float) -> DataFrame:
+def nearest(rows: DataFrame, now: DataFrame, names: list[str], by: list[str], share: float, send) -> DataFrame:
     """The ``share`` of each group's rows that is nearest by the factors ``now``."""
-    far = rows.join(now, by[0]).select(*by, *names, distance(names).alias("d"))
+    far = rows.join(send(now), by[0]).select(*by, *names, distance(names).alias("d"))
     limit = written(far.groupBy(*by).agg(F.percentile_approx("d", share, ACCURACY).alias("limit")), "mcd")
-    return far.join(limit, by).filter("d <= limit")
+    return far.join(send(limit), by).filter("d <= limit")
 
 
 def robust_estimates(rows: DataFrame, by: str, names: list[str], floors: list[float],
@@ -140,12 +150,12 @@ def robust_estimates(rows: DataFrame, by: str, names: list[str], floors: list[fl
     determinant of a group is its estimate.
 
     What is estimated (a row for each group and start) is written before it is
-    joined to the rows: the planner then knows its size and broadcasts it while
-    it is small, and no row of a hot group has to move.
+    joined to the rows, and broadcast if the groups are few: no row of a hot
+    group has to move.
     """
-    p = len(names)
+    p, send = len(names), sender(rows, [by])
     middle = written(rows.groupBy(by).agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(names)]), "mcd")
-    spread = (rows.join(middle, by).groupBy(by)
+    spread = (rows.join(send(middle), by).groupBy(by)
               .agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, x in enumerate(names)]))
     start = middle.join(spread, by)
     for i in range(p):
@@ -154,14 +164,14 @@ def robust_estimates(rows: DataFrame, by: str, names: list[str], floors: list[fl
             start = start.withColumn(f"c{i}{j}", F.lit(0.0))
     median = written(factors(start, floors, 1.0, [by]), "mcd")
     plain = factors(moments(rows, names, [by]), floors, 1.0, [by])
-    core = factors(moments(nearest(rows, median, names, [by], CORE), names, [by]), floors, consistency(CORE, p), [by])
+    core = factors(moments(nearest(rows, median, names, [by], CORE, send), names, [by]), floors, consistency(CORE, p), [by])
     starts = [one.withColumn("start", F.lit(k)) for k, one in enumerate((median, plain, core))]
     now = written(starts[0].unionByName(starts[1]).unionByName(starts[2]).withColumn("det", F.lit(float("inf"))), "mcd")
     scale, det = consistency(share, p), sum((F.log(f"v{i}") for i in range(p)), F.lit(0.0))
     both = [by, "start"]
     fields = ["det", *[c for c in now.columns if c not in (*both, "det")]]
     for _ in range(steps):
-        step = factors(moments(nearest(rows, now, names, both, share), names, both), floors, scale, both).withColumn("det", det)
+        step = factors(moments(nearest(rows, now, names, both, share, send), names, both), floors, scale, both).withColumn("det", det)
         # A step that does not lower the determinant by LEAST is not taken.
         pair = now.select(*both, F.struct(*fields).alias("old")).join(step.select(*both, F.struct(*fields).alias("new")), both)
         falls = F.col("new.det") < F.col("old.det") - LEAST
@@ -228,7 +238,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     estimates = written(robust_estimates(placed, "grp", names, floors).join(sizes, "grp"), "estimates")
     model = written(drawn(groups, estimates, list(levels), len(names), group_rows), "groups")
     member = F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))
-    judged = (rows.join(model, member & ~F.col("base_failed"), "left")
+    send = sender(model, ["_gl", "_gs"])
+    judged = (rows.join(send(model), member & ~F.col("base_failed"), "left")
               .withColumn("distance", distance(names)))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
