@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 from tidewater.operators.payloads import merged_schema, parse_payloads, payload_fields, payload_report
 from tidewater.operators.reach import reachable
 from tidewater.operators.sketches import rank_errors, read_sketches, sketch_rows, unite_sketches
+from tidewater.plans import QUERIES
+from tidewater.plans.sql import run_sql
 from tidewater.session import shared_dir
 from tidewater.sources.catalog import ensure_database
 from tidewater.sources.csvlines import broken_lines, csv_report, read_csv_lines, sound_rows
@@ -168,6 +170,21 @@ def test_reach_equals_a_walk(spark):
     assert reachable(df, roots.limit(0), "a", "b", "n").count() == 0
 
 
+def test_sql_recursion_is_not_cut_by_its_rows(spark):
+    folder, limit = shared_dir(spark, "test-recursion"), "spark.sql.cteRecursionRowLimit"
+    spark.range(300).withColumnRenamed("id", "p_partkey").write.parquet(f"{folder}/part.parquet")
+    unset = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "100")  # a million unless set
+        got = sorted(map(tuple, QUERIES["sql_recursive"](spark, folder).collect()))
+        assert spark.conf.get(limit) == "100" and not spark.catalog.tableExists("part")
+    finally:
+        spark.conf.unset(limit)
+    assert run_sql(spark, "SELECT 1 AS x", settings={limit: "-1"}).first().x == 1
+    assert spark.conf.get(limit) == unset != "-1"
+    assert got == [(k, min(2 ** (k + 1), 300) - 2 ** k, 2 ** k, min(2 ** (k + 1), 300) - 1) for k in range(9)]
+
+
 def test_a_timed_job_reports_rows_and_time(spark):
     from tidewater.operators.timing import run_timed
     r = run_timed("ten", lambda: spark.range(10).filter("id > 3"))
