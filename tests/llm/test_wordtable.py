@@ -101,6 +101,37 @@ def test_blocks_are_not_shuffled(spark, documents):
     assert "Bucketed: true" in final
 
 
+def test_blocks_are_written_in_rows(spark, frame):
+    """However large a block, a row has only what is split at once, and the
+    own words that no row of the block had before."""
+    docs = frame([(k, " ".join(f"w{k}x{m} the" for m in range(7000))) for k in range(60)]).coalesce(1)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("t"))
+    text_bytes = rows.agg(F.sum(F.octet_length("t"))).first()[0]
+    assert text_bytes > 2 * wordtable.SPLIT_BYTES
+    blocks = wordtable.blocks_of(rows, (public_tokenizers.PATTERN, SPECIALS), [" the"], 1 << 30).collect()
+    assert len({b.block for b in blocks}) == 1
+    assert len(blocks) >= text_bytes // wordtable.SPLIT_BYTES
+    blocks.sort(key=lambda b: b.first)
+    own = [w for b in blocks for w in b.words]
+    assert len(own) == len(set(own))
+    assert [b.first for b in blocks] == np.r_[0, np.cumsum([len(b.words) for b in blocks])][:-1].tolist()
+    texts = {r.doc_id: r.t for r in rows.collect()}
+    for b in blocks:
+        numbers = wordtable.unpacked(b.numbers, sum(b.n_words))
+        words = [" the" if k == 0 else own[k - 1] for k in numbers.tolist()]
+        assert "".join(words) == "".join(texts[i] for i in b.doc_ids)
+    assert sorted(i for b in blocks for i in b.doc_ids) == sorted(texts)
+
+
+def test_block_of_several_rows_equals_the_library(spark, frame):
+    texts = {k: " ".join(f"w{m}x{k % 7} the" for m in range(6000)) for k in range(60)}
+    rows = wordtable.encode(frame(list(texts.items())).coalesce(1), PATH, public_tokenizers.PATTERN, frequent=3, decoded="back").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        assert list(r.ids) == ids_of(texts[r.doc_id])
+        assert r.back == texts[r.doc_id]
+
+
 def test_documents_table(spark, documents):
     got = by_id(QUERIES["op12_distinct_word_bpe"](spark, SF))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()

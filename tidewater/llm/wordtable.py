@@ -1,9 +1,9 @@
 """BPE encoding by a table of distinct words, and decoding by a table of pieces.
 
-Encoding. Tasks split whole texts into words and write one row per block of
-text: the number of every word in order (compressed), and the block's own
-distinct words. The distinct words of all blocks form one table, sorted by
-word, in which each word is encoded once by the library for all its places;
+Encoding. Tasks split whole texts into words and write blocks of text, some
+documents a row: the number of every word in order (compressed), and the
+block's own distinct words. The distinct words of all blocks form one table,
+sorted by word, in which each word is encoded once by the library for all its places;
 brought back to their blocks the ids are the block's dictionary, and the
 numbers of its words put them at their positions. Words of a frequent-word
 table (bounded, made from a sample of documents, encoded once as well) have
@@ -16,6 +16,7 @@ bound; tasks join ids with it and concatenate the pieces' bytes.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -34,7 +35,7 @@ from tidewater.llm.tokens import byte_alphabet
 from tidewater.session import shared_dir
 
 #: Bytes of text of a block (a single longer text is a block of its own), and
-#: bytes split at once.
+#: bytes split at once, which are a row of it.
 BLOCK_BYTES, SPLIT_BYTES = 32 << 20, 2 << 20
 #: Words whose ids are put in place at once.
 PLACE_WORDS = 1 << 19
@@ -43,7 +44,7 @@ FREQUENT, FREQUENT_BYTES, SAMPLE_DOCS = 200_000, 48, 20_000
 #: Ids decoded at once.
 DECODE_IDS = 1 << 21
 
-BLOCK = "block long, doc_ids array<long>, n_words array<int>, numbers binary, words array<string>"
+BLOCK = "block long, doc_ids array<long>, n_words array<int>, numbers binary, first int, words array<string>"
 
 
 class Splitter:
@@ -69,6 +70,15 @@ class Splitter:
         return [w for w in self.chunks(text) if w]
 
 
+def give_back() -> None:
+    """Return memory that is free, but kept by the allocators, to the system:
+    a worker keeps it from stage to stage, beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # GNU libc
+        trim(0)
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """32-bit numbers, first bytes first, compressed."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
@@ -109,37 +119,32 @@ def frequent_words(docs: DataFrame, splitter: tuple, most: int, sample: int) ->
 
 
 def blocks_of(docs: DataFrame, splitter: tuple, frequent: list[str], block_bytes: int) -> DataFrame:
-    """One row per block: its documents, their numbers of words, the number of
-    every word (below the frequent words' count: those; from there on: the
-    block's own words in turn), and its own words."""
+    """Rows of blocks: some documents of a block, their numbers of words, the
+    number of every word (below the frequent words' count: those; from there
+    on: the block's own words in turn), and the own words that no row of the
+    block had before, with the number of those that had been. Rows leave as
+    they are made, so a task holds a block's own words and no more of it."""
     def run(batches):
         split = Splitter(*splitter)
         fixed = {w: k for k, w in enumerate(frequent)}
         part, made = TaskContext.get().partitionId(), 0
-        ids, n_words, numbers, own, size = [], [], [], {}, 0
-
-        def block():
-            nonlocal made, ids, n_words, numbers, own, size
-            rows = pa.RecordBatch.from_arrays([
-                pa.array([part << 24 | made]), pa.array([ids], pa.list_(pa.int64())), pa.array([n_words], pa.list_(pa.int32())),
-                pa.array([packed(np.concatenate(numbers))], pa.binary()), pa.array([list(own)], pa.list_(pa.string())),
-            ], names=["block", "doc_ids", "n_words", "numbers", "words"])
-            made, ids, n_words, numbers, own, size = made + 1, [], [], [], {}, 0
-            return rows
-
+        own, size = {}, 0
         for b in batches:
             for i, j in slices(b.column(1), SPLIT_BYTES):
-                texts = b.column(1).slice(i, j - i)
+                texts, first = b.column(1).slice(i, j - i), len(own)
                 codes, words, n = flat_words(split, texts.to_pylist())
                 number = np.fromiter((fixed[w] if w in fixed else own.setdefault(w, len(fixed) + len(own)) for w in words), np.uint32, len(words))
-                ids += b.column(0).slice(i, j - i).to_pylist()
-                n_words += n
-                numbers.append(number[codes.to_numpy()])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([part << 24 | made]), pa.array([b.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([n], pa.list_(pa.int32())), pa.array([packed(number[codes.to_numpy()])], pa.binary()),
+                    pa.array([first], pa.int32()), pa.array([list(own)[first:]], pa.list_(pa.string())),
+                ], names=["block", "doc_ids", "n_words", "numbers", "first", "words"])
                 size += pc.sum(pc.binary_length(texts)).as_py()
                 if size >= block_bytes:
-                    yield block()
-        if ids:
-            yield block()
+                    made, own, size = made + 1, {}, 0
+                    give_back()
+        b = texts = codes = words = number = None  # else held until the generator ends
+        give_back()
 
     return docs.mapInArrow(run, BLOCK)
 
@@ -171,6 +176,7 @@ def encoded_places(words: DataFrame, spec: str) -> DataFrame:
             last, last_ids = (distinct[-1], ids[-1]) if distinct else (last, last_ids)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), at)))],
                                              names=["of_block", "pos", "ids"])
+        give_back()
 
     return (words.repartition("word").sortWithinPartitions("word").select("of_block", "pos", "word")
             .mapInArrow(run, "of_block long, pos int, ids binary"))
@@ -213,27 +219,30 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     blocks = bucketed(blocks_of(rows, splitter, common, block_bytes), "word_blocks", "block")
     spark = docs.sparkSession
-    words = spark.table(blocks).select(F.col("block").alias("of_block"), F.posexplode("words").alias("pos", "word"))
+    words = spark.table(blocks).select(F.col("block").alias("of_block"), "first", F.posexplode("words").alias("at", "word"))
+    words = words.withColumn("pos", F.col("first") + F.col("at"))
     pieces = padded_pieces(vocabulary) if decoded else None
     names = ["doc_id", "ids", *([decoded] if decoded else [])]
 
     def place(block: pa.Table, own: pa.Table) -> pa.Table:
-        own = own.sort_by("pos").column("ids").combine_chunks()
+        own = own.select(["pos", "ids"]).sort_by("pos").column("ids").combine_chunks()
         n = np.r_[fixed_n, pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64) // 4]
         ids = np.r_[fixed_ids, np.frombuffer(b"".join(own.to_pylist()), "<i4")].astype(np.int32)
-        begin = np.cumsum(n) - n
-        n_words = block.column("n_words").combine_chunks().flatten().to_numpy().astype(np.int64)
-        number = unpacked(block.column("numbers")[0].as_py(), n_words.sum())
-        ends, parts = np.r_[0, np.cumsum(n_words)], []
-        part = (ends[1:] - n_words) // PLACE_WORDS
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n_words)]
-        doc_ids = block.column("doc_ids").combine_chunks().flatten()
-        for i, j in zip(cuts, cuts[1:]):
-            some = number[ends[i]:ends[j]]
-            size = n[some]
-            total = np.r_[0, np.cumsum(size)][ends[i:j + 1] - ends[i]]
-            lists = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids[ragged(begin[some], size)]))
-            parts.append(pa.Table.from_arrays([doc_ids.slice(i, j - i), lists, *([joined_pieces(lists, pieces)] if decoded else [])], names=names))
+        begin, parts = np.cumsum(n) - n, []
+        for row in range(block.num_rows):
+            doc_ids, n_words = (block.column(c)[row].values for c in ("doc_ids", "n_words"))
+            n_words = n_words.to_numpy().astype(np.int64)
+            number = unpacked(block.column("numbers")[row].as_py(), n_words.sum())
+            ends = np.r_[0, np.cumsum(n_words)]
+            part = (ends[1:] - n_words) // PLACE_WORDS
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n_words)]
+            for i, j in zip(cuts, cuts[1:]):
+                some = number[ends[i]:ends[j]]
+                size = n[some]
+                total = np.r_[0, np.cumsum(size)][ends[i:j + 1] - ends[i]]
+                lists = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids[ragged(begin[some], size)]))
+                parts.append(pa.Table.from_arrays([doc_ids.slice(i, j - i), lists, *([joined_pieces(lists, pieces)] if decoded else [])], names=names))
+        give_back()
         return pa.concat_tables(parts)
 
     return (spark.table(blocks).select("block", "doc_ids", "n_words", "numbers").groupBy("block")
