@@ -176,6 +176,7 @@ def encoded_places(words: DataFrame, spec: str) -> DataFrame:
             last, last_ids = (distinct[-1], ids[-1]) if distinct else (last, last_ids)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), at)))],
                                              names=["of_block", "pos", "ids"])
+        encode = b = runs = distinct = new = ids = None  # else held until the generator ends
         give_back()
 
     return (words.repartition("word").sortWithinPartitions("word").select("of_block", "pos", "word")
@@ -225,6 +226,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     names = ["doc_id", "ids", *([decoded] if decoded else [])]
 
     def place(block: pa.Table, own: pa.Table) -> pa.Table:
+        give_back()
         own = own.select(["pos", "ids"]).sort_by("pos").column("ids").combine_chunks()
         n = np.r_[fixed_n, pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64) // 4]
         ids = np.r_[fixed_ids, np.frombuffer(b"".join(own.to_pylist()), "<i4")].astype(np.int32)
