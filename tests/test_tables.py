@@ -5,6 +5,7 @@ import json
 import random
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType
 from tidewater.operators.payloads import merged_schema, parse_payloads, payload_fields, payload_report
 from tidewater.operators.reach import reachable
 from tidewater.operators.sketches import rank_errors, read_sketches, sketch_rows, unite_sketches
-from tidewater.plans import QUERIES
+from tidewater.plans import ORACLE, QUERIES
 from tidewater.plans.sql import run_sql
 from tidewater.session import shared_dir
 from tidewater.sources.catalog import ensure_database
@@ -185,6 +186,22 @@ def test_sql_recursion_is_not_cut_by_its_rows(spark):
     assert got == [(k, min(2 ** (k + 1), 300) - 2 ** k, 2 ** k, min(2 ** (k + 1), 300) - 1) for k in range(9)]
 
 
+def test_sql_recursion_goes_to_the_last_level(spark):
+    folder, limit = shared_dir(spark, "test-levels"), "spark.sql.cteRecursionLevelLimit"
+    chain = [2 ** k for k in range(2, 41)]
+    spark.createDataFrame([(p,) for p in [None, 0, 2, 3, *chain]], "p_partkey long").write.parquet(f"{folder}/part.parquet")
+    try:
+        spark.conf.set(limit, "20")  # a hundred unless set
+        got = sorted(map(tuple, QUERIES["sql_recursive"](spark, folder).collect()))
+        assert spark.conf.get(limit) == "20"
+    finally:
+        spark.conf.unset(limit)
+    assert got == [(0, 1, 1, 1), (1, 2, 2, 3), *((k, 1, p, p) for k, p in enumerate(chain, 2))]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{folder}/part.parquet/*.parquet')")
+    assert got == sorted(con.execute(ORACLE["sql_recursive"]).fetchall())
+
+
 def test_a_timed_job_reports_rows_and_time(spark):
     from tidewater.operators.timing import run_timed
     r = run_timed("ten", lambda: spark.range(10).filter("id > 3"))
