@@ -272,3 +272,55 @@ def test_whole_method_like_counting(spark):
     got = {r.page_id: r.text for r in main_texts(table_of(spark, rows)).collect()}
     assert [got[i] for i in range(len(rows))] == want
     assert sum(len(w) for w in want) < sum(len(" ".join(t for p, t in blocks_of(x) if p == MAIN)) for _, x in rows)
+
+
+def by_part_size(spark, rows, sizes):
+    table = table_of(spark, rows).cache()
+    return [[t for _, t in sorted((r.page_id, r.text) for r in main_texts(table, part_pages=n).collect())] for n in sizes]
+
+
+def test_runs_of_pages_without_an_article_are_counted_over_all_parts(spark):
+    rng = random.Random(11)
+    own = [" ".join(f"p{i}x{j}" for j in range(30)) for i in range(60)]
+    notice, rare = (" ".join(f"{name}{j}" for j in range(12)) for name in ("notice", "rare"))
+    rows, want = [], []
+    for i in rng.sample(range(60), 60):
+        # in the middle of a block, so that no end is common
+        block = own[i] + (f" {notice} p{i}y" if i < 24 else f" {rare} p{i}y" if i < 36 else "")
+        rows.append(("a.b", f"<p>{block}</p>" + "<p>Home</p>" * (i < 24) + "<p>Seldom</p>" * (24 <= i < 34) + f"<p>p{i} ends</p>"))
+        want.append(f"{own[i]} p{i}y p{i} ends" if i < 24 else f"{block} Seldom p{i} ends" if i < 34 else f"{block} p{i} ends")
+    # copies, empty pages and another host's change nothing
+    rows += [rows[0]] * 9 + [("a.b", "")] + [("c.d", f"<p>{notice} {i}</p>") for i in range(2)]
+    want += [want[0]] * 9 + [""] + [f"{notice} {i}" for i in range(2)]
+    assert by_part_size(spark, rows, (4, 20, 500)) == [want] * 3
+
+
+def test_common_ends_go_on_over_all_parts(spark):
+    start = " ".join(f"s{j}" for j in range(8))
+    rows, want = [], []
+    for i in range(40):
+        story = " ".join(f"p{i}x{j}" for j in range(80))
+        more = " ".join(f"m{i % 20}y{j}" for j in range(8))  # on two pages
+        rows.append(("a.b", page_of(story, f"{start} {more} p{i}a p{i}b", f"p{i}c ends {i}")))
+        want.append(f"{story} p{i}a p{i}b p{i}c ends {i}")
+    assert by_part_size(spark, rows, (2, 7, 500)) == [want] * 3
+
+
+def test_parts_change_nothing(spark):
+    rng = random.Random(17)
+    words = [f"v{i}" for i in range(300)]
+    some = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 3, 8, 9, 12, 20, 38, 45, 60, 90)]
+    pages = []
+    for _ in range(90):
+        blocks = []
+        for _ in range(rng.randrange(1, 7)):
+            own = " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 7, 8, 25, 60])))
+            blocks.append(rng.choice([own, own, rng.choice(some), f"{rng.choice(some)} {own}", f"{own} {rng.choice(some)}"]))
+        beside = f"<p>{rng.choice(some)}</p>" * (rng.random() < 0.5)
+        pages += [page_of(*blocks) + beside if rng.random() < 0.5 else "".join(f"<p>{b}</p>" for b in blocks)] * rng.choice([1, 1, 1, 4])
+    pages += [p + "<p>beside the article</p>" for p in pages if "<article>" in p][:20]
+    rng.shuffle(pages)
+    want = host_texts([blocks_of(p) for p in pages])
+    assert host_texts([blocks_of(p) for p in pages[::-1]]) == want[::-1]
+    assert sum(map(len, want)) < sum(len(" ".join(t for p, t in blocks_of(x) if p == MAIN or "<article>" not in x)) for x in pages)
+    assert by_part_size(spark, [("a.b", p) for p in pages], (3, 30, 500)) == [want] * 3
